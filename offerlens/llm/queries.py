@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, licenses, mixing, packing
+from . import common, licenses, linededup, mixing, packing, quality, simhash
 
 
 def tokenizer_path() -> str:
@@ -21,17 +22,64 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3, lanes=1, parts=3, size_ratio=None)
+    hexed = F.lower(F.lpad(F.hex("f0"), 16, "0"))
+    return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
 def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    found = quality.analyse(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_curriculum_mixing, op10_license_scan)}
-
-ORACLE = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_simhash_near_dedup, op7_curriculum_mixing, op8_quality_rules, op9_line_dedup, op10_license_scan)}
+
+ORACLE = {
+    "op7_curriculum_mixing": """
+WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS o,
+                  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap,
+             row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM s),
+c AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws,
+             sum(cap) OVER (ORDER BY cap / w, rk ROWS UNBOUNDED PRECEDING) AS caps,
+             sum(w) OVER (ORDER BY cap / w, rk ROWS UNBOUNDED PRECEDING) AS seen FROM r),
+l AS (SELECT *, (total - (caps - cap)) / (ws - (seen - w)) AS level FROM c),
+f AS (SELECT min_by(level, seen) AS level FROM l WHERE level * w <= cap),
+t AS (SELECT source, source_size, coalesce(least(cap, f.level * w), cap) AS target FROM l LEFT JOIN f ON true),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before,
+             CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       (size * (passes + CASE WHEN source_size > 0 AND before + size / 2.0 < target - passes * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p""",
+    "op9_line_dedup": """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AND f.keeper <> k.doc_id AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+}
