@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, licenses, linededup, mixing, packing, quality, simhash
+from . import ann, common, html_text, langid, licenses, linededup, mixing, packing, quality, simhash, warc
 
 
 def tokenizer_path() -> str:
@@ -22,6 +22,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark, 200)
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3, lanes=1, parts=3, size_ratio=None)
     hexed = F.lower(F.lpad(F.hex("f0"), 16, "0"))
@@ -50,9 +68,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_simhash_near_dedup, op7_curriculum_mixing, op8_quality_rules, op9_line_dedup, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_multiprobe_lsh, op3_warc_round_trip, op4_html_text, op5_language_id,
+        op6_simhash_near_dedup, op7_curriculum_mixing, op8_quality_rules, op9_line_dedup, op10_license_scan,
+    )
+}
 
 ORACLE = {
+    "op3_warc_round_trip": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM g""",
     "op7_curriculum_mixing": """
 WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS o,
                   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
