@@ -1,8 +1,75 @@
-"""The training-corpus pipeline (filled in once its operators are there)."""
+"""The training-corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), with ``docs`` what its predecessor
+returned, written as Parquet and read again; all but the last return the columns
+of ``documents``. ``run`` writes between the stages to the shared folder.
+
+Rows that share a doc_id stay rows of their own throughout; after mixing, a
+document that is taken n times is n rows, in training order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offerlens.llm import common, linededup, mixing, packing, quality, simhash
+from offerlens.llm.queries import tokenizer_path
+from offerlens.session import ship
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the repetition limits."""
+    ship(spark)
+    common.small_batches(spark)
+    return quality.kept_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that five documents or more share, but in their keeper; n_chars follows."""
+    ship(spark)
+    done = linededup.dedup(docs)
+    chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group that near copies connect: five-word shingles, similarity 0.8 as SimHash estimates it."""
+    ship(spark)
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, range-sorted by training position."""
+    ship(spark)
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    return mixing.ordered(mixing.mix(whole, keep=["_row"])).select("_row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in sequences of 1024 tokens."""
+    ship(spark)
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Suffix arrays, SimHash and token ids are beyond SQL; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = common.shared_path(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
