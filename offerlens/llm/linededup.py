@@ -90,7 +90,10 @@ class CuckooFilter:
             buckets *= 2
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = keys.astype(np.int64).view(np.uint64)
+        k = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # a shard's keys agree in low bits
+        k ^= k >> np.uint64(29)
+        k *= np.uint64(0xBF58476D1CE4E5B9)
+        k ^= k >> np.uint64(32)
         marks = ((k >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
         first = (k & np.uint64(self.mask)).astype(np.int64)
         return marks, first, self._other(first, marks)
