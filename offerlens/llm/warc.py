@@ -187,7 +187,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             for page_id, url, payload, refers_to, is_revisit in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if out is None:
                     path = f"{base}/archives/{uuid.uuid4().hex}.warc.gz"
-                    out = {"path": path, "stream": store.open_output_stream(path), "records": 0, "bytes": 0}
+                    out = {"path": path, "stream": store.open_output_stream(path, compression=None), "records": 0, "bytes": 0}
                 data = make_record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), is_revisit.as_py(), date)
                 out["stream"].write(data)
                 out["records"] += 1
@@ -223,7 +223,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 held, size = [], 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for data in members(stream):
                         held.append(row(read_record(data)))
                         size += len(data)
