@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # The fee model and the bounds of shipping.
 FEE_RATE, FEE_FIXED = "0.05", "0.70"
@@ -51,11 +52,11 @@ def bid(price: Column, reference: Column) -> Column:
     return F.struct(offer.alias("bid"), cost.alias("bid_total"), (cost < amount(reference)).alias("bid_profitable"), (amount(reference) - cost).cast("decimal(14,2)").alias("saving"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binary_fee(price: pd.Series) -> pd.Series:
     return price.map(lambda p: None if p is None or p != p else round(p * 0.05 + 0.70, 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binary_total(price: pd.Series, shipping: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or p != p else round(p + round(p * 0.05 + 0.70, 2) + s, 2) for p, s in zip(price, shipping, strict=True)], dtype="float64")
