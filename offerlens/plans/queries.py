@@ -447,11 +447,12 @@ def _mapping_rows(spark, sf_dir) -> DataFrame:
 
 @query()
 def q_fuzzy_resolve(spark, sf_dir):
-    """The best stored mapping of each title, blocked without loss."""
+    """The best stored mapping of each title, blocked without loss. Half of the mappings lack a fingerprint."""
     rows = _mapping_rows(spark, sf_dir)
-    mappings = rows.where(F.col("p_partkey") % 2 == 0).withColumn("id", F.col("p_partkey")).withColumn("product_name", F.col("card_name")).withColumn("confidence", F.lit(0.9)).withColumn("date_added", F.lit("2020-01-01").cast("timestamp"))
-    asked = rows.where(F.col("p_partkey") % 2 == 1).withColumn("listing_id", F.col("p_partkey").cast("string"))
-    return resolver.best_mapping(asked, mappings)
+    stored = rows.where(F.col("p_partkey") % 3 == 0).withColumn("title", F.concat_ws(" ", "collector_number", "set_code", "card_name", F.lit("NM"))).withColumn("fingerprint", F.when(F.col("p_partkey") % 2 == 0, F.col("fingerprint")))
+    stored = stored.withColumn("id", F.col("p_partkey")).withColumn("product_name", F.col("card_name")).withColumn("confidence", F.lit(0.9)).withColumn("date_added", F.lit("2020-01-01").cast("timestamp"))
+    asked = rows.withColumn("listing_id", F.col("p_partkey").cast("string"))
+    return resolver.best_mapping(asked, stored)
 
 
 @query("""SELECT page_id, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS h1, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages""")
