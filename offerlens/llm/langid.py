@@ -8,8 +8,8 @@ only the bytes under each maximum. A text is cut into fixed-length windows that
 overlap by the widest filter less one, every window is scored, and a text's
 score is the softmax of its windows' mean log-probability by length.
 
-Training: at most ``per_language`` documents of each language, in the order of a
-hash of doc_id, and at most ``windows_each`` windows from anywhere in them reach
+Training: at most ``per_language`` documents of each of the ``MAX_LANGUAGES`` most
+frequent languages, in the order of a hash of doc_id, and at most ``windows_each`` windows from anywhere in them reach
 the driver; that bounds the sample, whatever the corpus. Statistics and
 predictions cover everything.
 
@@ -35,6 +35,8 @@ FILTERS = 8
 WINDOW = 256
 PER_LANGUAGE = 400
 WINDOWS_EACH = 4
+#: Languages with the most labelled rows that are learned at most.
+MAX_LANGUAGES = 1000
 _STRIDE = WINDOW - max(WIDTHS) + 1
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters counts as a space; A-Z as a-z.
@@ -159,9 +161,13 @@ def held_out() -> Column:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, windows_each: int = WINDOWS_EACH, seed: int = 0) -> Model:
     """Train on a bounded sample of rows (doc_id, text, lang)."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # limited within each task before any shuffle; per_language ids of each language remain
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    spark = labelled.sparkSession
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    # a share of each language by hash leaves some times per_language rows of it, whatever its size; the smallest hashes of these are taken
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 4 * per_language / r["n"])) for r in counts], "_lang string, _share double")
+    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    few = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.pmod("_hash", F.lit(1 << 31)) < F.col("_share") * (1 << 31))
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("doc_id").alias("_id"), "_lang")
     sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("doc_id", "lang", "text")
 
     def cut(batches):
