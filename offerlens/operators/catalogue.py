@@ -63,11 +63,17 @@ def counts(products: DataFrame) -> DataFrame:
     return products.agg(F.count_distinct("id_product").alias("products"), F.count_distinct("id_expansion").alias("expansions"))
 
 
-def first_contained(rows: DataFrame, table: DataFrame, text: str, needle: str, value: str, position: str) -> DataFrame:
-    """(row columns, value): the first table row whose needle contains the text or is contained in it; exact matches come first.
+def containing_pairs(rows: DataFrame, text: str, table: DataFrame, key: str) -> DataFrame:
+    """All pairs of which one string contains the other, by equi joins.
 
-    The table is a small dimension (set names): its size is checked by Spark's broadcast threshold.
+    What is contained starts with its first three characters (or is shorter), and
+    these stand in the other as well, so leads meet runs of up to three characters.
+    Columns of both must differ; empty strings are left out.
     """
-    hit = rows[text].contains(table[needle]) | table[needle].contains(rows[text])
-    order = F.struct((rows[text] != table[needle]).alias("other"), table[position])
-    return rows.join(table, hit, "left").groupBy(*rows.columns).agg(F.min_by(table[value], order).alias(value))
+    size = lambda c: F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    runs = lambda c: F.array_distinct(F.flatten(F.transform(size(c), lambda i: F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.substr(c, i, k)))))
+    a, b = rows.where(F.col(text) != ""), table.where(F.col(key) != "")
+    lead = lambda c: F.left(F.col(c), F.lit(3))
+    key_in_text = a.withColumn("_g", F.explode(runs(F.col(text)))).join(b.withColumn("_g", lead(key)), "_g").where(F.col(text).contains(F.col(key)))
+    text_in_key = a.withColumn("_g", lead(text)).join(b.withColumn("_g", F.explode(runs(F.col(key)))), "_g").where(F.col(key).contains(F.col(text)) & (F.col(key) != F.col(text)))
+    return key_in_text.unionByName(text_in_key).drop("_g")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, urls
 from ..functions import text as tx
+from .catalogue import containing_pairs
 
 
 def _clean(df: DataFrame, prefix: str) -> DataFrame:
@@ -89,8 +90,7 @@ def best_rule(rules: DataFrame, min_confidence: float = 0.6) -> DataFrame:
 def set_name_codes(names: DataFrame, table: DataFrame) -> DataFrame:
     """(set_name, derived_code): the exact set, else the first set (by pos) whose name contains the text or is contained."""
     asked = names.where(F.coalesce("set_name", F.lit("")) != "").select("set_name", F.lower("set_name").alias("_low")).distinct()
-    hit = F.col("_low").contains(F.col("key")) | F.col("key").contains(F.col("_low"))
-    joined = asked.join(F.broadcast(table.limit(5000).select("key", "code", "pos")), hit)  # set names, some hundreds: the limit is the checked bound
+    joined = containing_pairs(asked, "_low", table.select("key", "code", "pos"), "key")
     return joined.groupBy("set_name").agg(F.min_by("code", F.struct((F.col("_low") != F.col("key")).alias("other"), "pos")).alias("derived_code"))
 
 

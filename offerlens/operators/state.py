@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reports import with_group_facts
+
 
 def _order(order: list[str], newest: bool) -> list[Column]:
     return [F.col(c).desc() if newest else F.col(c).asc() for c in order]
@@ -105,8 +107,7 @@ def seeded(settings: DataFrame, defaults: DataFrame) -> DataFrame:
 
 def least_counts(rows: DataFrame, group: str, count: str) -> DataFrame:
     """Rows at the smallest count of groups with more than one row; ties all belong to them."""
-    w = Window.partitionBy(group)
-    marked = rows.withColumn("_least", F.min(count).over(w)).withColumn("_rows", F.count(F.lit(1)).over(w))
+    marked = with_group_facts(rows, group, F.min(count).alias("_least"), F.count(F.lit(1)).alias("_rows"))
     return marked.where((F.col("_rows") > 1) & (F.col(count) == F.col("_least"))).drop("_least", "_rows")
 
 
