@@ -54,6 +54,7 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Col
     """
     b = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     s = small.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in small.columns if c not in keys], F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_k_salt"))
+    s = s.hint("merge")  # Spark's size estimate doesn't know of the repeats, so it might broadcast far more than its threshold
     on = b["_salt"] == s["_k_salt"]
     for k in keys:
         on = on & b[k].eqNullSafe(s[f"_k_{k}"])
