@@ -63,12 +63,12 @@ def with_identity(listings: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Settings = Settings()) -> DataFrame:
     """One row (RESULT) for each unseen listing."""
-    start = prefiltered(listings, tables, settings)
+    # each step's small rows are kept: several branches below read them, and plans stay short
+    start = prefiltered(listings, tables, settings).persist()
     dropped = start.where(F.col("reason").isNotNull())
     lots = _result(dropped.where("cheap_lot"), listing_id=F.col("listing_id"), channel=F.lit("deals"), verdict=F.lit("cheap_lot"), reason=F.col("reason"))
     silent = F.col("reason") == "no_known_name"
     skipped = _result(dropped.where("not cheap_lot"), listing_id=F.col("listing_id"), channel=F.when(silent, "none").otherwise("skipped"), verdict=F.when(silent, "dropped").otherwise("skipped"), reason=F.col("reason"))
-    # the identity UDF runs once: its rows are read by several branches below
     known = with_identity(start.where(F.col("reason").isNull()), lexicon).persist()
     bare = F.col("collector_number").isNull() & F.col("set_name").isNull() & F.col("set_code").isNull()
     review = _result(known.where(bare), listing_id=F.col("listing_id"), channel=F.lit("review"), verdict=F.lit("review"), reason=F.lit("unresolvable_no_identifiers"))
@@ -76,13 +76,13 @@ def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Set
     # 1. the catalogue
     asked = open_.select(F.col("listing_id").alias("ask_id"), F.col("card_name").alias("name"), F.col("collector_number").alias("number"), "set_name", "set_code").where(F.coalesce("name", F.lit("")) != "")
     hit = catalogue.lookup(asked, tables.products, tables.codes, tables.prices)
-    hit = hit.select(F.col("ask_id").alias("listing_id"), F.col("id_product").alias("product_id"), urls.catalogue_url(F.col("expansion_name"), F.col("name"), F.col("number"), tables.site).alias("url"), "from_price", F.lit("catalog").alias("source"), F.lit(0.90).alias("confidence"))
+    hit = hit.select(F.col("ask_id").alias("listing_id"), F.col("id_product").alias("product_id"), urls.catalogue_url(F.col("expansion_name"), F.col("name"), F.col("number"), tables.site).alias("url"), "from_price", F.lit("catalog").alias("source"), F.lit(0.90).alias("confidence")).persist()
     # 2. stored mappings, 3. construction, on what is left
     rest = open_.join(hit.select("listing_id"), "listing_id", "left_anti")
-    stored = resolver.best_mapping(rest, tables.mappings, settings.fuzzy_threshold).select("listing_id", "url", F.lit("database").alias("source"), (F.col("score") / 100).alias("confidence"))
+    stored = resolver.best_mapping(rest, tables.mappings, settings.fuzzy_threshold).select("listing_id", "url", F.lit("database").alias("source"), (F.col("score") / 100).alias("confidence")).persist()
     left = rest.join(stored.select("listing_id"), "listing_id", "left_anti")
     full = prefilter.may_construct(F.col("card_name"), F.col("set_name"), F.col("set_code"), F.col("collector_number"))
-    built = resolver.constructed(left.where(full), tables.codes, tables.rules, tables.overrides, tables.set_names, tables.site).select("listing_id", "url", F.lit("constructed").alias("source"), "confidence")
+    built = resolver.constructed(left.where(full), tables.codes, tables.rules, tables.overrides, tables.set_names, tables.site).select("listing_id", "url", F.lit("constructed").alias("source"), "confidence").persist()
     found = stored.unionByName(built)
     missing = rest.join(found.select("listing_id"), "listing_id", "left_anti")
     unidentified = _result(missing, listing_id=F.col("listing_id"), channel=F.lit("unidentified"), verdict=F.lit("unidentified"), reason=F.lit("not_in_catalog_or_db"))
