@@ -61,8 +61,18 @@ def with_identity(listings: DataFrame, lexicon: Lexicon) -> DataFrame:
     return df.withColumn("fingerprint", hashed).withColumn("tokens", tx.tokens("card_name", "set_name", "set_code", "collector_number", "rarity"))
 
 
-def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Settings = Settings()) -> DataFrame:
-    """One row (RESULT) for each unseen listing."""
+def variant_pages(rows: DataFrame, page_prices: DataFrame) -> DataFrame:
+    """(listing_id, url, from_price, product_id): the first variant of each row's URL whose page has a price."""
+    slug = urls.last_segment(F.col("url"))
+    tried = rows.select("listing_id", F.col("url").alias("_url"), slug.alias("_slug"), F.explode(urls.variants(slug)).alias("_v"))
+    tried = tried.select("listing_id", F.replace("_url", F.concat(F.lit("/"), "_slug"), F.concat(F.lit("/"), F.col("_v.slug"))).alias("url"), F.col("_v.position").alias("_position"))
+    found = tried.join(page_prices.where("from_price > 0"), "url")
+    best = found.groupBy("listing_id").agg(F.min_by(F.struct("url", "from_price", F.col("id_product").alias("product_id")), "_position").alias("_b"))
+    return best.select("listing_id", "_b.*")
+
+
+def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Settings = Settings(), construct: bool = True) -> DataFrame:
+    """One row (RESULT) for each unseen listing; without ``construct`` only the catalogue and stored mappings are asked."""
     # each step's small rows are kept: several branches below read them, and plans stay short
     start = prefiltered(listings, tables, settings).persist()
     dropped = start.where(F.col("reason").isNotNull())
@@ -81,16 +91,18 @@ def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Set
     rest = open_.join(hit.select("listing_id"), "listing_id", "left_anti")
     stored = resolver.best_mapping(rest, tables.mappings, settings.fuzzy_threshold).select("listing_id", "url", F.lit("database").alias("source"), (F.col("score") / 100).alias("confidence")).persist()
     left = rest.join(stored.select("listing_id"), "listing_id", "left_anti")
-    full = prefilter.may_construct(F.col("card_name"), F.col("set_name"), F.col("set_code"), F.col("collector_number"))
+    full = F.lit(construct) & prefilter.may_construct(F.col("card_name"), F.col("set_name"), F.col("set_code"), F.col("collector_number"))
     built = resolver.constructed(left.where(full), tables.codes, tables.rules, tables.overrides, tables.set_names, tables.site).select("listing_id", "url", F.lit("constructed").alias("source"), "confidence").persist()
     found = stored.unionByName(built)
     missing = rest.join(found.select("listing_id"), "listing_id", "left_anti")
     unidentified = _result(missing, listing_id=F.col("listing_id"), channel=F.lit("unidentified"), verdict=F.lit("unidentified"), reason=F.lit("not_in_catalog_or_db"))
     paged = found.join(tables.page_prices.select("url", "from_price", F.col("id_product").alias("product_id")), "url", "left")
-    no_price = paged.where(~(F.coalesce("from_price", F.lit(0.0)) > 0))
+    no_page = paged.where(~(F.coalesce("from_price", F.lit(0.0)) > 0))
+    other = no_page.where("source = 'constructed'").select("listing_id", "source", "confidence").join(variant_pages(no_page.where("source = 'constructed'"), tables.page_prices), "listing_id").persist()
+    no_price = no_page.join(other.select("listing_id"), "listing_id", "left_anti")
     failed = _result(no_price, listing_id=F.col("listing_id"), channel=F.when(F.col("source") == "constructed", "review").otherwise("log"), verdict=F.lit("error"), reason=F.lit("from_price_missing"), source=F.col("source"), confidence=F.col("confidence"), url=F.col("url"))
     names = ["listing_id", "product_id", "url", "from_price", "source", "confidence"]
-    priced = hit.select(names).unionByName(paged.where("from_price > 0").select(names)).join(known.select("listing_id", "price"), "listing_id")
+    priced = hit.select(names).unionByName(paged.where("from_price > 0").select(names)).unionByName(other.select(names)).join(known.select("listing_id", "price"), "listing_id")
     cmp, bid = money.compared(F.col("price"), F.col("from_price")), money.bid(F.col("price"), F.col("from_price"))
     priced = priced.withColumn("cmp", cmp).withColumn("bid", bid)
     good = F.col("cmp.is_profitable")
@@ -115,3 +127,21 @@ def counters(results: DataFrame) -> DataFrame:
     """One row: checked, profitable, reviewed."""
     one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias
     return results.agg(F.count(F.lit(1)).alias("checked"), one(F.col("verdict") == "profitable")("profitable"), one(F.col("channel").isin("review", "unidentified"))("reviewed"))
+
+
+def state_rows(results: DataFrame, identities: DataFrame) -> dict[str, DataFrame]:
+    """What a batch adds to the state: seen_listings, review_queue, error_log, card_mappings, deal_messages.
+
+    ``identities``: the listings with their identity, as of ``with_identity``.
+    """
+    now = F.current_timestamp()
+    listed = identities.select("listing_id", "title", "price", "card_name", "collector_number", "set_code", "fingerprint", "tokens")
+    full = results.join(listed, "listing_id", "left")
+    queued = F.col("channel").isin("review", "unidentified", "skipped")
+    return {
+        "seen_listings": full.select("listing_id", "title", "price", "url", now.alias("first_seen")),
+        "review_queue": full.where(queued).select("listing_id", "title", "price", F.lit("EUR").alias("currency"), "url", "reason", F.when(F.col("channel") == "skipped", "skipped").otherwise("pending").alias("status"), now.alias("created_at")),
+        "error_log": full.where("verdict = 'error'").select("listing_id", F.col("reason").alias("failure_step"), F.col("reason").alias("error_message"), "price", F.lit("EUR").alias("currency"), now.alias("created_at")),
+        "card_mappings": full.where("source in ('catalog', 'constructed') and from_price > 0").select("title", "fingerprint", "card_name", "collector_number", "set_code", "tokens", "url", F.col("confidence"), now.alias("date_added")),
+        "deal_messages": full.where("verdict in ('profitable', 'not_profitable')").select("listing_id", F.col("channel").alias("channel_type"), "url", "price", now.alias("created_at")),
+    }

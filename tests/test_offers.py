@@ -177,19 +177,19 @@ def tables(spark, shop, seen=()):
         set_names=spark.createDataFrame([("celebrations", "CEL", 0), ("obsidian flames", "OBF", 1)], "key string, code string, pos int"),
         mappings=spark.createDataFrame([], "id long, title string, fingerprint string, card_name string, collector_number string, set_code string, tokens array<string>, url string, product_name string, confidence double, date_added timestamp"),
         rules=spark.createDataFrame([], "id long, set_code string, prefix string, uses_successful long, confidence double"), overrides=spark.createDataFrame([], "fingerprint string, url string"),
-        page_prices=spark.createDataFrame([(page, 100.0, 9)], "url string, from_price double, id_product long"),
+        page_prices=spark.createDataFrame([(page, 100.0, 9), (page.replace("Mew-77", "Mew-V2-80"), 50.0, 10), (page.replace("Mew-77", "Mew-V4-80"), 40.0, 11)], "url string, from_price double, id_product long"),
     )
 
 
 LISTINGS = [
     ("seen", "Pikachu 025/193 Base", 1.0), ("cheap", "Bulbasaur 001/025 Celebrations", 10.0), ("dear", "Pikachu 025/193 base", 39.0), ("low", "Pikachu 1/2", 0.1), ("album", "Pikachu album", 5.0),
     ("lot", "lot of 300 cards Pikachu", 2.0), ("lot2", "lot of 20 cards Pikachu", 2.0), ("psa", "PSA 9 Pikachu", 5.0), ("jap", "Pikachu japanese", 5.0), ("none", "nothing known 1/2", 5.0), ("bare", "Pikachu", 5.0),
-    ("built", "Mew 77/197 OBF Obsidian Flames", 5.0), ("nopage", "Mew 78/197 OBF Obsidian Flames", 5.0), ("unknown", "Mew 79/97", 5.0),
+    ("built", "Mew 77/197 OBF Obsidian Flames", 5.0), ("nopage", "Mew 78/197 OBF Obsidian Flames", 5.0), ("variant", "Mew 80/197 OBF Obsidian Flames", 5.0), ("unknown", "Mew 79/97", 5.0),
 ]
 WANT = {
     "cheap": ("deals", "profitable", None), "dear": ("match", "not_profitable", None), "low": ("skipped", "skipped", "price_out_of_range"), "album": ("skipped", "skipped", "non_card_item"),
     "lot": ("deals", "cheap_lot", "lot_listing"), "lot2": ("skipped", "skipped", "lot_listing"), "psa": ("skipped", "skipped", "graded_listing"), "jap": ("skipped", "skipped", "japanese_listing"),
-    "none": ("none", "dropped", "no_known_name"), "bare": ("review", "review", "unresolvable_no_identifiers"), "built": ("deals", "profitable", None), "nopage": ("review", "error", "from_price_missing"), "unknown": ("unidentified", "unidentified", "not_in_catalog_or_db"),
+    "none": ("none", "dropped", "no_known_name"), "bare": ("review", "review", "unresolvable_no_identifiers"), "built": ("deals", "profitable", None), "nopage": ("review", "error", "from_price_missing"), "variant": ("deals", "profitable", None), "unknown": ("unidentified", "unidentified", "not_in_catalog_or_db"),
 }
 
 
@@ -203,7 +203,13 @@ def test_the_whole_plan(spark, shop):
     by = {r["listing_id"]: r for r in rows}
     assert (by["cheap"]["source"], by["cheap"]["from_price"], by["cheap"]["total_max"], by["cheap"]["diff"]) == ("catalog", 60.0, 18.29, 41.71)
     assert (by["built"]["source"], by["built"]["product_id"]) == ("constructed", 9) and by["dear"]["bid_price"] == 31.2
-    assert tuple(offers.counters(spark.createDataFrame(rows, offers.RESULT)).first()) == (13, 2, 3)
+    assert (by["variant"]["product_id"], by["variant"]["from_price"]) == (10, 50.0)
+    results = spark.createDataFrame(rows, offers.RESULT)
+    assert tuple(offers.counters(results).first()) == (14, 3, 3)
+    added = offers.state_rows(results, offers.with_identity(frame(spark, LISTINGS), LEXICON))
+    ids = lambda name: sorted(r["listing_id"] for r in added[name].select("listing_id").collect())
+    assert ids("seen_listings") == sorted(WANT) and ids("error_log") == ["nopage"] and ids("deal_messages") == ["built", "cheap", "dear", "variant"]
+    assert ids("review_queue") == sorted(k for k, v in WANT.items() if v[0] in ("review", "unidentified", "skipped")) and added["card_mappings"].count() == 4
 
 
 def test_stream_equals_batch_and_resumes(spark, shop, tmp_path):
