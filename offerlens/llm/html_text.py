@@ -23,6 +23,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_DEPTH = 200
 
@@ -371,4 +372,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [render(h.as_py()) for h in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], schema=schema)
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, text string, n_chars long")

@@ -38,11 +38,16 @@ WINDOWS_EACH = 4
 #: Languages with the most labelled rows that are learned at most.
 MAX_LANGUAGES = 1000
 _STRIDE = WINDOW - max(WIDTHS) + 1
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 #: ASCII other than letters counts as a space; A-Z as a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """A letter of any script; figures such as ² or ½ are none."""
+    return any(found[0].isalpha() for found in _WORDLIKE.finditer(text))
+
+
 def fold(text: str) -> np.ndarray:
     return np.frombuffer(b" " + text.encode().translate(_FOLD) + b" ", dtype=np.uint8)
 
@@ -127,7 +132,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         cut, sizes, owner = [], [], []
         for i, text in enumerate(texts):
-            if text and _LETTER.search(text):
+            if text and has_letter(text):
                 w, n = windows(fold(text))
                 cut.append(w)
                 sizes.append(n)
@@ -174,7 +179,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, windows_each: int
         for batch in batches:
             ids, langs, data = [], [], []
             for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if _LETTER.search(text):
+                if has_letter(text):
                     w, _ = windows(fold(text))
                     for k in np.linspace(0, len(w) - 1, min(windows_each, len(w))).astype(int):
                         ids.append(doc_id)
@@ -203,7 +208,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

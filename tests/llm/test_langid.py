@@ -29,7 +29,7 @@ def test_predictions_use_the_text_alone_and_agree(docs_of):
 
 
 def test_edges(docs_of):
-    rows = [(i, "some words of one language", "en") for i in range(20)] + [(100, None, "en"), (101, "", "en"), (102, "12 34 !!", "en"), (None, "words", None), (104, "日本語", None), (105, "é" * 200_000, "en"), (105, "again", "en")]
+    rows = [(i, "some words of one language", "en") for i in range(20)] + [(100, None, "en"), (101, "", "en"), (102, "12 34 !! ² ½ _ ①", "en"), (None, "words", None), (104, "日本語", None), (105, "é" * 200_000, "en"), (105, "again", "en")]
     got = {}
     for r in langid.identify(docs_of(rows)).collect():
         got.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"], r["held_out"]))
