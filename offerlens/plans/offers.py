@@ -17,6 +17,7 @@ from ..functions import money, urls
 from ..functions import text as tx
 from ..functions.identify import Lexicon, identified
 from ..operators import catalogue, prefilter, resolver
+from ..session import checkpointed
 
 RESULT = "listing_id string, channel string, verdict string, reason string, source string, confidence double, product_id long, url string, from_price double, fee double, total_min double, total_max double, diff double, pct double, bid_price double"
 _NAMES = [x.split()[0] for x in RESULT.split(", ")]
@@ -73,32 +74,32 @@ def variant_pages(rows: DataFrame, page_prices: DataFrame) -> DataFrame:
 
 def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Settings = Settings(), construct: bool = True) -> DataFrame:
     """One row (RESULT) for each unseen listing; without ``construct`` only the catalogue and stored mappings are asked."""
-    # each step's small rows are kept: several branches below read them, and plans stay short
-    start = prefiltered(listings, tables, settings).persist()
+    # each step's rows are checkpointed: several branches below read them, and plans stay short
+    start = checkpointed(prefiltered(listings, tables, settings))
     dropped = start.where(F.col("reason").isNotNull())
     lots = _result(dropped.where("cheap_lot"), listing_id=F.col("listing_id"), channel=F.lit("deals"), verdict=F.lit("cheap_lot"), reason=F.col("reason"))
     silent = F.col("reason") == "no_known_name"
     skipped = _result(dropped.where("not cheap_lot"), listing_id=F.col("listing_id"), channel=F.when(silent, "none").otherwise("skipped"), verdict=F.when(silent, "dropped").otherwise("skipped"), reason=F.col("reason"))
-    known = with_identity(start.where(F.col("reason").isNull()), lexicon).persist()
+    known = checkpointed(with_identity(start.where(F.col("reason").isNull()), lexicon))
     bare = F.col("collector_number").isNull() & F.col("set_name").isNull() & F.col("set_code").isNull()
     review = _result(known.where(bare), listing_id=F.col("listing_id"), channel=F.lit("review"), verdict=F.lit("review"), reason=F.lit("unresolvable_no_identifiers"))
     open_ = known.where(~bare)
     # 1. the catalogue
     asked = open_.select(F.col("listing_id").alias("ask_id"), F.col("card_name").alias("name"), F.col("collector_number").alias("number"), "set_name", "set_code").where(F.coalesce("name", F.lit("")) != "")
     hit = catalogue.lookup(asked, tables.products, tables.codes, tables.prices)
-    hit = hit.select(F.col("ask_id").alias("listing_id"), F.col("id_product").alias("product_id"), urls.catalogue_url(F.col("expansion_name"), F.col("name"), F.col("number"), tables.site).alias("url"), "from_price", F.lit("catalog").alias("source"), F.lit(0.90).alias("confidence")).persist()
+    hit = checkpointed(hit.select(F.col("ask_id").alias("listing_id"), F.col("id_product").alias("product_id"), urls.catalogue_url(F.col("expansion_name"), F.col("name"), F.col("number"), tables.site).alias("url"), "from_price", F.lit("catalog").alias("source"), F.lit(0.90).alias("confidence")))
     # 2. stored mappings, 3. construction, on what is left
     rest = open_.join(hit.select("listing_id"), "listing_id", "left_anti")
-    stored = resolver.best_mapping(rest, tables.mappings, settings.fuzzy_threshold).select("listing_id", "url", F.lit("database").alias("source"), (F.col("score") / 100).alias("confidence")).persist()
+    stored = checkpointed(resolver.best_mapping(rest, tables.mappings, settings.fuzzy_threshold).select("listing_id", "url", F.lit("database").alias("source"), (F.col("score") / 100).alias("confidence")))
     left = rest.join(stored.select("listing_id"), "listing_id", "left_anti")
     full = F.lit(construct) & prefilter.may_construct(F.col("card_name"), F.col("set_name"), F.col("set_code"), F.col("collector_number"))
-    built = resolver.constructed(left.where(full), tables.codes, tables.rules, tables.overrides, tables.set_names, tables.site).select("listing_id", "url", F.lit("constructed").alias("source"), "confidence").persist()
+    built = checkpointed(resolver.constructed(left.where(full), tables.codes, tables.rules, tables.overrides, tables.set_names, tables.site).select("listing_id", "url", F.lit("constructed").alias("source"), "confidence"))
     found = stored.unionByName(built)
     missing = rest.join(found.select("listing_id"), "listing_id", "left_anti")
     unidentified = _result(missing, listing_id=F.col("listing_id"), channel=F.lit("unidentified"), verdict=F.lit("unidentified"), reason=F.lit("not_in_catalog_or_db"))
     paged = found.join(tables.page_prices.select("url", "from_price", F.col("id_product").alias("product_id")), "url", "left")
     no_page = paged.where(~(F.coalesce("from_price", F.lit(0.0)) > 0))
-    other = no_page.where("source = 'constructed'").select("listing_id", "source", "confidence").join(variant_pages(no_page.where("source = 'constructed'"), tables.page_prices), "listing_id").persist()
+    other = checkpointed(no_page.where("source = 'constructed'").select("listing_id", "source", "confidence").join(variant_pages(no_page.where("source = 'constructed'"), tables.page_prices), "listing_id"))
     no_price = no_page.join(other.select("listing_id"), "listing_id", "left_anti")
     failed = _result(no_price, listing_id=F.col("listing_id"), channel=F.when(F.col("source") == "constructed", "review").otherwise("log"), verdict=F.lit("error"), reason=F.lit("from_price_missing"), source=F.col("source"), confidence=F.col("confidence"), url=F.col("url"))
     names = ["listing_id", "product_id", "url", "from_price", "source", "confidence"]

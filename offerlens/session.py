@@ -1,4 +1,4 @@
-"""Making the package known to a session's Python workers."""
+"""What a session needs: the package on its Python workers, and checkpoints."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +27,14 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     sc.addPyFile(str(archive))
     _SHIPPED.add(sc.applicationId)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the folder that all executors share (``spark.checkpoint.dir``)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="offerlens-"))
+    return df.checkpoint()
