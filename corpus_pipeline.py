@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group that near copies connect: five-word shingles, similarity 0.8 as SimHash estimates it."""
+    """The smallest doc_id of each group that near copies connect: five-word shingles, Jaccard similarity 0.8 or more."""
     ship(spark)
     return simhash.keep_one(docs)
 

@@ -41,6 +41,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def of_unknown_size(df: DataFrame) -> DataFrame:
+    """The same rows without size estimates.
+
+    A checkpoint keeps its plan's estimate, and joins multiply them: in a loop the
+    digits of that number double with each round and fill the driver's memory.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), spark)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

@@ -94,3 +94,33 @@ def test_empty_null_ids_and_repeated_rows(docs_of):
     text = "a text of some words that is held by rows of several kinds " * 3
     rows = simhash.near_duplicates(docs_of([(None, text), (5, text), (5, text), (9, text)])).collect()
     assert [r["component_id"] for r in rows] == [5] * 4
+
+
+def test_stage_against_brute_force_jaccard(spark, docs_of):
+    """Pairs on both sides of 0.8, where an estimate errs, over one tile and over many."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    rows = [(1, None), (2, " "), (3, "one"), (4, "a b c d e f g h"), (5, "a b c d e f g h i"), (6, "z " * 400 + "a b c d e f g h")]
+    for g in range(40):
+        n = rng.randint(60, 300)
+        base = [word() for _ in range(n)]
+        rows.append((1000 + 10 * g, " ".join(base)))
+        for c in range(1, 6):
+            copy, share = list(base), rng.uniform(0.66, 0.86)
+            keep = round(2 * share / (1 + share) * n)  # of n words the last n - keep are new
+            copy[keep:] = [word() for _ in range(n - keep)]
+            rows.append((1000 + 10 * g + c, " ".join(copy)))
+    sets = {}
+    for d, text in rows:
+        words = (text or "").lower().split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    label = components(sorted(sets), near)
+    assert 20 < sum(label[d] != d for d in label) < 200
+    docs = docs_of(rows)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == label
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {d for d in label if label[d] == d}
+    nodes = simhash.fingerprints(docs, 5, 4, distinct=True).withColumnRenamed("doc_id", "node")
+    together = nodes.where("node > 1").select("node", F.lit(1).cast("long").alias("component"))
+    found = simhash.components(simhash.checked_links(docs, nodes, together, 5, 80, 4, 0.8, tile=20))
+    assert {d: d for d in label} | {r["node"]: r["component"] for r in found.collect()} == label
