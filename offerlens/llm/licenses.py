@@ -2,8 +2,9 @@
 
 Words are runs of letters, digits and characters beyond ASCII; A-Z count as
 a-z. An Aho-Corasick automaton over the space-joined words finds notice phrases
-and identifier tags in one pass; behind a tag, a shunting-yard parser evaluates
-the and/or/with expression. One map over the documents, no shuffle.
+and identifier tags in one pass; behind each tag, a shunting-yard parser evaluates
+the and/or/with expression on its line or, if nothing follows there, the next.
+One map over the documents, no shuffle.
 
 Defined results: a null or empty text has no words and no labels and scores 0;
 overlapping and repeated places all count; repeated rows are scanned one by one;
@@ -51,7 +52,8 @@ TAGS = ("spdx license identifier", "license expression")
 ALLOWED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib"})
 
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_TAG_IN_TEXT = re.compile(rb"(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)[^0-9A-Za-z(\n]*([^\n]*)", re.I)
+_WORD = re.compile(rb"[^ ]+")
+_AFTER_TAG = re.compile(rb"[^0-9A-Za-z(\n]*(?:\n[^0-9A-Za-z(\n]*)?([^\n]*)")  # the rest of the line or, if that is blank, the next line
 _TOKEN = re.compile(r"\(|\)|[0-9A-Za-z][0-9A-Za-z.+\-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 _KNOWN_ID = re.compile(r"(?:licenseref-[0-9a-z.\-]+|[0-9a-z]+(?:[.\-][0-9a-z]+)*\+?)$")
@@ -135,10 +137,13 @@ def _automaton(notices: tuple[tuple[str, str, bool], ...]) -> ahocorasick.Automa
 def scan_text(data: bytes, notices: tuple[tuple[str, str, bool], ...]) -> dict:
     words = words_of(data)
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    spans, starts, base, labels, tagged = [], [], set(), set(), False
+    spans, starts, base, labels, tags = [], [], set(), set(), []
+    seen, n_spaces = 0, 0
     for end, (size, count, label, is_base) in _automaton(notices).iter(line):
         if not count:
-            tagged = True
+            n_spaces += line.count(" ", seen, end)
+            seen = end
+            tags.append((n_spaces - line.count(" ", end - size + 2, end) - 1, n_spaces - 1))
             continue
         first = line.count(" ", 0, end - size + 2) - 1
         spans.append({"label": label, "first": first, "words": count})
@@ -147,13 +152,16 @@ def scan_text(data: bytes, notices: tuple[tuple[str, str, bool], ...]) -> dict:
             base.add(label)
             starts.append(first)
     granted, expressions = None, []
-    if tagged:
-        for match in _TAG_IN_TEXT.finditer(data):
-            value = evaluate(match[1].decode("utf-8", "replace"))
+    if tags:
+        places = [m.span() for m in _WORD.finditer(data.translate(_WORD_TABLE))]
+        ends = [places[first][0] for first, _ in tags[1:]] + [len(data)]
+        for (_, last), end in zip(tags, ends, strict=True):
+            text = _AFTER_TAG.match(data, places[last][1], max(end, places[last][1]))[1].decode("utf-8", "replace")
+            value = evaluate(text)
             if value:
                 labels.update(value[0])
                 granted = value[1] if granted is None else granted and value[1]
-                expressions.append(" ".join(read_expression(match[1].decode("utf-8", "replace"))))
+                expressions.append(" ".join(read_expression(text)))
     return {
         "n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)),

@@ -68,3 +68,16 @@ def test_tags_and_notices(docs_of):
     assert rows[1]["labels"] == "apache-2.0,mit" and rows[1]["allowed"] and rows[1]["score"] == 1.0 and rows[1]["expressions"] == ["apache-2.0 or mit"]
     assert rows[2]["labels"] == "gpl,gpl-3.0" and rows[2]["base_labels"] == "" and {s["first"] for s in rows[2]["spans"]} == {0}
     assert rows[4]["expressions"] == [] and rows[4]["labels"] == ""
+
+
+def test_every_tag_is_evaluated():
+    table = tuple((p, x, True) for p, x in licenses.BASE_PHRASES.items())
+    found = licenses.scan_text(b"SPDX-License-Identifier: MIT ... SPDX-License-Identifier: GPL-3.0 OR Apache-2.0; License Expression (GPL-2.0)", table)
+    assert found["expressions"] == ["mit", "gpl-3.0 or apache-2.0", "( gpl-2.0 )"]
+    assert found["labels"] == "apache-2.0,gpl-2.0,gpl-3.0,mit" and found["allowed"] is False
+    for text in ("é SPDX  License  Identifier: MIT", "spdx-license-\nidentifier MIT", "# SPDX-License-Identifier:\n#   MIT\nGPL-2.0", "license_expression =\r\n MIT"):
+        found = licenses.scan_text(text.encode(), table)
+        assert (found["expressions"], found["allowed"]) == (["mit"], True), text
+    assert licenses.scan_text(b"SPDX-License-Identifier:\n\nMIT, SPDX-License-Identifier", table)["expressions"] == []
+    many = licenses.scan_text(b"SPDX-License-Identifier: MIT; " * 20_000, table)
+    assert many["expressions"] == ["mit"] * 20_000
