@@ -121,3 +121,8 @@ def ordered(mixed: DataFrame) -> DataFrame:
     """One row a copy, range-sorted by training position; ties by doc_id."""
     rows = mixed.select("*", F.explode("positions").alias("position")).drop("positions")
     return rows.orderBy("position", "doc_id")
+
+
+def by_first_position(mixed: DataFrame) -> DataFrame:
+    """One row a document, range-sorted by its training positions, those that are never taken last; ties by doc_id."""
+    return mixed.orderBy(F.size("positions") == 0, "positions", "doc_id")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.llm import mixing
+from offerlens.llm.queries import op7_curriculum_mixing
 
 
 def brute_targets(sizes, weights=(1, 2, 3), most=3.0):
@@ -89,3 +90,10 @@ def test_order_and_edges(docs_of):
     assert mixing.mix(docs_of([])).collect() == []
     blank = mixing.mix(docs_of([(1, None), (2, ""), (None, " ")])).collect()
     assert [(r["size"], r["taken"], r["target"]) for r in blank] == [(0, 0, 0.0)] * 3
+
+
+def test_query_sorts_by_position(spark, sf):
+    """The query's rows stand in training order, so it computes the schedules."""
+    mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    want = sorted(mixed, key=lambda r: (not r["positions"], r["positions"], r["doc_id"]))
+    assert [r["doc_id"] for r in op7_curriculum_mixing(spark, sf).collect()] == [r["doc_id"] for r in want]
