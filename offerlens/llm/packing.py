@@ -11,8 +11,8 @@ Scale: lengths are whole numbers up to ``capacity``, so the plan needs only the
 histogram of lengths, at most ``capacity`` rows for any corpus, and is itself
 run-length coded: a row says that pieces of one length with ranks r to r+n fill
 sequences b onward at one offset. The driver never sees a piece. Ranks within a
-length come from hash buckets, so a length that a third of all pieces share is
-dealt over many tasks. Tokens are made once, texts are never shuffled, and the
+length come from buckets of row numbers, so a length that a third of all pieces
+share, or a doc_id that all do, is dealt over many tasks. Tokens are made once, texts are never shuffled, and the
 small rows that remain are checkpointed.
 
 Defined results: null and empty texts are the end id alone; repeated rows are
@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +38,22 @@ from . import common
 
 # --- tokens ---------------------------------------------------------------
 
-#: A space that a word doesn't follow.
+#: A space that a word doesn't follow, and the spaces that one does.
 _ODD_SPACE = re.compile(r" (?:\s|$)")
+_CUT = re.compile(r" (?=\S)")
+#: A space between two words.
+_PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of a worker's cache of words; it starts anew beyond.
 CACHE_WORDS = 600_000
+#: Parts (a word with the white space behind it) of more characters aren't cached; runs of more white space are split here, not in tiktoken.
+LONG_PART = 512
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_BLANK = regex.compile(_BLANK + "{512}")
+# Fixed value: the public split pattern of byte-level BPE; {0} is white space, {1} anything else, {2} white space within a class.
+_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^\p{{L}}\p{{N}}{2}]+|{0}+(?!{1})|{0}+"
+_PIECE = regex.compile(_SPLIT.format(_BLANK, "[^" + _BLANK[1:], _BLANK[1:-1]))
+#: Characters of a text that are split at a time.
+BLOCK_CHARS = 1 << 20
 
 
 class _Words(dict):
@@ -51,18 +64,30 @@ class _Words(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.encode(" " + word), dtype="<u4").tobytes()
+        ids = self.encode(" " + word)
+        if len(word) <= LONG_PART:
+            self[word] = ids
         return ids
 
 
+def _blocks(text: str, size: int = BLOCK_CHARS):
+    """Pieces of a text of about ``size`` characters, each beginning before a space that stands between two words."""
+    at = 0
+    while at < len(text):
+        found = _PLAIN_SPACE.search(text, at + size) if len(text) - at > size else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 class TextEncoder:
     """Ids of a byte-level BPE vocabulary in a ``tokenizers`` JSON file.
 
     No token of such a vocabulary spans the place before a space that a
-    non-space follows, so the ids of a text are those of its words and each
-    distinct word is encoded once a worker. Words are encoded with the file's
-    own merges as ranks; texts with odd runs of white space are encoded whole, and
-    those that hold a special token's string by the ``tokenizers`` library.
+    non-space follows, so the ids of a text are those of its parts between such
+    places, and each distinct part is encoded once a worker. Parts are encoded with
+    the file's own merges as ranks, texts that hold a special token's string by the
+    ``tokenizers`` library.
     """
 
     def __init__(self, path: str):
@@ -77,19 +102,24 @@ class TextEncoder:
         of_char = {chr(b): b for b in shown}
         of_char |= {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in of_char.values())}
         ranks = {bytes(of_char[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.words = _Words(self.bpe.encode_ordinary)
+        self.bpe = tiktoken.Encoding("words", pat_str=_SPLIT.format(r"\s", r"\S", r"\s"), mergeable_ranks=ranks, special_tokens={})
+        self.words = _Words(self.part)
+
+    def part(self, text: str) -> bytes:
+        if len(text) > LONG_PART and _LONG_BLANK.search(text):
+            return b"".join(np.array(self.bpe._encode_single_piece(p[0]), dtype="<u4").tobytes() for p in _PIECE.finditer(text))
+        return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        return b"".join(map(self._block, _blocks(text)))
+
+    def _block(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if _ODD_SPACE.search(text):
-            return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        first, *rest = text.split(" ")
-        return np.array(self.bpe.encode_ordinary(first), dtype="<u4").tobytes() + b"".join(map(self.words.__getitem__, rest))
+        first, *rest = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        return self.part(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 @lru_cache(2)
@@ -106,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
 
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in common.sliced(batches, 1):
             out = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = memoryview(encode(text.as_py() or "") + end)
@@ -130,14 +160,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
 # --- the plan, from the histogram -----------------------------------------
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 600) -> list[tuple[list[int], float]]:
-    """Gilmore-Gomory: (items of each size, how often) that cover the demand with the fewest sequences, fractionally."""
+def configurations(sizes: list[int], demand: list[int], capacity: int, gap: float = 1e-4) -> list[tuple[list[int], float]]:
+    """Gilmore-Gomory: (items of each size, how often) that cover the demand with the fewest sequences, fractionally.
+
+    Ends at the optimum, or once the prices prove that under half a sequence or a part ``gap`` of all can
+    be gained (no solution takes fewer than their total over the best column's value). The demand that
+    chooses what leaves is raised a little, by another amount for each size, so each exchange is a gain.
+    """
     m = len(sizes)
     s, b = np.array(sizes), np.array(demand, dtype=float)
+    raised = b + 1e-6 * (1 + np.arange(m)) / m
     basis = np.diag((capacity // s).astype(float))
     at = np.arange(capacity + 1)[:, None] - s[None, :]
     fits, at = at >= 0, np.maximum(at, 0)
-    for _ in range(rounds):
+    while True:
         dual = np.linalg.solve(basis.T, np.ones(m))
         best, picks = np.zeros(capacity + 1), []
         while True:
@@ -149,14 +185,15 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
                 break
             picks.append(np.where(better, pick, -1))
             best = np.where(better, new, best)
-        if best[capacity] <= 1 + 1e-7:
+        total = float(raised @ dual)
+        if best[capacity] <= 1 + 1e-7 or total - total / best[capacity] < max(0.5, gap * total):
             break
         column, c = np.zeros(m), capacity
         for pick in reversed(picks):
             if pick[c] >= 0:
                 column[pick[c]] += 1
                 c -= s[pick[c]]
-        x, d = np.linalg.solve(basis, b), np.linalg.solve(basis, column)
+        x, d = np.linalg.solve(basis, raised), np.linalg.solve(basis, column)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
     x = np.linalg.solve(basis, b)
@@ -283,16 +320,16 @@ def plan_rows(counts: dict[int, int], capacity: int, groups: int = 192) -> tuple
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, groups: int = 192, with_ids: bool = False, bucket_rows: int = 100_000) -> DataFrame:
     """Each piece with its sequence_id and its offset there."""
     spark = docs.sparkSession
-    common.small_batches(spark)
-    cut = common.checkpointed(pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("_hash", F.xxhash64("doc_id", "piece")))
+    # rows may share everything, so what spreads them is a number of their own, fixed by the checkpoint
+    cut = common.checkpointed(pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     buckets = -(-max(1, sum(counts.values())) // bucket_rows) * 16
     rows, _ = plan_rows(counts, capacity, groups)
     plan = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0, 0)], "_length long, _rank long, _count long, _each long, _sequence long, _offset long, _step long")
-    cut = cut.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    cut = cut.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     ahead = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("_ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "_bucket").orderBy("_row")
     ranked = cut.withColumn("_in", F.row_number().over(inside) - 1).join(before, ["length", "_bucket"])
     ranked = ranked.withColumn("_r", F.col("_ahead") + F.col("_in"))
     # a plan has some rows for each length, and no more for a larger corpus

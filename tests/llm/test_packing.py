@@ -94,3 +94,28 @@ def test_plan_places_every_piece_once(counts):
 def test_configurations_reach_the_bound():
     found = packing.configurations([50, 30, 20], [100, 100, 100], 100)
     assert sum(t for _, t in found) == pytest.approx(100, abs=1e-6)
+
+
+def test_one_id_for_all_rows(spark, docs_of, tokenizer):
+    """Nothing tells the rows apart; buckets stay even."""
+    for doc_id in (None, 7):
+        rows = packing.pack(docs_of([(doc_id, "same text")] * 6000 + [(doc_id, "")] * 6000), tokenizer_path(), bucket_rows=100).collect()
+        assert len(rows) == 12_000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 12_000
+        fill = {}
+        for r in rows:
+            fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+        assert max(fill.values()) <= CAPACITY and len(fill) == math.ceil(sum(fill.values()) / CAPACITY)
+
+
+def test_configurations_come_near_the_bound():
+    rng = random.Random(2)
+    for _ in range(20):
+        sizes = sorted(rng.sample(range(200, 1000), rng.randint(1, 40)), reverse=True)
+        demand = [rng.randint(1, 5000) for _ in sizes]
+        found = packing.configurations(sizes, demand, CAPACITY)
+        for i, n in enumerate(demand):
+            assert sum(c[i] * x for c, x in found) >= n - 1e-3
+        assert all(sum(a * b for a, b in zip(c, sizes, strict=True)) <= CAPACITY for c, _ in found)
+        halves = sum(n for s, n in zip(sizes, demand, strict=True) if s > CAPACITY / 2)
+        bound = max(halves, sum(a * b for a, b in zip(sizes, demand, strict=True)) / CAPACITY)
+        assert sum(x for _, x in found) <= 1.35 * bound
