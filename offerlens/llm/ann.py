@@ -8,17 +8,18 @@ perturbed, are enumerated in ascending order by a heap. Candidates of all tables
 are merged and ranked by their exact distance in double precision. Queries with
 too few candidates search all blocks of the index instead.
 
-Scale: equal vectors are one entry with their k+1 smallest ids (no query needs
-more), combined before any shuffle. Buckets are packed into tiles of ``TILE``
+Scale: few tables with many probes, since each table shuffles every vector once (in
+its own precision); equal vectors are one entry with their k+1 smallest ids (no query
+needs more), combined before any shuffle. Buckets are packed into tiles of ``TILE``
 vectors and hot buckets are dealt over many, so are probes; a task keeps the best
-k+1 of each query, not its candidates. The slot width comes from a sample of at
+k+1 ids of each query, not its candidates. The slot width comes from a sample of at
 most ``SAMPLE`` vectors; every vector is indexed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, as query or candidate, and vectors of different lengths
-never meet; rows that repeat id and vector count once; rows that share only the
-id are all candidates but not for each other; a null vec_id takes no part; other
-columns are ignored; an empty table gives an empty result.
+never meet; rows that share a vec_id are one item, as near as its nearest row, with
+one list for all its query rows, and no neighbour of itself; a null vec_id takes no
+part; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TABLES, HASHES, PROBES = 6, 6, 50
-#: Slot width as a multiple of the sample's median distance.
-WIDTH = 1.42
+TABLES, HASHES, PROBES = 4, 6, 60
+#: Slot width as a multiple of the distance that the sample gives for the k-th neighbour: success depends on this ratio.
+WIDTH = 1.85
 SAMPLE = 1000
 TILE = 2048
+#: Vectors hashed at a time: each query becomes as many rows as it has probes.
+PART = 256
 
 
 class Hash:
@@ -83,26 +86,32 @@ class Hash:
         return out
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_buffer(), dtype="<f8") for v in column]
+def _vectors(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), dtype=kind).astype("f8") for v in column]
+
+
+def stored_as(table: DataFrame) -> str:
+    """How components are kept: as floats where the table has floats, else as doubles."""
+    return "<f4" if table.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
 
 def clean(table: DataFrame) -> DataFrame:
-    """vec_id, vk (digest of the vector), v (little-endian doubles) of the rows that take part."""
+    """vec_id, vk (digest of the vector), v (little-endian components) of the rows that take part."""
+    kind = stored_as(table)
 
     def run(batches):
         for batch in batches:
             ids, digests, vectors = [], [], []
             for vec_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = value.values.to_numpy(zero_copy_only=False).astype("<f8") if value.is_valid and vec_id is not None else np.empty(0)
+                v = value.values.to_numpy(zero_copy_only=False).astype(kind) if value.is_valid and vec_id is not None else np.empty(0)
                 if len(v) and np.isfinite(v).all() and v.any():
-                    v = v + 0.0  # -0 is 0
+                    v = v + v.dtype.type(0)  # -0 is 0
                     ids.append(vec_id)
                     vectors.append(v.tobytes())
                     digests.append(hashlib.blake2b(vectors[-1], digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(vectors, type=pa.binary())], names=["vec_id", "vk", "v"])
 
-    return table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, vk binary, v binary")
+    return table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")).mapInArrow(run, "vec_id long, vk binary, v binary")
 
 
 def entries(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
@@ -114,31 +123,35 @@ def entries(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
     return of_vector.join(ids, "vk").withColumn("rid", F.monotonically_increasing_id())
 
 
-def median_distance(found: DataFrame) -> float:
+def neighbour_distance(found: DataFrame, kind: str, k: int) -> float:
+    """How far the k-th neighbour of a vector is: the part k / n of a sample's distances lies within that."""
+    n = found.count()
     rows = found.select("v").orderBy(F.xxhash64("vk"), "vk").limit(SAMPLE).collect()
     by_dim: dict[int, list] = {}
     for r in rows:
-        v = np.frombuffer(bytes(r["v"]), dtype="<f8")
+        v = np.frombuffer(bytes(r["v"]), dtype=kind).astype("f8")
         by_dim.setdefault(len(v), []).append(v)
     x = np.stack(max(by_dim.values(), key=len)) if by_dim else np.zeros((1, 1))
     d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    d = d[np.triu_indices(len(x), 1)]
-    return float(np.median(d)) if len(d) and np.median(d) > 0 else 1.0
+    d = np.sort(d[np.triu_indices(len(x), 1)])
+    d = d[d > 1e-6]
+    return float(d[min(len(d) - 1, len(d) * k // n)]) if len(d) else 1.0
 
 
-def _hashed(found: DataFrame, probes: int, tables: int, hashes: int, width: float, columns: list[str], types: list) -> DataFrame:
+def _hashed(found: DataFrame, kind: str, probes: int, tables: int, hashes: int, width: float, columns: list[str], types: list) -> DataFrame:
     """Rows (t, key, columns...): the buckets of entries (probes 1) or those that queries visit."""
     at = columns.index("v")
 
     def run(batches):
         made: dict[tuple[int, int], Hash] = {}
         for batch in batches:
-            vectors = _vectors(batch.column(at))
+            vectors = _vectors(batch.column(at), kind)
             dims = np.array([len(v) for v in vectors])
             for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                x = np.stack([vectors[i] for i in rows])
-                for t in range(tables):
+                same = np.flatnonzero(dims == dim)
+                parts = np.split(same, range(PART, len(same), PART))
+                for rows, t in ((r, t) for r in parts for t in range(tables)):
+                    x = np.stack([vectors[i] for i in rows])
                     h = made.setdefault((dim, t), Hash(dim, t, hashes, width))
                     keys = h.probe_keys(x, probes) if probes > 1 else h.keys(h.slots(x)[0])[:, None]
                     take = pa.array(np.repeat(rows, [len(y) for y in keys]))
@@ -158,82 +171,87 @@ def _tiled(rows: DataFrame, spread: str, columns: list[str], name: str) -> tuple
     return dealt.groupBy("t", "key", "tile").agg(F.collect_list(F.struct(*columns)).alias(name)), hot
 
 
-def _search(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(qid, rid, distance, ids): for each query its k+1 nearest entries among the buckets it shares, by distance and least id."""
-    tiles, hot = _tiled(index, "rid", ["rid", "v", "ids"], "entries")
-    probes, _ = _tiled(asked, "qid", ["qid", "v"], "queries")
-    probes = probes.select("t", "key", "queries").join(hot, ["t", "key"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).drop("tiles")
-    pairs = probes.join(tiles, ["t", "key", "tile"]).select("queries", "entries")
-
-    def best(q, d, r, ids):
-        order = np.lexsort((r, [i[0] for i in ids], d, q))
-        q, d, r, ids = q[order], d[order], r[order], ids[order]
-        fresh = np.ones(len(q), dtype=bool)
-        fresh[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1])
-        q, d, r, ids = q[fresh], d[fresh], r[fresh], ids[fresh]
+def _best(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k+1 nearest ids of each query, ties to the smaller; an id is as near as its nearest row."""
+    for most in (1, k + 1):  # of each id, then of each query
+        order = np.lexsort((d, ids, q) if most == 1 else (ids, d, q))
+        q, d, ids = q[order], d[order], ids[order]
         first = np.ones(len(q), dtype=bool)
         first[1:] = q[1:] != q[:-1]
+        if most == 1:
+            first[1:] |= ids[1:] != ids[:-1]
         place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-        keep = place <= k
-        return q[keep], d[keep], r[keep], ids[keep]
+        keep = place < most
+        q, d, ids = q[keep], d[keep], ids[keep]
+    return q, d, ids
+
+
+def _search(index: DataFrame, asked: DataFrame, kind: str, k: int) -> DataFrame:
+    """(qid, vec_id, distance): for each query the k+1 nearest ids in the buckets that it shares."""
+    tiles, hot = _tiled(index, "rid", ["v", "ids"], "entries")
+    probes, _ = _tiled(asked, "qid", ["qid", "v"], "queries")
+    probes = probes.select("t", "key", "queries").join(hot, ["t", "key"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).drop("tiles")
+    pairs = probes.join(tiles, ["t", "key", "tile"]).select("queries", "entries")
 
     def batch_of(held):
-        q, d, r, ids = held
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(d), pa.array(ids.tolist(), type=pa.list_(pa.int64()))], names=["qid", "rid", "distance", "ids"])
+        q, d, ids = held
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(d)], names=["qid", "vec_id", "distance"])
 
     def run(batches):
         held, parts, size = None, [], 0
         for batch in batches:
             for asked_now, there in zip(batch.column(0), batch.column(1), strict=True):
                 a, b = asked_now.values, there.values
-                qs, xs = np.stack(_vectors(a.field("v"))), np.stack(_vectors(b.field("v")))
-                qid, rid = a.field("qid").to_numpy(), b.field("rid").to_numpy()
-                lists = np.empty(len(rid), dtype=object)
-                lists[:] = b.field("ids").to_pylist()
+                qs, xs = np.stack(_vectors(a.field("v"), kind)), np.stack(_vectors(b.field("v"), kind))
+                qid, lists = a.field("qid").to_numpy(), b.field("ids")
+                ends = lists.offsets.to_numpy().astype(np.int64)
+                flat, count = lists.values.to_numpy(), np.diff(ends)
                 rough = (xs * xs).sum(1)[None] + (qs * qs).sum(1)[:, None] - 2 * qs @ xs.T
-                if len(rid) > k + 1:
+                here = flat[ends[0] : ends[-1]]
+                if len(xs) > k + 1 and len(np.unique(here)) == len(here):  # then k+1 vectors hold k+1 ids
                     edge = np.partition(rough, k, axis=1)[:, k]
                     i, j = np.nonzero(rough <= (edge + 1e-9 * (1 + np.abs(edge) + (qs * qs).sum(1)))[:, None])
                 else:
                     i, j = (x.ravel() for x in np.indices(rough.shape))
                 exact = np.sqrt(((xs[j] - qs[i]) ** 2).sum(1))
-                parts.append((qid[i], exact, rid[j], lists[j]))
-                size += len(i)
+                times = count[j]
+                at = np.repeat(ends[j], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                parts.append((np.repeat(qid[i], times), np.repeat(exact, times), flat[at]))  # one row an id
+                size += len(at)
                 if size > 200_000:
-                    held = best(*(np.concatenate(c) for c in zip(*([held] if held else []), *parts, strict=True)))
+                    held = _best(*(np.concatenate(c) for c in zip(*([held] if held else []), *parts, strict=True)), k)
                     parts, size = [], 0
                     if len(held[0]) > 1_000_000:  # many queries: pass on what there is
                         yield batch_of(held)
                         held = None
         if parts or held:
-            yield batch_of(best(*(np.concatenate(c) for c in zip(*([held] if held else []), *parts, strict=True))))
+            yield batch_of(_best(*(np.concatenate(c) for c in zip(*([held] if held else []), *parts, strict=True)), k))
+
+    return _nearest_ids(pairs.mapInArrow(run, "qid long, vec_id long, distance double"), "qid", k + 1)
+
 
-    found = pairs.mapInArrow(run, "qid long, rid long, distance double, ids array<long>")
-    found = found.groupBy("qid", "rid").agg(F.min("distance").alias("distance"), F.first("ids").alias("ids"))
-    order = Window.partitionBy("qid").orderBy("distance", F.col("ids")[0], "rid")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+def _nearest_ids(found: DataFrame, query: str, most: int) -> DataFrame:
+    found = found.groupBy(query, "vec_id").agg(F.min("distance").alias("distance"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("distance", "vec_id"))).where(F.col("rank") <= most)
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest found of each query row of ``table`` (vec_id, embedding)."""
-    spark = table.sparkSession
-    common.small_batches(spark)
-    is_query = F.coalesce(is_query, F.lit(False))
+    """query_id, rank (from 1), vec_id, score: the k nearest found of each id with a query row in ``table`` (vec_id, embedding)."""
+    is_query, kind = F.coalesce(is_query, F.lit(False)), stored_as(table)
     rows = common.checkpointed(clean(table))
     found = common.checkpointed(entries(rows, k, is_query))
-    slot = width * median_distance(found)
+    slot = width * neighbour_distance(found, kind, k)
     kinds = {"rid": "long", "qid": "long", "v": "binary", "ids": "array<long>"}
-    hashed = lambda df, n, names: _hashed(df, n, tables, hashes, slot, names, [kinds[c] for c in names])
+    hashed = lambda df, n, names: _hashed(df, kind, n, tables, hashes, slot, names, [kinds[c] for c in names])
     asked = found.where("is_query").select(F.col("rid").alias("qid"), "v", "vk")
-    got = common.checkpointed(_search(hashed(found, 1, ["rid", "v", "ids"]), hashed(asked, probes, ["qid", "v"]), k))
-    enough = got.groupBy("qid").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > k).select("qid")
+    got = common.checkpointed(_search(hashed(found, 1, ["rid", "v", "ids"]), hashed(asked, probes, ["qid", "v"]), kind, k))
+    enough = got.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("qid")
     few = common.checkpointed(asked.join(enough, "qid", "left_anti"))
     if few.take(1):
         one = [F.lit(0).alias("t"), F.octet_length("v").cast("long").alias("key")]  # one bucket for all vectors of a length
-        got = got.join(few.select("qid"), "qid", "left_anti").unionByName(_search(found.select(*one, "rid", "v", "ids"), few.select(*one, "qid", "v"), k))
-    near = got.select("qid", "distance", F.explode("ids").alias("vec_id")).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))).alias("near"))
+        got = got.join(few.select("qid"), "qid", "left_anti").unionByName(_search(found.select(*one, "rid", "v", "ids"), few.select(*one, "qid", "v"), kind, k))
+    near = got.groupBy("qid").agg(F.collect_list(F.struct("distance", "vec_id")).alias("near"))  # k+1 at most
     near = asked.select("qid", "vk").join(near, "qid").select("vk", "near")
     out = common.salted_lookup(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vk").distinct(), near, ["vk"], F.col("query_id"), how="inner")
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = out.select("query_id", F.posexplode(others).alias("at", "x"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x")["vec_id"].alias("vec_id"), F.col("x")["distance"].alias("score"))
+    out = out.select("query_id", F.explode("near").alias("x")).select("query_id", "x.*").where(F.col("vec_id") != F.col("query_id"))
+    return _nearest_ids(out, "query_id", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("distance").alias("score"))

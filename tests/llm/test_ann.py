@@ -77,3 +77,28 @@ def test_probes_come_in_order_of_estimated_success():
     assert (above >= 0).all() and (above < 1).all()
     few, many = h.probe_keys(x, 5)[0], h.probe_keys(x, 50)[0]
     assert len(few) == 5 and len(many) == 50 and set(few) <= set(many) and h.keys(slots)[0] in few
+
+
+def test_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(3)
+    rows = [(100, [float(x) for x in np.float32(rng.normal(size=8))], 0) for _ in range(8)] + [(i, [float(x) for x in np.float32(rng.normal(size=8))], 0) for i in range(1, 41)] + [(7, [float(x) for x in np.float32(rng.normal(size=8))], 0)]
+    got = lists(ann.nearest(table(spark, rows), F.col("vec_id") % 100 == 0).collect())
+    mine = [np.array(v) for i, v, _ in rows if i == 100]
+    near = {i: min(np.sqrt(((np.array(v) - m) ** 2).sum()) for j, v, _ in rows if j == i for m in mine) for i in range(1, 41)}
+    want = sorted((d, i) for i, d in near.items())[:10]
+    assert [(r, v) for r, v, _ in got[100]] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+    assert [s for _, _, s in got[100]] == pytest.approx([d for d, _ in want], rel=1e-14)
+
+
+def test_recall_and_share_of_candidates_on_a_larger_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = {r["vec_id"]: np.float32(r["embedding"]) for r in rows.collect()}
+    got = lists(ann.nearest(rows, F.col("vec_id") % 50 == 0).collect())
+    want = brute(vectors, list(got))
+    assert np.mean([len({v for _, v, _ in got[q]} & {v for _, v, _ in want[q]}) / 10 for q in got]) >= 0.9
+
+
+def test_doubles_keep_their_precision(spark):
+    rows = [(0, [1.0, 1e-12], 0), (1, [1.0, 0.0], 0), (2, [1.0, 3e-12], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert lists(ann.nearest(df, F.col("vec_id") == 0).collect())[0] == [(1, 1, 1e-12), (2, 2, 3e-12 - 1e-12)]
