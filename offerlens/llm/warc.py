@@ -13,7 +13,8 @@ payload's digests are verified. Memory holds one record and one block.
 
 Scale: digests with their largest page_id are combined before their shuffle and
 joined back with salts, so a payload that a third of all pages share is dealt
-out. Bodies are shuffled once at most; archives, not records, are read tasks.
+out, whatever page_ids they have. Bodies are shuffled once; archives, not records,
+are read tasks. Archives are the result: who asks for them removes them.
 
 Defined results: null html is an empty payload; rows without url get an urn as
 target; repeated rows give a record each; null page_id is kept and is never the
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -51,16 +53,18 @@ def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, kind: str = "page") -> str:
-    return f"<urn:{kind}:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str | None = None) -> str:
+    """That of a stored payload names page and payload, for revisits to refer to; any other is of its own."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest or uuid.uuid4().hex}>"
 
 
-def make_record(page_id, url, payload: bytes, refers_to, is_revisit: bool, date: str) -> bytes:
+def make_record(page_id, url, payload: bytes, refers_to, is_revisit: bool, date: str, is_stored: bool = False) -> bytes:
     """One record as a gzip member."""
     block = _HTTP % len(payload) + (b"" if is_revisit else payload)
+    digest = hashlib.sha1(payload).hexdigest()
     fields = {
         "WARC-Type": "revisit" if is_revisit else "response",
-        "WARC-Record-ID": record_id(page_id),
+        "WARC-Record-ID": record_id(page_id, digest if is_stored else None),
         "WARC-Date": date,
         "WARC-Target-URI": (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": _digest(payload),
@@ -69,7 +73,7 @@ def make_record(page_id, url, payload: bytes, refers_to, is_revisit: bool, date:
         "Content-Length": str(len(block)),
     }
     if is_revisit:
-        fields |= {"WARC-Profile": _PROFILE, "WARC-Refers-To": record_id(refers_to)}
+        fields |= {"WARC-Profile": _PROFILE, "WARC-Refers-To": record_id(refers_to, digest)}
     head = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}".encode() + _LINE for k, v in fields.items())
     pack = zlib.compressobj(4, zlib.DEFLATED, 31)
     return pack.compress(head + _LINE + block + _LINE + _LINE) + pack.flush()
@@ -147,23 +151,23 @@ def _same(said: str, data: bytes) -> bool:
 
 
 def _page(urn: str | None) -> int | None:
-    last = (urn or "").strip("<>").rpartition(":")[2]
-    return int(last) if last.lstrip("-").isdigit() else None
+    found = re.match(r"<urn:page:(-?\d+)(?::|>)", urn or "")
+    return int(found[1]) if found else None
 
 
 # --- Spark -------------------------------------------------------------------
 
 
 def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, refers_to and is_revisit: which pages repeat a payload that another stores."""
+    """page_id, url, payload, refers_to, is_revisit, is_stored: which pages repeat a payload that another stores."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("digest", F.when(F.octet_length("payload") >= revisit_bytes, F.col("digest")))
-    keepers = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    # rows without a repeated payload need no partner: only small rows are joined, then the payloads by page
-    repeats = common.salted_lookup(rows.where(F.col("digest").isNotNull()).select("page_id", "digest"), keepers, ["digest"], F.col("page_id"), how="inner")
-    repeats = repeats.where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "keeper").distinct()
-    joined = rows.join(repeats, rows["page_id"].eqNullSafe(repeats["_page"]) & (rows["digest"] == repeats["_digest"]), "left")
-    return joined.select("page_id", "url", "payload", F.col("keeper").alias("refers_to"), F.col("keeper").isNotNull().alias("is_revisit"))
+    # payloads too small to be shared get a key of their own, so nothing gathers them
+    own = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("_key", F.when(F.octet_length("payload") >= revisit_bytes, F.sha1("payload")).otherwise(own))
+    keepers = rows.where(~F.col("_key").startswith("~")).groupBy("_key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    joined = common.salted_lookup(rows, keepers, ["_key"], F.monotonically_increasing_id())
+    repeats = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    return joined.select("page_id", "url", "payload", F.when(repeats, F.col("keeper")).alias("refers_to"), repeats.alias("is_revisit"), (F.col("n").isNotNull() & ~repeats).alias("is_stored"))
 
 
 def _open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -184,11 +188,11 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             done.append((out["path"], out["records"], out["bytes"]))
 
         for batch in batches:
-            for page_id, url, payload, refers_to, is_revisit in zip(*(batch.column(i) for i in range(5)), strict=True):
+            for page_id, url, payload, refers_to, is_revisit, is_stored in zip(*(batch.column(i) for i in range(6)), strict=True):
                 if out is None:
                     path = f"{base}/archives/{uuid.uuid4().hex}.warc.gz"
                     out = {"path": path, "stream": store.open_output_stream(path, compression=None), "records": 0, "bytes": 0}
-                data = make_record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), is_revisit.as_py(), date)
+                data = make_record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), is_revisit.as_py(), date, is_stored.as_py())
                 out["stream"].write(data)
                 out["records"] += 1
                 out["bytes"] += len(data)
@@ -201,7 +205,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["path", "n_records", "n_bytes"])
 
     schema = "path string, n_records long, n_bytes long"
-    records.select("page_id", "url", "payload", "refers_to", "is_revisit").mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    records.select("page_id", "url", "payload", "refers_to", "is_revisit", "is_stored").mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
 
@@ -242,6 +246,5 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the pages as archives and read these back."""
     spark = pages.sparkSession
-    common.small_batches(spark, 200)
     folder = folder or common.shared_path(spark, "warc")
     return read_archives(write_archives(plan_records(pages), folder), folder)

@@ -79,3 +79,20 @@ def test_broken_records_are_refused():
                 warc.read_record(bad)
     folded = good.replace(b"WARC-Target-URI: u", b"WARC-Target-URI: u\r\n more")
     assert warc.read_record(folded)["fields"]["warc-target-uri"] == "u more"
+
+
+def test_record_ids_and_references(spark, tmp_path):
+    """Rows that share a page_id have records of their own; a revisit names the record that stores its payload."""
+    rows = [(1, "u", "small"), (1, "u", "small"), (1, "v", "other"), (2, "u", BIG), (9, "u", BIG), (None, "u", BIG), (9, "w", WIDE), (3, "u", WIDE), (None, None, None), (None, "", "")]
+    folder = str(tmp_path / "w")
+    manifest = warc.write_archives(warc.plan_records(pages_of(spark, rows)), folder)
+    fields = []
+    for r in manifest.collect():
+        with open(r["path"], "rb") as f:
+            fields += [warc.read_record(m)["fields"] for m in warc.members(f)]
+    ids = [f["warc-record-id"] for f in fields]
+    assert len(ids) == len(set(ids)) == len(rows)
+    stored = {f["warc-record-id"]: f for f in fields if f["warc-type"] == "response"}
+    again = [f for f in fields if f["warc-type"] == "revisit"]
+    assert len(again) == 3 and all(stored[f["warc-refers-to"]]["warc-payload-digest"] == f["warc-payload-digest"] for f in again)
+    assert sorted((r["page_id"], r["refers_to"]) for r in warc.read_archives(manifest, folder).collect() if r["record_type"] == "revisit" and r["page_id"]) == [(2, 9), (3, 9)]
