@@ -1,41 +1,51 @@
 """Operator 4: layout-aware text of HTML pages.
 
-A tokenizer feeds a tree builder that opens and closes the tags which HTML
-implies (paragraphs before blocks, list items, definition terms, options, table
-sections, rows and cells). A renderer walks the tree: hidden elements (by tag,
-attribute, inline style, or a simple rule of a style sheet in the page) are left
-out, inline text collapses its white space, blocks start new lines and paragraphs
-leave an empty line, list items get their marks and indents, preformatted text
-stays, and the cells of a table line up in columns.
-
-Scale: one map over the pages, no shuffle; memory is that of one page.
-
-Defined results: null and empty html give an empty text; broken markup never
-fails (unknown ends are ignored, open elements end with the page, nesting beyond
-``MAX_DEPTH`` levels is flattened); other columns are ignored; repeated rows are
-rendered one by one; an empty table gives an empty result.
+A tokenizer that follows HTML's rules for tags, attributes and comments feeds a tree
+builder that opens and closes the tags which HTML implies (paragraphs before blocks,
+list items, definition terms, options, table sections, rows and cells). Visibility
+comes from tags, attributes, inline styles and the page's style sheets, whose matching
+rules apply by weight and order. A renderer walks the tree: what isn't displayed is left
+out, inline text collapses its white space, blocks start new lines and paragraphs leave
+an empty line, list items get their marks and indents, preformatted text stays, and the
+cells of a table line up in columns.
+
+Scale: one map over the pages, no shuffle; memory is that of one page. Tree and walk use
+stacks of their own, so markup may be nested to any depth.
+
+Defined results: null and empty html give an empty text; broken markup never fails
+(unknown ends are ignored, open elements end with the page, a tag that the page breaks
+off is dropped); selectors other than tags, classes, ids and attributes, alone, compound,
+below or directly below each other, are ignored, and so are rules for other media than
+all and screen, or under conditions; other columns are ignored; repeated rows are rendered
+one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 200
+from . import common
 
-# Elements by their part in HTML.
+# Elements by their part in HTML, and its limits of spans.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist area base link meta param source track col colgroup".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
+NEVER = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist area base link meta param source track col colgroup".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul xmp plaintext caption tr td th thead tbody tfoot".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu dir".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
+VERBATIM = frozenset("pre xmp textarea plaintext".split())
+LISTS = frozenset("ul ol menu dir".split())
+FOREIGN = frozenset(["svg", "math"])
+FOREIGN_HIDDEN = frozenset("title desc defs metadata style script symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 #: tag -> (open tags that it ends, tags that such a search doesn't cross)
 _ENDS = {
@@ -49,309 +59,565 @@ _ENDS = {
     "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "thead": (frozenset(["tr", "td", "th", "caption", "colgroup", *SECTIONS]), frozenset(["table"])),
     "caption": (frozenset(["caption"]), frozenset(["table"])),
-    "body": (frozenset(["head"]), frozenset()),
 }
 _ENDS["tbody"] = _ENDS["tfoot"] = _ENDS["thead"]
 _P_SCOPE = frozenset("table td th caption button li dd".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TABLE = frozenset(["table"])
+
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+_CDATA = re.compile(r"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.S)
+_BOGUS = re.compile(r"<[^>]*(?:>|\Z)")
+#: What comes before an attribute, the tag's end, or a name with its value: quoted, left open to the page's end, or bare.
+_ATTR = re.compile(r"[\s/]*(?:(>)|(\Z)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([\"'])|([^\s>]*)))?)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*)?(?:[.#][\w-]+)?$", re.I)
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children")
+_NO_ATTRIBUTES: dict[str, str] = {}  # of many nodes, never changed
 
-    def __init__(self, tag: str, attrs: dict | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
 
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent", "shown", "visible", "pre", "lines")
 
-def _attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTR.findall(text):
-        out.setdefault(name.lower(), unescape(a or b or c))
-    return out
+    def __init__(self, tag: str, parent: Node | None, attrs: dict | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs or _NO_ATTRIBUTES, [], parent
+        self.shown = self.visible = True
+        self.pre = tag in VERBATIM
+        if parent is not None:
+            parent.children.append(self)
 
 
-def parse(html: str) -> tuple[Node, set[str]]:
-    """The tree of a page, and the selectors whose elements its style sheets hide."""
-    root = Node("html")
-    stack, hidden_by, at, size = [root], set(), 0, len(html)
+@lru_cache(64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
 
-    def close_until(ends, scope) -> None:
-        """End the outermost open element of ``ends`` that no element of ``scope`` encloses from inside."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in scope:
-                return
-            if stack[i].tag in ends:
-                while i > 1 and stack[i - 1].tag in ends and stack[i - 1].tag not in scope:
-                    i -= 1
-                del stack[i:]
-                return
 
-    def text(data: str) -> None:
+def _read_attributes(html: str, at: int) -> tuple[dict[str, str] | None, int, bool]:
+    """Attributes (the first of a name counts), the place behind the tag, and whether it closes itself; None if the page ends first."""
+    out: dict[str, str] = {}
+    while True:
+        found = _ATTR.match(html, at)
+        at = found.end()
+        if found[1]:
+            return out, at, html[at - 2] == "/" and not found[3]
+        if found[2] is not None or found[6]:
+            return None, len(html), False
+        value = found[4] or found[5] or found[7] or ""
+        out.setdefault(found[3].lower(), unescape(value) if "&" in value else value)
+
+
+class _Builder:
+    def __init__(self):
+        self.root = Node("html", None)
+        self.body = Node("body", self.root)
+        self.stack = [self.root, self.body]
+        self.places: dict[str, list[int]] = {}  # tag -> where it is open
+        self.sheets: list[tuple[str, str]] = []  # (media, text) of style sheets
+        self.foreign = 0
+
+    def push(self, tag: str, attrs: dict | None = None) -> Node:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Node(tag, self.stack[-1], attrs))
+        self.foreign += tag in FOREIGN
+        return self.stack[-1]
+
+    def cut(self, at: int) -> None:
+        """Close what is open from place ``at`` on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            self.foreign -= tag in FOREIGN
+
+    def _top(self, tags: frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, ends: frozenset[str], scope: frozenset[str] = frozenset()) -> None:
+        """End the innermost open element of ``ends`` that no element of ``scope`` encloses from inside, with those of ``ends`` right around it."""
+        at = self._top(ends)
+        if at and at > self._top(scope):
+            while at > 2 and self.stack[at - 1].tag in ends and self.stack[at - 1].tag not in scope:
+                at -= 1
+            self.cut(at)
+
+    def text(self, data: str) -> None:
+        top = self.stack[-1]
+        if data and top.tag in ("table", "tr", *SECTIONS):
+            if data.isspace():
+                return
+            top = Node("caption", top)  # text astray in a table is kept before its rows
         if data:
-            if stack[-1].tag in ("table", "tr", *SECTIONS):
-                if data.isspace():
-                    return
-                stack[-1].children.append(Node("caption"))  # text astray in a table is kept before its rows
-                stack[-1].children[-1].children.append(unescape(data))
-            else:
-                stack[-1].children.append(unescape(data))
-
+            top.children.append(unescape(data) if "&" in data else data)
+
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            Node("br", self.stack[-1])
+        elif tag in HEADINGS:
+            self.close(HEADINGS)
+        elif tag not in ("html", "body"):
+            self.close_one(tag)
+
+    def close_one(self, tag: str) -> None:
+        at = self._top(frozenset([tag]))
+        if at and (tag == "table" or at > self._top(_TABLE)):
+            self.cut(at)
+
+    def start(self, tag: str, attrs: dict, closes_itself: bool) -> Node:
+        if tag in ("html", "body"):
+            node = self.root if tag == "html" else self.body
+            node.attrs = attrs | node.attrs
+            if tag == "body":
+                self.close(frozenset(["head"]))
+            return node
+        if tag in CLOSES_P:
+            if self.stack[-1].tag == "head":
+                self.cut(len(self.stack) - 1)
+            self.close(frozenset(["p"]), _P_SCOPE)
+        if tag in _ENDS:
+            self.close(*_ENDS[tag])
+        if tag in ("td", "th") and self.stack[-1].tag in ("table", *SECTIONS):  # an implied row
+            self.push("tr")
+        if tag in VOID or tag in RAW or closes_itself and (self.foreign or tag in FOREIGN):
+            return Node(tag, self.stack[-1], attrs)
+        return self.push(tag, attrs)
+
+
+def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
+    """The tree of a page (html, with a body below it), and its style sheets as (media, text)."""
+    b = _Builder()
+    at, size = 0, len(html)
     while at < size:
-        found = html.find("<", at)
-        if found < 0:
-            text(html[at:])
+        opened = _OPEN.search(html, at)
+        if not opened:
+            b.text(html[at:])
             break
-        token = _TOKEN.match(html, found)
-        if not token:
-            text(html[at : found + 1])
-            at = found + 1
+        found = opened.start()
+        b.text(html[at:found])
+        name = _NAME.match(html, found)
+        if not name:
+            at = _markup(b, html, found)
             continue
-        text(html[at:found])
-        at = max(token.end(), found + 1)
-        tag = (token[2] or "").lower()
-        if not tag:
-            continue
-        if token[1]:
-            if tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag in HEADINGS:
-                close_until(HEADINGS, frozenset())
-            else:
-                scope = frozenset(["table"]) if tag != "table" else frozenset()
-                close_until(frozenset([tag]), scope) if tag not in ("html", "body") else None
-            continue
-        attrs = _attributes(token[3]) if token[3] else {}
-        if tag in ("html", "head", "body"):
-            if tag == "body":
-                close_until(*_ENDS["body"])
-            if tag == "head":
-                stack[-1].children.append(node := Node(tag, attrs))
-                stack.append(node)
+        tag, ends = name[1].lower(), html[found + 1] == "/"
+        attrs, at, closes_itself = _read_attributes(html, name.end())
+        if attrs is None:
+            break
+        if ends:
+            b.end(tag)
             continue
-        if tag in CLOSES_P:
-            if stack[-1].tag == "head":
-                stack.pop()
-            close_until(frozenset(["p"]), _P_SCOPE)
-        if tag in _ENDS:
-            close_until(*_ENDS[tag])
-        top = stack[-1].tag
-        if tag in ("td", "th") and top in ("table", *SECTIONS):  # an implied row
-            stack[-1].children.append(node := Node("tr"))
-            stack.append(node)
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+        node = b.start(tag, attrs, closes_itself)
+        if tag in RAW and not (closes_itself and b.foreign):
+            end = _raw_end(tag).search(html, at)
             data = html[at : end.start() if end else size]
             at = end.end() if end else size
             if tag == "style":
-                _hidden_selectors(data, hidden_by)
-            elif tag in ("textarea", "title"):
-                node.children.append(unescape(data))
-            elif tag == "xmp":
-                node.children.append(data)
-        elif tag not in VOID and not (token[3] or "").endswith("/") or tag in ("p", "div", "span", "li") and tag not in VOID:
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
-    return root, hidden_by
+                b.sheets.append((attrs.get("media", ""), data))
+            elif data:
+                node.children.append(data if tag in ("xmp", "plaintext") else unescape(data))
+    return b.root, b.sheets
+
+
+def _markup(b: _Builder, html: str, at: int) -> int:
+    """What a < begins that no tag name follows: comments, declarations, or text. The place behind it."""
+    second = html[at + 1 : at + 2]
+    if second == "!" and html.startswith("<!--", at):
+        return _COMMENT.match(html, at).end()
+    if b.foreign and html.startswith("<![CDATA[", at):
+        found = _CDATA.match(html, at)
+        b.stack[-1].children.append(found[1])
+        return found.end()
+    if second in ("!", "?") or second == "/" and at + 2 < len(html):
+        return _BOGUS.match(html, at).end()
+    b.text("<")
+    return at + 1
+
+
+# --- visibility -----------------------------------------------------------------
+
+_SIMPLE = re.compile(r"([a-z][a-z0-9-]*|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]", re.I)
+_AT_MEDIA = re.compile(r"@media\b(.*)", re.I | re.S)
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+
+
+def _declared(text: str) -> dict[str, tuple[str, bool]]:
+    """property -> (value, important) of display and visibility; the last counts."""
+    return {m[1].lower(): (m[2].lower(), bool(m[3])) for m in _DECLARATION.finditer(text)}
+
+
+def _applies(media: str) -> bool:
+    """Whether a list of media asks for nothing but all or screen, in one of its parts."""
+    return any(re.fullmatch(r"\s*(?:only\s+)?(?:all|screen)?\s*", part, re.I) for part in media.split(","))
+
+
+def _rules(css: str):
+    """(selectors, body) of the rules that apply; blocks under other conditions are skipped whole."""
+    css = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", css, flags=re.S)
+    at, open_ = 0, []  # open_: whether the rules of each block that is entered apply
+    for found in re.finditer(r"[{};]", css):
+        head = css[at : found.start()].strip()
+        at = found.end()
+        if found[0] == "{":
+            media = _AT_MEDIA.match(head)
+            nests = bool(media) or re.match(r"@(?:layer|supports|container|scope|starting-style)\b", head, re.I)
+            open_.append((head, _applies(media[1]) if media else bool(re.match(r"@layer\b", head, re.I)), bool(nests), at))
+        elif found[0] == "}" and open_:
+            head, _, nests, start = open_.pop()
+            if not nests and not head.startswith("@") and all(applies and nested for _, applies, nested, _ in open_):
+                yield head, css[start : found.start()]
+
+
+class _Selector:
+    """Compound selectors from the element outward: [(test, directly)]; None if it isn't of the known kinds."""
+
+    def __init__(self, parts: list, weight: tuple[int, int, int]):
+        self.parts, self.weight = parts, weight
+
+    @classmethod
+    def of(cls, text: str) -> _Selector | None:
+        parts, weight, directly = [], [0, 0, 0], False
+        for piece in re.findall(r"\s*>\s*|\s+|(?:\[[^\]]*\]|[^\s>\[])+", text.strip()):
+            if not piece.strip() or piece.strip() == ">":
+                directly = bool(piece.strip())
+                continue
+            test, at = [], 0
+            while at < len(piece):
+                m = _SIMPLE.match(piece, at)
+                if not m:
+                    return None
+                at = m.end()
+                if m[1] and m[1] != "*":
+                    test.append(("tag", m[1].lower(), None))
+                    weight[2] += 1
+                elif m[2]:
+                    test.append(("class", m[2], None))
+                    weight[1] += 1
+                elif m[3]:
+                    test.append(("id", m[3], None))
+                    weight[0] += 1
+                elif m[4]:
+                    test.append((m[5] or "has", m[4].lower(), m[6] or m[7] or m[8] or ""))
+                    weight[1] += 1
+            parts.append((test, directly))
+            directly = False
+        return cls(parts[::-1], tuple(weight)) if parts else None
+
+    def key(self) -> tuple[str, str]:
+        """What an element must have for the selector to be tried."""
+        by = {kind: value for kind, value, _ in self.parts[0][0] if kind in ("tag", "class", "id")}
+        return next(((k, by[k]) for k in ("id", "class", "tag") if k in by), ("any", ""))
+
+    def matches(self, node: Node) -> bool:
+        if not _passes(node, self.parts[0][0]):
+            return False
+        at, directly = node.parent, self.parts[0][1]
+        for test, next_directly in self.parts[1:]:
+            while at is not None and not _passes(at, test):
+                if directly:
+                    return False
+                at = at.parent
+            if at is None:
+                return False
+            at, directly = at.parent, next_directly
+        return True
 
 
-def _hidden_selectors(css: str, out: set[str]) -> None:
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-        if _HIDES.search(body):
-            out.update(s for s in (x.strip() for x in selectors.split(",")) if s and _SIMPLE.match(s) and "@" not in s)
+def _passes(node: Node, test: list) -> bool:
+    for kind, name, value in test:
+        if kind == "tag":
+            ok = node.tag == name
+        elif kind == "class":
+            ok = name in node.attrs.get("class", "").split()
+        elif kind == "id":
+            ok = node.attrs.get("id") == name
+        else:
+            have = node.attrs.get(name)
+            ok = have is not None and {"has": lambda: True, "=": lambda h=have: h == value, "~=": lambda h=have: value in h.split(), "^=": lambda h=have: value != "" and h.startswith(value), "$=": lambda h=have: value != "" and h.endswith(value), "*=": lambda h=have: value != "" and value in h, "|=": lambda h=have: h == value or h.startswith(f"{value}-")}[kind]()
+        if not ok:
+            return False
+    return True
+
+
+def _style_rules(sheets: list[tuple[str, str]]) -> dict[tuple[str, str], list]:
+    """key of a selector -> [(selector, declarations, order)] of the rules on display and visibility."""
+    found: dict[tuple, tuple] = {}  # the last rule of a selector with these declarations counts
+    order = 0
+    for media, css in sheets:
+        for selectors, body in _rules(css) if _applies(media) else ():
+            declared = _declared(body)
+            for text in selectors.split(",") if declared else ():
+                order += 1
+                found[text.strip(), tuple(declared.items())] = (text, declared, order)
+    out: dict[tuple[str, str], list] = {}
+    for text, declared, order in found.values():
+        selector = _Selector.of(text)
+        if selector:
+            out.setdefault(selector.key(), []).append((selector, declared, order))
+    return out
 
 
-def _is_hidden(node: Node, by: set[str]) -> bool:
-    if node.tag in HIDDEN:
-        return True
-    attrs = node.attrs
-    if attrs:
-        if "hidden" in attrs or node.tag == "input" and attrs.get("type", "").lower() == "hidden" or _HIDES.search(attrs.get("style", "")):
-            return True
-        if node.tag == "dialog" and "open" not in attrs:
-            return True
-    elif node.tag == "dialog":
-        return True
-    if by:
-        names = {node.tag} | {f"{t}.{c}" for c in attrs.get("class", "").split() for t in ("", node.tag)} | {f"{t}#{attrs[k]}" for k in ("id",) if k in attrs for t in ("", node.tag)}
-        return not by.isdisjoint(names)
-    return False
+def _set_visibility(root: Node, sheets: list[tuple[str, str]]) -> list[Node]:
+    """Decide ``shown`` (display) and ``visible`` (visibility, inherited) of each node; the tables that are shown, outer ones first."""
+    rules = _style_rules(sheets)
+    tables, stack = [], [(root, True, False)]
+    while stack:
+        node, visible, outside = stack.pop()  # outside: in a drawing, where bare text isn't shown
+        attrs, tag = node.attrs, node.tag
+        node.shown = not (tag in NEVER or outside and tag in FOREIGN_HIDDEN)
+        if not node.shown:
+            continue
+        hidden = "hidden" in attrs or tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs
+        best = {"display": ((False, (-1, 0, 0), 0), "none" if hidden else ""), "visibility": ((False, (-1, 0, 0), 0), "")}
+        if rules:
+            keys = [("any", ""), ("tag", tag), ("id", attrs.get("id", "")), *(("class", c) for c in dict.fromkeys(attrs.get("class", "").split()))]
+            for key in keys:
+                for selector, declared, order in rules.get(key, ()):
+                    if selector.matches(node):
+                        for name, (value, important) in declared.items():
+                            best[name] = max(best[name], ((important, selector.weight, order), value))
+        for name, (value, important) in _declared(attrs["style"]).items() if "style" in attrs else ():
+            best[name] = max(best[name], ((important, (1 << 30, 0, 0), 0), value))
+        node.shown = best["display"][1] != "none"
+        if best["visibility"][1] in ("visible", "hidden", "collapse"):
+            visible = best["visibility"][1] == "visible"
+        inside = tag == "svg" or tag == "math" or outside and tag not in ("text", "foreignobject")
+        drawn = tag == "svg" or outside and tag not in ("text", "foreignobject") and not _in_math(node)
+        node.visible = visible and not drawn
+        if node.shown:
+            if tag == "table":
+                tables.append(node)
+            stack += [(c, visible, inside) for c in reversed(node.children) if not isinstance(c, str)]
+    return tables
+
+
+def _in_math(node: Node) -> bool:
+    while node is not None and node.tag not in FOREIGN:
+        node = node.parent
+    return node is not None and node.tag == "math"
+
+
+# --- layout ---------------------------------------------------------------------
 
 
 class _Lines:
-    """Lines of a block: collapsed inline text, or verbatim in preformatted text."""
+    """Lines in the making: collapsed inline text, or verbatim in preformatted text."""
 
     def __init__(self):
         self.done: list[str] = []
         self.line: list[str] = []
-        self.gap = False  # an empty line is due before the next text
-        self.lead = False  # the same before the first
         self.space = False
+        self.gap = False  # an empty line is due before the next text
+        self.breaks = 0  # empty lines that breaks ask for
+        self.indent: list[str] = []
+        self.first: list[str] = []  # the same with the marks of list items that no text has followed yet
 
     def text(self, data: str, pre: bool) -> None:
         if pre:
             first, *rest = data.replace("\r\n", "\n").split("\n")
             self._put(first)
             for part in rest:
-                self.end_line(True)
+                self.br()
                 self._put(part)
             return
-        parts = _SPACE.split(data)
-        for i, part in enumerate(parts):
+        for i, part in enumerate(_SPACE.split(data)):
             if i and self.line:
                 self.space = True
             if part:
                 self._put(part)
 
     def _put(self, part: str) -> None:
-        if part:
-            if self.gap and not self.line:
-                if self.done:
-                    self.done.append("")
-                self.gap = False
-            if self.space and self.line:
-                self.line.append(" ")
-            self.line.append(part)
+        if not part:
+            return
+        if not self.line:
+            if self.gap and self.done:
+                self.done.append("")
+            self.done += [""] * self.breaks
+            self.gap, self.breaks = False, 0
+            self.line.append("".join(self.first))
+            self.first = list(self.indent)
+        elif self.space:
+            self.line.append(" ")
+        self.line.append(part)
         self.space = False
 
-    def end_line(self, always: bool = False) -> None:
-        if self.line or always:
+    def end_line(self) -> None:
+        if self.line:
             self.done.append("".join(self.line).rstrip())
         self.line, self.space = [], False
 
-    def block(self, lines: list[str], above: bool, below: bool | None = None) -> None:
-        self.end_line()
-        if lines:
-            if not self.done:
-                self.lead = above
-            elif above or self.gap:
-                self.done.append("")
-            self.done += lines
-            self.gap = above if below is None else below
+    def br(self) -> None:
+        if self.line:
+            self.end_line()
+        else:
+            self.breaks += 1
 
-    def result(self) -> list[str]:
+    def edge(self, spaced: bool, closing: bool) -> None:
+        """The edge of a block."""
         self.end_line()
-        while self.done and not self.done[-1]:
-            self.done.pop()
-        return self.done
-
-
-def _render(node: Node, by: set[str], out: _Lines, pre: bool) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            out.text(child, pre)
-        elif not _is_hidden(child, by):
-            tag = child.tag
-            if tag == "br":
-                out.end_line(True)
-            elif tag == "img":
-                if child.attrs.get("alt"):
-                    out.text(child.attrs["alt"], False)
-            elif tag == "input":
-                if child.attrs.get("value") and child.attrs.get("type", "text").lower() not in ("checkbox", "radio", "password", "file", "image"):
-                    out.text(child.attrs["value"], False)
-            elif tag == "table":
-                out.block(_table(child, by), True)
-            elif tag in ("ul", "ol", "menu", "dir"):
-                out.block(_list(child, by), node.tag != "li")
-            elif tag in BLOCK or tag in ("caption", "tr", "td", "th", *SECTIONS):
-                inner = _Lines()
-                _render(child, by, inner, pre or tag in ("pre", "xmp"))
-                lines = inner.result()
-                if tag in ("blockquote", "dd"):
-                    lines = [f"  {x}" if x else x for x in lines]
-                out.block(lines, tag in SPACED or inner.lead, tag in SPACED or inner.gap)
+        if closing:
+            self.breaks = 0
+        self.gap = self.gap or spaced
+
+    def enter(self, indent: str, mark: str | None = None) -> None:
+        self.indent.append(indent)
+        self.first.append(indent if mark is None else mark)
+
+    def leave(self) -> None:
+        self.indent.pop()
+        self.first.pop()
+
+    def block(self, lines: list[str]) -> None:
+        """Lines that are laid out already."""
+        for line in lines:
+            if line:
+                self._put(line)
+                self.end_line()
             else:
-                _render(child, by, out, pre or tag in ("textarea", "xmp"))
+                self.breaks += 1
 
 
-def _block(node: Node, by: set[str], pre: bool = False) -> list[str]:
+def _lay_out(node: Node) -> list[str]:
+    """The lines of what a node holds. Tables below it must have theirs."""
     out = _Lines()
-    _render(node, by, out, pre)
-    return out.result()
+    numbers: dict[int, int] = {}  # open ordered list -> the next number
+    begun: set[int] = set()  # open lists that have an item
+    walk: list = [(c, node, False) for c in reversed(node.children)]
+    while walk:
+        child, parent, leaving = walk.pop()
+        if isinstance(child, str):
+            if parent.visible:
+                out.text(child, parent.pre)
+            continue
+        tag = child.tag
+        if leaving:
+            if tag == "li" and parent.tag in LISTS:
+                out.edge(False, True)
+                out.gap = False
+                out.leave()
+            else:
+                if tag in ("blockquote", "dd") or parent.tag in LISTS:
+                    out.end_line()
+                    out.leave()
+                out.edge(tag in SPACED and not (tag in LISTS and parent.tag == "li"), True) if tag in BLOCK else None
+                begun.discard(id(child))
+            continue
+        if not child.shown:
+            continue
+        if tag == "br":
+            out.br()
+        elif tag == "img":
+            if child.attrs.get("alt") and child.visible:
+                out.text(child.attrs["alt"], False)
+        elif tag == "input":
+            if child.attrs.get("value") and child.visible and child.attrs.get("type", "text").lower() not in ("checkbox", "radio", "password", "file", "image"):
+                out.text(child.attrs["value"], False)
+        elif tag == "table":
+            out.edge(True, False)
+            if parent.tag in LISTS:
+                out.enter("  ")
+            out.block(child.lines)
+            if parent.tag in LISTS:
+                out.end_line()
+                out.leave()
+            out.edge(True, True)
+        else:
+            child.pre = child.pre or parent.pre
+            if tag == "li" and parent.tag in LISTS:
+                number = _number(child.attrs.get("value"), numbers.get(id(parent), 1))
+                numbers[id(parent)] = number + 1
+                out.edge(False, False)
+                if id(parent) in begun:
+                    out.gap = False
+                begun.add(id(parent))
+                mark = f"{number}. " if parent.tag == "ol" else "- "
+                out.enter(" " * len(mark), mark)
+            else:
+                if tag in BLOCK:
+                    out.edge(tag in SPACED and not (tag in LISTS and parent.tag == "li"), False)
+                if tag == "ol":
+                    numbers[id(child)] = _number(child.attrs.get("start"), 1)
+                if tag in ("blockquote", "dd") or parent.tag in LISTS:
+                    out.enter("  ")
+            walk.append((child, parent, True))
+            walk += [(c, child, False) for c in reversed(child.children)]
+    out.end_line()
+    return out.done
 
 
 def _number(text: str | None, default: int) -> int:
-    return int(text) if text and re.fullmatch(r"-?\d{1,9}", text.strip()) else default
+    found = re.match(r"\s*([+-]?\d{1,18})", text or "")
+    return int(found[1]) if found else default
 
 
-def _list(node: Node, by: set[str]) -> list[str]:
-    out, number = [], _number(node.attrs.get("start"), 1)
-    loose = Node("div")  # what stands between items
-    for child in node.children:
-        if isinstance(child, str) or child.tag != "li":
-            loose.children = [child]
-            if isinstance(child, str) or not _is_hidden(child, by):
-                out += [f"  {x}" if x else x for x in _block(loose, by)]
-            continue
-        if _is_hidden(child, by):
-            continue
-        number = _number(child.attrs.get("value"), number)
-        mark = f"{number}. " if node.tag == "ol" else "- "
-        number += 1
-        lines = _block(child, by)
-        if lines:
-            out.append(mark + lines[0])
-            out += [" " * len(mark) + x if x else x for x in lines[1:]]
-    return out
+def _span(text: str | None, most: int) -> int:
+    """A span as HTML reads it: at least 1, at most HTML's limit."""
+    found = re.match(r"\s*\+?(\d+)", text or "")
+    return min(int(found[1][:9]), most) or 1 if found else 1
 
 
-def _rows(node: Node, by: set[str]):
-    for child in node.children:
-        if not isinstance(child, str) and not _is_hidden(child, by):
-            if child.tag in SECTIONS:
-                yield from _rows(child, by)
-            elif child.tag == "tr":
-                yield [c for c in child.children if not isinstance(c, str) and not _is_hidden(c, by)]
-            else:
-                yield child
+def _rows(table: Node):
+    """Rows as lists of cells, and other children as nodes."""
+    for child in table.children:
+        if not isinstance(child, str) and child.shown:
+            for row in child.children if child.tag in SECTIONS else [child]:
+                if not isinstance(row, str) and row.shown:
+                    yield [c for c in row.children if not isinstance(c, str) and c.shown] if row.tag == "tr" else row
 
 
-def _table(node: Node, by: set[str]) -> list[str]:
-    out, grid, blocked = [], [], {}
-    for row in _rows(node, by):
-        if isinstance(row, Node):  # a caption, or what is astray
-            out += _block(row, by)
-            continue
-        cells, at = {}, 0
+def _grid(rows: list[list[Node]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, span, lines) of the cells of each row."""
+    grid = []
+    taken: list[tuple[int, int, int]] = []  # columns [from, to) that spans keep, and the row where that ends; in order
+    for y, row in enumerate(rows):
+        cells, at, k, kept = [], 0, 0, []
         for cell in row:
-            while blocked.get(at, 0):
-                at += 1
-            span = max(1, min(_number(cell.attrs.get("colspan"), 1), 100))
-            cells[at] = (_block(cell, by), span)
-            for k in range(at, at + span):
-                blocked[k] = max(1, min(_number(cell.attrs.get("rowspan"), 1), 10_000))
+            while k < len(taken) and taken[k][0] <= at:
+                at = max(at, taken[k][1])
+                kept.append(taken[k])
+                k += 1
+            span = _span(cell.attrs.get("colspan"), MAX_COLSPAN)
+            cells.append((at, span, _lay_out(cell)))
+            kept.append((at, at + span, min(y + _span(cell.attrs.get("rowspan"), MAX_ROWSPAN), len(rows))))
             at += span
-        blocked = {k: v - 1 for k, v in blocked.items() if v > 1}
+        kept += taken[k:]
+        taken = []
+        for a, b, end in kept:
+            if end > y + 1:
+                if taken and taken[-1][1:] == (a, end):
+                    a = taken.pop()[0]
+                taken.append((a, b, end))
         grid.append(cells)
-    width: dict[int, int] = {}
+    return grid
+
+
+def _table(table: Node) -> list[str]:
+    out, rows = [], []
+    for row in _rows(table):
+        if isinstance(row, Node):  # a caption, or what is astray
+            out += _lay_out(row)
+        else:
+            rows.append(row)
+    grid = _grid(rows)
+    width: dict[int, int] = {}  # of the columns where cells begin
     for cells in grid:
-        for at, (lines, span) in cells.items():
-            if span == 1:
-                width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
+        for at, span, lines in cells:
+            width[at] = max(width.get(at, 0), max(map(len, lines), default=0) if span == 1 else 0)
+    left, place = {}, 0
+    for at in sorted(width):
+        left[at] = place
+        place += width[at] + 2
     for cells in grid:
-        height = max((len(lines) for lines, _ in cells.values()), default=0)
-        for i in range(height):
+        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
             parts, place = [], 0
-            for at in sorted(cells):
-                lines, span = cells[at]
-                left = sum(width.get(k, 0) + 2 for k in range(at))
-                if left > place:
-                    parts.append(" " * (left - place))
-                    place = left
+            for at, _, lines in cells:
+                if i >= len(lines) or not lines[i]:
+                    continue
+                if left[at] > place:
+                    parts.append(" " * (left[at] - place))
+                    place = left[at]
                 elif parts:  # a wide cell reached into this column
                     parts.append("  ")
                     place += 2
-                text = lines[i] if i < len(lines) else ""
-                parts.append(text)
-                place += len(text)
+                parts.append(lines[i])
+                place += len(lines[i])
             out.append("".join(parts).rstrip())
     return out
 
@@ -359,8 +625,10 @@ def _table(node: Node, by: set[str]) -> list[str]:
 def render(html: str | None) -> str:
     if not html:
         return ""
-    root, by = parse(html)
-    return "\n".join(_block(root, by)).replace("\xa0", " ")
+    root, sheets = parse(html)
+    for table in reversed(_set_visibility(root, sheets)):  # inner ones first
+        table.lines = _table(table)
+    return "\n".join(_lay_out(root) if root.shown else []).replace("\xa0", " ")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -368,7 +636,7 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches, 1):
             texts = [render(h.as_py()) for h in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], schema=schema)
 
