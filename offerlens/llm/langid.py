@@ -8,14 +8,14 @@ only the bytes under each maximum. A text is cut into fixed-length windows that
 overlap by the widest filter less one, every window is scored, and a text's
 score is the softmax of its windows' mean log-probability by length.
 
-Training: at most ``per_language`` documents of each of the ``MAX_LANGUAGES`` most
-frequent languages, in the order of a hash of doc_id, and at most ``windows_each`` windows from anywhere in them reach
-the driver; that bounds the sample, whatever the corpus. Statistics and
-predictions cover everything.
+Training: at most ``per_language`` documents of each language and ``MOST_ROWS`` of all
+(fewer of each where there are many languages), in the order of a hash of a row and its place in the input,
+and at most ``windows_each`` windows from anywhere in them reach the driver; that bounds
+the sample, whatever the corpus. Statistics and predictions cover everything.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
-without any labelled row every text is; rows that share a doc_id are predicted
-one by one; null doc_id is not held out; other columns are ignored; an empty
+without any labelled row every text is; rows that share a doc_id are learned from
+and predicted one by one; null doc_id is not held out; other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -35,8 +35,8 @@ FILTERS = 8
 WINDOW = 256
 PER_LANGUAGE = 400
 WINDOWS_EACH = 4
-#: Languages with the most labelled rows that are learned at most.
-MAX_LANGUAGES = 1000
+#: Labelled documents of all languages that are learned from at most.
+MOST_ROWS = 100_000
 _STRIDE = WINDOW - max(WIDTHS) + 1
 _WORDLIKE = re.compile(r"[^\W\d_]")
 #: ASCII other than letters counts as a space; A-Z as a-z.
@@ -163,39 +163,39 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, windows_each: int = WINDOWS_EACH, seed: int = 0) -> Model:
-    """Train on a bounded sample of rows (doc_id, text, lang)."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    spark = labelled.sparkSession
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    # a share of each language by hash leaves some times per_language rows of it, whatever its size; the smallest hashes of these are taken
-    shares = spark.createDataFrame([(r["lang"], min(1.0, 4 * per_language / r["n"])) for r in counts], "_lang string, _share double")
-    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
-    few = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.pmod("_hash", F.lit(1 << 31)) < F.col("_share") * (1 << 31))
-    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("doc_id").alias("_id"), "_lang")
-    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("doc_id", "lang", "text")
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, windows_each: int = WINDOWS_EACH, most_rows: int = MOST_ROWS, seed: int = 0) -> Model:
+    """Train on a bounded sample of rows (doc_id, text, lang); rows are chosen one by one, whatever ids they share."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("_hash"))
+    counts = common.checkpointed(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    each = max(1, min(per_language, most_rows // max(1, counts.count())))
+    # a share of each language by hash leaves some times ``each`` rows of it, whatever its size; the smallest hashes of these are taken
+    share = F.least(F.lit(1.0), 4 * each / F.col("_n"))
+    few = rows.join(counts.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).where(F.pmod("_hash", F.lit(1 << 31)) < share * (1 << 31))
 
     def cut(batches):
-        for batch in batches:
-            ids, langs, data = [], [], []
-            for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in common.sliced(batches, 2):
+            langs, hashes, data = [], [], []
+            for lang, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if has_letter(text):
                     w, _ = windows(fold(text))
-                    for k in np.linspace(0, len(w) - 1, min(windows_each, len(w))).astype(int):
-                        ids.append(doc_id)
-                        langs.append(lang)
-                        data.append(w[k].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(langs, type=pa.string()), pa.array(data, type=pa.binary())], names=["doc_id", "lang", "data"])
-
-    got = sorted((r["doc_id"], r["lang"], bytes(r["data"])) for r in sample.mapInArrow(cut, "doc_id long, lang string, data binary").collect())
-    languages = sorted({g[1] for g in got})
+                    langs.append(lang)
+                    hashes.append(h)
+                    data.append(w[np.linspace(0, len(w) - 1, min(windows_each, len(w))).astype(int)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(hashes, type=pa.int64()), pa.array(data, type=pa.binary())], names=["lang", "h", "data"])
+
+    pieces = few.select("lang", "_hash", "text").mapInArrow(cut, "lang string, h long, data binary")
+    order = Window.partitionBy("lang").orderBy("h", "data")
+    sample = pieces.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).orderBy("h", "lang", "data").limit(most_rows)
+    got = [(lang, part) for lang, data in sorted((r["lang"], bytes(r["data"])) for r in sample.collect()) for part in np.frombuffer(data, dtype=np.uint8).reshape(-1, WINDOW)]
+    languages = sorted({g[0] for g in got})
     model = Model(languages, seed)
     if len(languages) > 1:
-        x = np.stack([np.frombuffer(g[2], dtype=np.uint8) for g in got])
-        y = np.array([languages.index(g[1]) for g in got])
+        place = {name: i for i, name in enumerate(languages)}
+        x = np.stack([g[1] for g in got])
+        y = np.array([place[g[0]] for g in got])
         sizes = np.bincount(y)
         even = np.concatenate([np.resize(np.flatnonzero(y == k), sizes.max()) for k in range(len(languages))])  # each language as often
-        model.train(x[even], y[even], seed=seed)
+        model.train(x[even], y[even], steps=max(400, 2 * len(languages)), seed=seed)
     return model
 
 
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches, 1):
             names, scores = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], schema=schema)
 
@@ -213,6 +213,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the documents that aren't held out, predict all: doc_id, held_out, lang_pred, score."""
-    common.small_batches(docs.sparkSession, 200)
     model = fit(docs.where(~held_out()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
