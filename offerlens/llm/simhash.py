@@ -23,10 +23,10 @@ join. Comparison itself grows with the square of distinct fingerprints, divided
 by what the cells skip; the README has figures.
 
 Defined results: texts with fewer words than a shingle hash their whole sequence;
-null, empty and blank texts have fingerprint 0 and link like any other; rows that
-share a doc_id have the smallest id of what either links to; null doc_id takes
-part and is never the smallest; other columns are ignored; an empty table gives
-an empty result.
+null, empty and blank texts have fingerprint 0 and link like any other; each row is
+a document, whatever doc_id it shares; a null doc_id takes part and is never the
+smallest (a group of nothing else has a null component); other columns are ignored,
+or kept by ``keep_one``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 42
-TILE = 2048
+TILE = 8192
 CHECK_TILE = 256
 CHECK_SHINGLES = 65_536
 EARLY = 0.65
@@ -53,15 +53,20 @@ _BLOCK = 1_000_000
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
     """XXH64 of each shingle of ``words`` words, repeats included."""
-    parts = data.lower().split()
-    if len(parts) <= words:
-        shingles = [b" ".join(parts)] if parts else []
-    elif words == 3:
-        shingles = [b"%b %b %b" % t for t in zip(parts, parts[1:], parts[2:], strict=False)]
-    else:
-        shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
+    found, tail = [], []
     h = xxhash.xxh64_intdigest
-    return np.array([h(s, SEED) for s in shingles], dtype=np.uint64)
+    for parts in common.word_blocks(data.lower()):
+        parts = tail + parts
+        if len(parts) >= words:
+            if words == 3:
+                shingles = [b"%b %b %b" % t for t in zip(parts, parts[1:], parts[2:], strict=False)]
+            else:
+                shingles = [b" ".join(t) for t in zip(*(parts[i:] for i in range(words)), strict=False)]
+            found.append(np.fromiter((h(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
+        tail = parts[1 - words :] if words > 1 else []
+    if not found and tail:
+        found.append(np.array([h(b" ".join(tail), SEED)], dtype=np.uint64))
+    return found[0] if len(found) == 1 else np.concatenate([np.empty(0, dtype=np.uint64), *found])
 
 
 def lane(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -98,7 +103,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, lanes: int = 1, distinct: bo
     arrow = pa.schema([*[(n, pa.int64()) for n in longs], *([("shingles", pa.binary())] if sets else [])])
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches, 1):
             hashes = [shingle_hashes((t.as_py() or "").encode(), shingle) for t in batch.column(1)]
             hashes = [np.unique(h) for h in hashes] if distinct else hashes
             sizes = np.array([len(h) for h in hashes], dtype=np.int64)
@@ -314,6 +319,34 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row (_row), written to the shared folder so that all who read it see the same."""
+    path = common.shared_path(docs.sparkSession, "rows")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _groups(docs: DataFrame, shingle: int, radius: int, lanes: int, parts: int, size_ratio: float | None) -> DataFrame:
+    """doc_id, size, f0, ..., _row, _least: of each row's group the smallest (whether doc_id is null, doc_id, _row). ``docs`` has _row if ``size_ratio`` is given."""
+    names = [f"f{k}" for k in range(lanes)]
+    prints = fingerprints(docs, shingle, lanes, distinct=bool(size_ratio), carry=("_row",) if size_ratio else ())
+    prints = common.checkpointed(prints if size_ratio else prints.withColumn("_row", F.monotonically_increasing_id()))
+    kept = ["size", *names, "digest"] if size_ratio else names
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+    nodes = prints.groupBy(*kept).agg(F.min(mine).alias("best"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.col("best.row"))
+    nodes = common.checkpointed(nodes if size_ratio else nodes.withColumn("size", F.lit(0).cast("long")))
+    found = components(links(nodes.select("node", "size", *names), radius, lanes, parts, size_ratio))
+    if size_ratio:
+        texts = docs.select(F.col("_row").alias("doc_id"), "text")
+        found = components(checked_links(texts, nodes, found, shingle, radius, lanes, size_ratio))
+    members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    least = nodes.join(members, "node").groupBy("component").agg(F.min("best").alias("_least"))
+    of_node = common.salted_lookup(members, least, ["component"], F.col("node"), how="inner").select(F.col("node").alias("linked"), "_least")
+    named = nodes.join(of_node, F.col("node") == F.col("linked"), "left").where((F.col("copies") > 1) | F.col("_least").isNotNull())
+    named = named.select(*kept, F.coalesce("_least", "best").alias("_least"))
+    return common.salted_lookup(prints, named, kept, F.col("_row")).withColumn("_least", F.coalesce("_least", mine)).drop("digest")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 80, lanes: int = 4, parts: int = 0, size_ratio: float | None = 0.8) -> DataFrame:
     """One row a document: doc_id, size, f0, ..., component_id (the smallest doc_id that it reaches, itself included).
 
@@ -323,25 +356,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 80, lanes:
     smallest sets, 4 and 5 shingles), those of unrelated texts in 128. Without
     ``size_ratio`` the fingerprints alone decide.
     """
-    common.small_batches(docs.sparkSession)
-    names = [f"f{k}" for k in range(lanes)]
-    prints = common.checkpointed(fingerprints(docs, shingle, lanes, distinct=bool(size_ratio)))
-    kept = ["size", *names, "digest"] if size_ratio else names
-    nodes = prints.groupBy(*kept).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = nodes if size_ratio else nodes.withColumn("size", F.lit(0).cast("long"))
-    nodes = common.checkpointed(nodes)
-    known = nodes.where(F.col("node").isNotNull())
-    found = components(links(known, radius, lanes, parts, size_ratio))
-    if size_ratio:
-        found = components(checked_links(docs, known, found, shingle, radius, lanes, size_ratio))
-    named = nodes.join(found.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
-    named = named.select(*kept, F.coalesce("component", "node").alias("component"))
-    out = common.salted_lookup(prints, named, kept, F.col("doc_id"))
-    return out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component", "digest")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """Documents without those that reach a smaller doc_id; rows of one doc_id count as one document."""
-    found = near_duplicates(docs, **how)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = docs.select("doc_id", "text")
+    found = _groups(numbered(rows) if size_ratio else rows, shingle, radius, lanes, parts, size_ratio)
+    return found.withColumn("component_id", F.col("_least.doc_id")).drop("_row", "_least")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 80, lanes: int = 4, parts: int = 0, size_ratio: float = 0.8) -> DataFrame:
+    """One row of each group, that with the smallest doc_id (null is the largest), the first of the input among these; all columns stay."""
+    rows = numbered(docs)
+    found = _groups(rows, shingle, radius, lanes, parts, size_ratio)
+    gone = found.where(F.col("_least.row") != F.col("_row")).select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

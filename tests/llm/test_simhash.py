@@ -124,3 +124,33 @@ def test_stage_against_brute_force_jaccard(spark, docs_of):
     together = nodes.where("node > 1").select("node", F.lit(1).cast("long").alias("component"))
     found = simhash.components(simhash.checked_links(docs, nodes, together, 5, 80, 4, 0.8, tile=20))
     assert {d: d for d in label} | {r["node"]: r["component"] for r in found.collect()} == label
+
+
+def test_rows_without_an_id_connect_others(docs_of):
+    """A fingerprint that only a row without an id holds lies between two that are too far apart."""
+    rng = random.Random(8)
+    words = [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(400)]
+    prints, chain = {}, None
+    for i in range(3000):
+        t = list(words)
+        for _ in range(rng.randint(1, 4)):
+            t[rng.randrange(400)] = f"n{rng.random()}"
+        prints[" ".join(t)] = fingerprint(" ".join(t))
+        if i % 50 == 49:
+            items = list(prints.items())
+            near = lambda a, b: (a[1] ^ b[1]).bit_count() <= 3
+            chain = next(((a, m, b) for m in items for a in items for b in items if a is not b and near(a, m) and near(m, b) and not near(a, b)), None)
+            if chain:
+                break
+    a, m, b = (x[0] for x in chain)
+    for middle in (None, 77):
+        rows = simhash.near_duplicates(docs_of([(5, a), (middle, m), (9, b)]), shingle=3, radius=3, lanes=1, parts=3, size_ratio=None).collect()
+        assert [r["component_id"] for r in rows] == [5] * 3
+    alone = simhash.near_duplicates(docs_of([(None, a), (None, a), (3, "else " * 50)]), shingle=3, radius=3, lanes=1, parts=3, size_ratio=None).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in alone) == [(0, 0), (0, 0), (3, 3)]
+
+
+def test_stage_keeps_one_row_of_repeated_ids(docs_of):
+    text = "a text of quite some words that five rows of several kinds hold alike"
+    kept = simhash.keep_one(docs_of([(2, text), (1, text), (None, text), (1, text), (None, text), (None, "another text entirely that nobody shares at all"), (None, "another text entirely that nobody shares at all")])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:2]) for r in kept) == [(0, "an"), (1, "a ")]
