@@ -14,11 +14,12 @@ permutation again.
 
 Scale: running sums go through hash buckets (sums for each bucket, then sums
 within one), so a source that holds a third of all rows is dealt over all its
-buckets. Everything is JVM-side; texts are read once and never shuffled.
+buckets; a bucket that an often repeated doc_id makes hot is split further.
+Everything is JVM-side; texts are read twice and, but for ``keep``, never shuffled.
 
 Defined results: null or empty texts have size 0 and are taken 0 words; a table
-whose sizes are all 0 has targets 0; repeated rows count one by one; null doc_id
-sorts first; other columns are ignored; an empty table gives an empty result.
+whose sizes are all 0 has targets 0; repeated rows count one by one; null doc_ids
+are permuted by text, rows that share a hot doc_id by their place in the input; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
+#: A bucket is hot if it holds this many times the rows that it should; the rows of its hot id are dealt over so many parts.
+HOT, PARTS = 8, 256
 WORD = r"[^\x20\x09-\x0D]+"
 #: A schedule: knots (time, weight), linear between them, times from 0 to 1. Sources take them in turn.
 SCHEDULES = (
@@ -82,21 +87,27 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeats: float = 3.0, schedules=
 
     ``keep`` names further columns to carry along (such as the text, for ``ordered``).
     """
-    order = F.md5(F.col("doc_id").cast("string"))
+    # documents without an id are permuted by their texts
+    order = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.xxhash64("text").cast("string")))
     buckets = max(256, docs.count() // bucket_rows)  # of each source; a count of Parquet reads footers only
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
-    d = d.withColumn("_order", F.coalesce(order, F.lit(""))).withColumn("_bucket", F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"))
-    d = d.withColumn("_bucket", F.coalesce(F.floor(F.col("_bucket") * buckets / 2**32), F.lit(0)).cast("long"))
+    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("_order"), F.monotonically_increasing_id().alias("_place"), *keep)
+    d = d.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("long"))
     # a key that is never null: window and join then share one shuffle of the rows
     d = d.withColumn("_s", F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))))
-    per_bucket = d.groupBy("_s", "source", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    of_bucket = per_bucket.select("_s", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
+    d = d.withColumn("_part", F.lit(0))
+    parts = lambda rows: common.checkpointed(rows.groupBy("_s", "source", "_bucket", "_part").agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_n")))
+    per_bucket = parts(d)
+    hot = common.checkpointed(per_bucket.where(F.col("_n") > HOT * bucket_rows).select("_s", "_bucket"))  # one in HOT * bucket_rows rows at most
+    if hot.take(1):
+        d = _split(d, hot)
+        per_bucket = parts(d)
+    before = Window.partitionBy("_s").orderBy("_bucket", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    of_bucket = per_bucket.select("_s", "_bucket", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
     of_source = targets(per_bucket.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_repeats)
     of_source = of_source.withColumn("_s", F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))).drop("source")
-    facts = of_bucket.join(of_source, "_s").select("_s", "_bucket", "_ahead", "source_size", "rank", "target")
-    inside = Window.partitionBy("_s", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_upto", F.sum("size").over(inside)).join(facts, ["_s", "_bucket"])
+    facts = of_bucket.join(of_source, "_s").select("_s", "_bucket", "_part", "_ahead", "source_size", "rank", "target")
+    inside = Window.partitionBy("_s", "_bucket", "_part").orderBy("_order", "doc_id", F.when(F.col("_part") == 0, F.col("size")), "_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_upto", F.sum("size").over(inside)).join(facts, ["_s", "_bucket", "_part"])
     d = d.withColumn("_at", F.col("_ahead") + F.col("_upto") - F.col("size"))
     # whole passes, then those documents of the permutation whose middle lies within what is left
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -110,6 +121,16 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeats: float = 3.0, schedules=
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", positions.alias("positions"), *keep)
 
 
+def _split(d: DataFrame, hot: DataFrame) -> DataFrame:
+    """Numbers parts of hot buckets: ids are dealt evenly, so such a bucket holds an id that very many rows share, whose rows are dealt over ``PARTS``."""
+    marked = d.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), ["_s", "_bucket"], "left")
+    ids = marked.where("_hot").groupBy("_s", "_bucket", "_order").agg(F.count(F.lit(1)).alias("_n"))
+    most = common.checkpointed(ids.groupBy("_s", "_bucket").agg(F.max_by("_order", "_n").alias("_hot_order")))  # one a hot bucket
+    marked = d.join(F.broadcast(most), ["_s", "_bucket"], "left")
+    part = F.when(F.col("_order") < F.col("_hot_order"), 0).when(F.col("_order") > F.col("_hot_order"), PARTS + 1).otherwise(1 + F.pmod(F.xxhash64("_place"), F.lit(PARTS)))
+    return marked.withColumn("_part", F.coalesce(part, F.lit(0)).cast("int")).drop("_hot_order")
+
+
 def _by_rank(share: Column, rank: Column, schedules) -> Column:
     out = invert(share, schedules[0])
     for i, knots in enumerate(schedules[1:], 1):

@@ -32,7 +32,6 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark, 200)
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
@@ -47,12 +46,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows stand in training order: ``position`` is a document's first (1 is the end; null: never taken)."""
     mixed = mixing.by_first_position(mixing.mix(_table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
     found = quality.analyse(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -63,7 +62,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -95,13 +93,17 @@ c AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws,
              sum(w) OVER (ORDER BY cap / w, rk ROWS UNBOUNDED PRECEDING) AS seen FROM r),
 l AS (SELECT *, (total - (caps - cap)) / (ws - (seen - w)) AS level FROM c),
 f AS (SELECT min_by(level, seen) AS level FROM l WHERE level * w <= cap),
-t AS (SELECT source, source_size, coalesce(least(cap, f.level * w), cap) AS target FROM l LEFT JOIN f ON true),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT source, source_size, (rk - 1) % 3 AS schedule, coalesce(least(cap, f.level * w), cap) AS target FROM l LEFT JOIN f ON true),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.schedule,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before,
              CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       (size * (passes + CASE WHEN source_size > 0 AND before + size / 2.0 < target - passes * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (passes + CASE WHEN source_size > 0 AND before + size / 2.0 < target - passes * source_size THEN 1 ELSE 0 END))::BIGINT AS taken,
+       CASE WHEN source_size > 0 AND (passes > 0 OR before + size / 2.0 < target) THEN round(greatest(0, least(1, CASE schedule
+         WHEN 0 THEN before / target
+         WHEN 1 THEN 1.5 - sqrt(2.25 - 2 * (before / target))
+         ELSE CASE WHEN before / target < 1 / 3.0 THEN 1.5 * (before / target) ELSE 0.5 + (sqrt(0.25 + 3 * (before / target - 1 / 3.0)) - 0.5) / 2 END END)), 9) END AS position
 FROM p""",
     "op9_line_dedup": """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

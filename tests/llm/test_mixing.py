@@ -97,3 +97,49 @@ def test_query_sorts_by_position(spark, sf):
     mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     want = sorted(mixed, key=lambda r: (not r["positions"], r["positions"], r["doc_id"]))
     assert [r["doc_id"] for r in op7_curriculum_mixing(spark, sf).collect()] == [r["doc_id"] for r in want]
+
+
+def test_first_position_of_the_query_against_an_integral(spark, sf):
+    """Positions by bisection over the numerically integrated schedule, from the running counts of the brute force."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs}
+    names = sorted({r["source"] for r in docs if r["source"] is not None}) + [None]
+    by = defaultdict(list)
+    for r in docs:
+        by[r["source"]].append(r["doc_id"])
+    got = {r["doc_id"]: r for r in op7_curriculum_mixing(spark, sf).collect()}
+    steps = 20_000
+    for source, ids in by.items():
+        knots = mixing.SCHEDULES[names.index(source) % 3]
+        weight = lambda t, k=knots: next(a + (b - a) * (t - t0) / (t1 - t0) for (t0, a), (t1, b) in zip(k, k[1:], strict=False) if t <= t1)
+        done = [0.0]
+        for i in range(steps):
+            done.append(done[-1] + weight((i + 0.5) / steps) / steps)
+        at = 0
+        for d in sorted(ids, key=lambda d: hashlib.md5(str(d).encode()).hexdigest()):
+            row = got[d]
+            if row["taken"] or row["position"] is not None:
+                share = at / row["target"] * done[-1]
+                low = next((i for i in range(steps + 1) if done[i] >= share - 1e-12), steps) / steps
+                assert abs(row["position"] - low) < 2e-3
+            at += words[d]
+
+
+def test_rows_stand_in_order_of_position(spark, sf):
+    positions = [r["position"] for r in op7_curriculum_mixing(spark, sf).collect()]
+    known = [p for p in positions if p is not None]
+    assert known == sorted(known) and None not in positions[: len(known)]
+
+
+def test_hot_and_null_ids(docs_of):
+    rows = [(7, "w " * (1 + i % 3), "en", "a") for i in range(4000)] + [(None, f"x{i} y", "en", "a") for i in range(2000)] + [(i, "z " * 5, "en", "b") for i in range(500)]
+    docs = docs_of(rows)
+    plain, split = (mixing.mix(docs, bucket_rows=n).collect() for n in (20_000, 10))
+    for found in (plain, split):
+        taken = defaultdict(int)
+        for r in found:
+            taken[r["source"]] += r["taken"]
+        target = {r["source"]: r["target"] for r in found}
+        assert len(found) == len(rows) and all(abs(taken[s] - target[s]) <= 5 for s in target)
+        starts = sorted(p for r in found if r["source"] == "a" for p in r["positions"])
+        assert len(set(starts)) == len(starts)  # running counts leave no two copies at one place
