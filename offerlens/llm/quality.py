@@ -2,14 +2,13 @@
 
 All documents of a batch share one suffix array: a word's first rank is made of
 its document and itself, so suffixes of different documents never match. Prefix
-doubling refines only the groups not yet told apart. The ranks at every doubling
-give the longest common prefix of neighbours; the deepest LCP interval that holds
-a suffix is max(left, right) words deep, and these intervals are the maximal
-repeated substrings. Their spans are united for each document, and the verdict
+doubling refines only the groups not yet told apart, and neighbours' longest common
+prefixes follow in text order. The deepest LCP interval that holds a suffix is
+max(left, right) words deep, and these intervals are the maximal repeated substrings. Their spans are united for each document, and the verdict
 limits the covered fraction and the longest repeat.
 
-Scale: one map over the documents, no shuffle; memory is bounded by a batch of
-``BATCH_WORDS`` words or one document.
+Scale: one map over the documents, no shuffle; memory is that of ``BATCH_BYTES`` of
+text or one document, some dozens of bytes a word.
 
 Defined results: null and empty texts have no words, lines or symbols and fail
 (fewer than 10 words); repeated rows are judged one by one; null doc_id is kept;
@@ -27,8 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 WINDOW = 5
-BATCH_WORDS = 250_000
+#: Bytes of the texts that share a suffix array.
+BATCH_BYTES = 1_250_000
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -44,51 +46,78 @@ class Limits:
     longest_percent: int = 10  # ... this part of the document
 
 
-def suffix_lcp(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of ``tokens`` and the longest common prefix of each neighbouring pair."""
+def suffix_array(tokens: np.ndarray) -> np.ndarray:
+    """By prefix doubling: only places in groups that are not told apart yet are sorted again."""
     n = len(tokens)
-    order = np.argsort(tokens, kind="stable")
-    fresh = np.ones(n, dtype=bool)
-    fresh[1:] = tokens[order[1:]] != tokens[order[:-1]]
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # a group's rank is its first place
-    levels, step = [rank], 1
-    shared = np.ones(n, dtype=bool)
-    while True:
-        alone = np.ones(n, dtype=bool)
-        size = np.bincount(rank, minlength=n)
-        alone = size[rank] == 1
-        active = np.flatnonzero(~alone & shared)
-        if not len(active):
-            break
-        after = np.full(len(active), -1, dtype=np.int64)
-        inside = active + step < n
-        after[inside] = rank[active[inside] + step]
-        key = rank[active] * (n + 1) + after + 1
+    rank = np.zeros(n, dtype=np.int64)  # the first place of the group
+    active, key, step = np.arange(n), tokens, 0
+    while len(active):
+        if step:
+            key = rank[active] * (n + 1)
+            inside = active < n - step
+            key[inside] += rank[active[inside] + step] + 1
         order = np.argsort(key, kind="stable")
-        sorted_key, groups = key[order], rank[active[order]]
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = groups[1:] != groups[:-1]
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = sorted_key[1:] != sorted_key[:-1]
-        at = np.arange(len(order))
-        start = np.maximum.accumulate(np.where(first, at, 0))
-        rank = rank.copy()
-        rank[active[order]] = groups + np.maximum.accumulate(np.where(fresh, at, 0)) - start
-        levels.append(rank)
-        step *= 2
+        key, active = key[order], active[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(fresh)
+        size = np.diff(start, append=len(key))
+        old = rank[active[start]]
+        first = np.ones(len(start), dtype=bool)
+        first[1:] = old[1:] != old[:-1]
+        new = old + start - np.maximum.accumulate(np.where(first, start, 0))
+        rank[active] = np.repeat(new, size)
+        active = active[np.repeat(size > 1, size)]
+        step = max(1, 2 * step)
     suffixes = np.empty(n, dtype=np.int64)
     suffixes[rank] = np.arange(n)
-    lcp = np.zeros(max(n - 1, 0), dtype=np.int64)
-    pairs = np.flatnonzero(levels[0][suffixes[:-1]] == levels[0][suffixes[1:]]) if n > 1 else np.empty(0, dtype=np.int64)
-    left, right = suffixes[pairs], suffixes[pairs + 1]
-    for k in range(len(levels) - 1, -1, -1):
-        ok = np.maximum(left, right) < n
-        same = np.zeros(len(pairs), dtype=bool)
-        same[ok] = levels[k][left[ok]] == levels[k][right[ok]]
-        left, right = left + (same << k), right + (same << k)
-        lcp[pairs] += same << k
-    return suffixes, lcp
+    return suffixes
+
+
+def _shared(tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many tokens agree from each place of a and of b on."""
+    n, out = len(tokens), np.zeros(len(a), dtype=np.int64)
+    left = np.arange(len(a))
+    for _ in range(32):
+        at, to = a[left] + out[left], b[left] + out[left]
+        ok = np.maximum(at, to) < n
+        ok[ok] = tokens[at[ok]] == tokens[to[ok]]
+        left = left[ok]
+        if not len(left):
+            return out
+        out[left] += 1
+    for i in left.tolist():
+        x, y, block = int(a[i] + out[i]), int(b[i] + out[i]), 64
+        while max(x, y) < n:
+            size = min(block, n - max(x, y))
+            apart = np.flatnonzero(tokens[x : x + size] != tokens[y : y + size])
+            if len(apart):
+                x += int(apart[0])
+                break
+            x, y, block = x + size, y + size, 2 * block
+        out[i] = x - a[i]
+    return out
+
+
+def suffix_lcp(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of ``tokens`` and the longest common prefix of each neighbouring pair.
+
+    In the order of the text a prefix is one shorter than the one before it wherever the
+    tokens before both places agree. Only the others are compared; their lengths add up to
+    n log n at most, so memory is a few arrays of n whatever repeats.
+    """
+    n = len(tokens)
+    before, suffixes = np.full(n, -1, dtype=np.int64), suffix_array(tokens)
+    before[suffixes[1:]] = suffixes[:-1]
+    follows = np.zeros(n, dtype=bool)
+    at = np.flatnonzero(before > 0)
+    at = at[at > 0]
+    follows[at] = tokens[at - 1] == tokens[before[at] - 1]
+    anew = np.flatnonzero(~follows & (before >= 0))
+    lcp = np.zeros(n, dtype=np.int64)
+    lcp[anew] = _shared(tokens, anew, before[anew])
+    last = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
+    return suffixes, (lcp[last] - (np.arange(n) - last))[suffixes[1:]]
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -101,14 +130,13 @@ def analyse_batch(texts: list[bytes], limits: Limits) -> list[dict]:
     known: dict[bytes, int] = defaultdict(count().__next__)
     rows, ids = [], []
     for data in texts:
-        words = data.split()
-        ids.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+        ids.append(np.concatenate([np.empty(0, np.int64), *(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)) for words in common.word_blocks(data))]))
         seen, repeated = set(), 0
         for line in data.split(b"\n"):
             if line.strip(SPACE):
                 repeated += line in seen
                 seen.add(line)
-        rows.append({"n_words": len(words), "word_chars": len(data.translate(None, SPACE + _CONTINUED)), "n_symbols": len(data) - len(data.translate(None, SYMBOLS)), "n_dup_lines": repeated})
+        rows.append({"n_words": len(ids[-1]), "word_chars": len(data.translate(None, SPACE + _CONTINUED)), "n_symbols": len(data) - len(data.translate(None, SYMBOLS)), "n_dup_lines": repeated})
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
     n = len(doc)
@@ -149,29 +177,17 @@ SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_fai
 _ARROW = pa.schema([("doc_id", pa.int64()), *_VERDICT])
 
 
-def _chunks(texts: pa.Array):
-    """Runs of a batch's rows with about BATCH_WORDS words each, as (first row, texts)."""
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        data = (text.as_py() or "").encode()
-        if held and size + len(data) > 5 * BATCH_WORDS:
-            yield start, held
-            start, held, size = i, [], 0
-        held.append(data)
-        size += len(data)
-    if held:
-        yield start, held
+def _texts(column: pa.Array) -> list[bytes]:
+    return [(text.as_py() or "").encode() for text in column]
 
 
 def analyse(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Counts, spans and verdict of each document (doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for start, texts in _chunks(batch.column(1)):
-                rows = analyse_batch(texts, limits)
-                yield pa.RecordBatch.from_pylist([{"doc_id": doc_ids[start + i]} | r for i, r in enumerate(rows)], schema=_ARROW)
+        for batch in common.sliced(batches, 1, BATCH_BYTES):
+            rows = analyse_batch(_texts(batch.column(1)), limits)
+            yield pa.RecordBatch.from_pylist([{"doc_id": i} | r for i, r in zip(batch.column(0).to_pylist(), rows, strict=True)], schema=_ARROW)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -181,8 +197,7 @@ def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            keep = [r["kept"] for _, texts in _chunks(batch.column(at)) for r in analyse_batch(texts, limits)]
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
+        for batch in common.sliced(batches, at, BATCH_BYTES):
+            yield batch.filter(pa.array([r["kept"] for r in analyse_batch(_texts(batch.column(at)), limits)], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
