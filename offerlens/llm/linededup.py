@@ -3,22 +3,27 @@
 State, all sharded by key hash: postings (key, doc_id), the exact table that a
 line's reference count and its keeper come from; and a cuckoo filter a shard over
 the keys that are to be dropped. Documents are inserted by adding postings and
-deleted by taking theirs away; filters follow by insertion and deletion of keys,
-so no insertion is final. Applying sends each line's key to its shard's filter;
-what passes is looked up in the exact table, so false positives change nothing.
+deleted by taking theirs away (``Index.insert``, ``Index.delete``); the reference
+counts before and after say which keys filters gain and lose, so no insertion is
+final, no key is taken out that isn't in, and a shard that is full is built anew from
+its exact keys. Applying sends each line's key to its shard's filter; what passes is
+looked up in the exact table, so false positives change nothing.
 
 Scale: keys are two 64-bit hashes, 24 bytes a line are shuffled instead of lines;
 counts combine before the shuffle; lines of a hot key are salted in the probe and
-in the lookup. A filter holds at most about SHARD_KEYS keys, whatever the corpus.
+in the lookup, and so are the documents of a hot doc_id. A filter holds at most about
+SHARD_KEYS keys, whatever the corpus. Texts are shuffled once, to meet their drops.
 
-Defined results: a row is a document; null and empty texts are one empty line;
-the keeper is the largest doc_id (null is the smallest, and rows that share the
-keeper's doc_id all keep the line); other columns are kept by ``apply``
+Defined results: a row is a document, also for deletion; null and empty texts are one
+empty line; the keeper is the largest doc_id (null is the smallest, and rows that share
+the keeper's doc_id all keep the line); other columns are kept by ``apply``
 (those named as its own are replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -57,8 +62,13 @@ def insert(state: DataFrame, docs: DataFrame, min_chars: int = 40) -> DataFrame:
     return state.unionByName(postings(docs, min_chars))
 
 
-def delete(state: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Postings without those of the given documents (column doc_id)."""
+def delete(state: DataFrame, docs: DataFrame, min_chars: int = 40) -> DataFrame:
+    """Postings without those of the given documents (doc_id, text): of rows that share a doc_id, as many go as are given."""
+    return state.exceptAll(postings(docs, min_chars).select(*state.columns))
+
+
+def delete_ids(state: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """Postings without those of any row of the given ids (column doc_id)."""
     return state.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
@@ -78,10 +88,12 @@ class CuckooFilter:
         self.table = np.zeros((buckets, self.SLOTS), dtype=np.uint16) if table is None else table
         self.mask = len(self.table) - 1
 
+    LOAD = 0.85
+
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:
         buckets = 64
-        while buckets * cls.SLOTS * 0.85 < len(keys):
+        while buckets * cls.SLOTS * cls.LOAD < len(keys):
             buckets *= 2
         while True:
             made = cls(buckets)
@@ -154,22 +166,36 @@ def filters(dropped: DataFrame, shards: int) -> DataFrame:
     return keyed.groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
-def update_filters(current: DataFrame, added: DataFrame, removed: DataFrame, shards: int) -> DataFrame:
-    """Filters after keys (k1) have come and gone; shards with neither stay as they are."""
+def update_filters(current: DataFrame, added: DataFrame, removed: DataFrame, shards: int, dropped: DataFrame | None = None) -> DataFrame:
+    """Filters after keys (k1) have come and gone; shards with neither stay as they are.
+
+    A shard whose filter has no room left is built anew from its keys in ``dropped``,
+    the table after the change (without it, that is an error).
+    """
     change = added.select("k1", F.lit(True).alias("add")).unionByName(removed.select("k1", F.lit(False).alias("add")))
     change = change.select(F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), "k1", "add")
+    may_rebuild = dropped is not None
 
     def merge(now: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
         shard = int((now if len(now) else changes)["shard"].iloc[0])
         cuckoo = CuckooFilter.load(now["filter"].iloc[0]) if len(now) else CuckooFilter()
         for key in changes.loc[~changes["add"], "k1"].tolist():
             cuckoo.delete(key)
-        for key in changes.loc[changes["add"], "k1"].tolist():
-            if not cuckoo.insert(key):
-                raise ValueError(f"the filter of shard {shard} is full; build it anew with filters()")
+        room = cuckoo.table.size * CuckooFilter.LOAD - np.count_nonzero(cuckoo.table)
+        new = changes.loc[changes["add"], "k1"].tolist()
+        if len(new) > room or not all(map(cuckoo.insert, new)):
+            if not may_rebuild:
+                raise ValueError(f"the filter of shard {shard} is full; give the table of dropped keys")
+            return pd.DataFrame({"shard": [shard], "filter": [None]})
         return pd.DataFrame({"shard": [shard], "filter": [cuckoo.dump()]})
 
-    return current.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(merge, "shard int, filter binary")
+    out = current.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(merge, "shard int, filter binary")
+    if not may_rebuild:
+        return out
+    out = common.checkpointed(out)
+    full = out.where(F.col("filter").isNull()).select("shard")
+    keys = dropped.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).join(full, "shard", "left_semi")
+    return out.where(F.col("filter").isNotNull()).unionByName(filters(keys, shards))
 
 
 def probe(state: DataFrame, made: DataFrame, shards: int, salts: int) -> DataFrame:
@@ -187,26 +213,69 @@ def probe(state: DataFrame, made: DataFrame, shards: int, salts: int) -> DataFra
 # --- the operator -------------------------------------------------------------
 
 
-def drops(state: DataFrame, min_docs: int = 5) -> DataFrame:
-    """doc_id, k1, k2 of the lines to drop. ``state`` is read several times: give a written table or a checkpoint."""
-    dropped = common.checkpointed(reference_counts(state).where(F.col("n_docs") >= min_docs))
-    shards = -(-max(1, dropped.count()) // SHARD_KEYS)
-    salts = -(-max(1, state.count()) // (PROBE_ROWS * shards))
-    candidates = probe(state, filters(dropped, shards), shards, salts)
-    found = common.salted_lookup(candidates, dropped.select("k1", "k2", "keeper"), ["k1", "k2"], F.col("doc_id"), how="inner")
-    return found.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "k1", "k2")
+@dataclass
+class Index:
+    """The state of line dedup: tables to be written or checkpointed between changes (each change checkpoints its own)."""
+
+    postings: DataFrame  # doc_id, k1, k2
+    dropped: DataFrame  # k1, k2, n_docs, keeper of the keys that ``min_docs`` documents hold
+    filters: DataFrame  # shard, filter
+    shards: int
+    min_docs: int = 5
+    min_chars: int = 40
+
+    @classmethod
+    def of(cls, docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Index:
+        return cls.of_postings(common.checkpointed(postings(docs, min_chars)), min_docs, min_chars)
+
+    @classmethod
+    def of_postings(cls, state: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Index:
+        dropped = common.checkpointed(reference_counts(state).where(F.col("n_docs") >= min_docs))
+        shards = -(-max(1, dropped.count()) // SHARD_KEYS)
+        return cls(state, dropped, filters(dropped, shards), shards, min_docs, min_chars)
+
+    def insert(self, docs: DataFrame) -> Index:
+        new = common.checkpointed(postings(docs, self.min_chars))
+        return self._after(self.postings.unionByName(new), new)
+
+    def delete(self, docs: DataFrame) -> Index:
+        """Without the given rows (doc_id, text)."""
+        old = common.checkpointed(postings(docs, self.min_chars))
+        return self._after(self.postings.exceptAll(old.select(*self.postings.columns)), old)
+
+    def _after(self, state: DataFrame, changed: DataFrame) -> Index:
+        """Counts anew only the keys that the change touches; their old and new places in ``dropped`` say what filters gain and lose."""
+        state = common.checkpointed(state)
+        touched = changed.select("k1", "k2").distinct()
+        now = reference_counts(state.join(touched, ["k1", "k2"], "left_semi")).where(F.col("n_docs") >= self.min_docs)
+        now = common.checkpointed(now)
+        before = self.dropped.join(touched, ["k1", "k2"], "left_semi")
+        dropped = common.checkpointed(self.dropped.join(touched, ["k1", "k2"], "left_anti").unionByName(now))
+        added = now.join(before, ["k1", "k2"], "left_anti")
+        removed = before.join(now, ["k1", "k2"], "left_anti")
+        if dropped.count() > 2 * SHARD_KEYS * self.shards:  # more shards
+            return Index.of_postings(state, self.min_docs, self.min_chars)
+        made = update_filters(self.filters, added, removed, self.shards, dropped)
+        return Index(state, dropped, common.checkpointed(made), self.shards, self.min_docs, self.min_chars)
+
+    def drops(self) -> DataFrame:
+        """doc_id, k1, k2 of the lines to drop."""
+        salts = -(-max(1, self.postings.count()) // (PROBE_ROWS * self.shards))
+        candidates = probe(self.postings, self.filters, self.shards, salts)
+        found = common.salted_lookup(candidates, self.dropped.select("k1", "k2", "keeper"), ["k1", "k2"], F.col("doc_id"), how="inner")
+        return found.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "k1", "k2")
 
 
 def apply(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the kept text, plus n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped", "_drop", "_doc")  # an older result's columns give way
-    sets = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_drop")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(sets, docs["doc_id"].eqNullSafe(sets["_doc"]), "left").drop("_doc")
+    sets = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_drop"))
     names = docs.columns
+    joined = common.heated_lookup(docs, sets, "doc_id")
     at = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches, at):
             texts, lines, gone = [], [], []
             for text, drop in zip(batch.column(at), batch.column(len(names)), strict=True):
                 data = (text.as_py() or "").encode()
@@ -225,6 +294,4 @@ def apply(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """From an empty state: insert all documents, then apply."""
-    common.small_batches(docs.sparkSession)
-    state = common.checkpointed(postings(docs, min_chars))
-    return apply(docs, drops(state, min_docs))
+    return apply(docs, Index.of(docs, min_chars, min_docs).drops())

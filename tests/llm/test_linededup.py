@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from offerlens.llm import linededup
@@ -92,3 +93,43 @@ def test_filters_follow_changes(spark):
 def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, op9_line_dedup(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_index_follows_changes_like_a_rebuild(spark, docs_of, monkeypatch):
+    """Insert, delete and insert again: the same drops, tables and filter answers as from scratch, over shards that fill up."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 40)
+    line = lambda k: f"shared line number {k:04} that is long enough to count"
+    first = [(i, "\n".join(line(k) for k in range(30))) for i in range(6)]
+    more = [(100 + i, "\n".join(line(k) for k in range(20, 260))) for i in range(5)] + [(None, line(1)), (100, line(2))]
+    one = linededup.Index.of(docs_of(first))
+    two = one.insert(docs_of(more))
+    three = two.delete(docs_of(more[:3] + more[-1:]))
+    four = three.insert(docs_of(more[:3] + more[-1:]))
+    for index, rows in ((one, first), (two, first + more), (three, first + more[3:-1]), (four, first + more)):
+        fresh = linededup.Index.of(docs_of(rows))
+        plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+        assert plain(index.postings.select("doc_id", "k1", "k2")) == plain(fresh.postings.select("doc_id", "k1", "k2"))
+        assert plain(index.dropped.select("k1", "k2", "n_docs", "keeper")) == plain(fresh.dropped.select("k1", "k2", "n_docs", "keeper"))
+        held = {r["shard"]: linededup.CuckooFilter.load(bytes(r["filter"])) for r in index.filters.collect()}
+        keys = [r["k1"] for r in index.dropped.select("k1").collect()]
+        assert all(held[k % index.shards].contains(np.array([k]))[0] for k in keys)
+        assert sum(np.count_nonzero(f.table) for f in held.values()) == len(keys)  # nothing stays behind
+        assert plain(index.drops()) == plain(fresh.drops())
+        done = linededup.apply(docs_of(rows), index.drops()).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256))
+        assert sorted(map(tuple, done.collect()), key=str) == brute(rows)
+
+
+def test_full_shard_is_built_anew(spark):
+    made = linededup.filters(spark.range(10).select(F.col("id").alias("k1")), 1)
+    added = spark.range(10, 5000).select(F.col("id").alias("k1"))
+    with pytest.raises(Exception, match="is full"):
+        linededup.update_filters(made, added, added.limit(0), 1).collect()
+    row = linededup.update_filters(made, added, added.limit(0), 1, spark.range(5000).select(F.col("id").alias("k1"))).collect()
+    assert len(row) == 1 and linededup.CuckooFilter.load(bytes(row[0]["filter"])).contains(np.arange(5000)).all()
+
+
+def test_hot_and_null_ids(spark, docs_of, monkeypatch):
+    rows = [(None, LONG + f"\nown {i}") for i in range(300)] + [(5, LONG + f"\nmine {i}") for i in range(300)] + [(i, LONG) for i in range(3)]
+    small, real = [], linededup.common.heated_lookup
+    monkeypatch.setattr(linededup.common, "heated_lookup", lambda a, b, k: small.append(real(a, b, k, most=50)) or small[-1])
+    assert run(docs_of(rows)) == brute(rows)
