@@ -1,14 +1,12 @@
-"""The stages one after the other against a brute-force version."""
+"""The stages one after the other against a brute-force version that shares no code with them."""
 
 import math
 import random
+import re
 
 import corpus_pipeline
-import numpy as np
-from test_linededup import brute as _  # noqa: F401  (same keys as the stage's)
 from test_mixing import brute as brute_mix
-
-from offerlens.llm import linededup, quality, simhash
+from test_quality import brute as brute_quality
 
 
 def texts():
@@ -28,32 +26,34 @@ def texts():
     return rows
 
 
-def near(a, b):
-    hashes = [simhash.shingle_hashes(t.encode(), 5) for t in (a, b)]
-    sizes = [max(1, len(h)) for h in hashes]
-    if min(sizes) < 0.8 * max(sizes):
-        return False
-    prints = [[int(simhash.majority(simhash.lane(h, k), np.array([len(h)]))[0]) for k in range(2)] for h in hashes]
-    return sum((x ^ y).bit_count() for x, y in zip(*prints, strict=True)) <= 24
+def shingles(text):
+    words = text.translate(str.maketrans({c: c.lower() for c in map(chr, range(65, 91))}))
+    words = re.findall(r"[^\x20\x09-\x0D]+", words)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def key(line):
+    return re.sub(r"[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\v\f\r"))
 
 
 def brute(rows):
-    rows = [r for r in rows if quality.analyse_batch([(r[1] or "").encode()], quality.Limits())[0]["kept"]]
-    keys = lambda t: {k: linededup.key_hashes(k.encode()) for k in t.split("\n") if len(k.strip()) >= 40}
+    rows = [r for r in rows if brute_quality(r[1])[-1]]
     held = {}
     for r in rows:
-        for h in set(keys(r[1]).values()):
-            held.setdefault(h, []).append(r[0])
-    gone = lambda d, line: (h := keys(line).get(line)) is not None and len(held[h]) >= 5 and max(held[h]) != d
+        for k in {key(x) for x in r[1].split("\n")}:
+            held.setdefault(k, []).append(r[0])
+    gone = lambda d, line: len(key(line)) >= 40 and len(held[key(line)]) >= 5 and max(held[key(line)]) != d
     rows = [(r[0], "\n".join(x for x in r[1].split("\n") if not gone(r[0], x)), *r[2:]) for r in rows]
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    near = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
     label = {r[0]: r[0] for r in rows}
     changed = True
     while changed:
         changed = False
-        for a in rows:
-            for b in rows:
-                if label[b[0]] < label[a[0]] and near(a[1], b[1]):
-                    label[a[0]], changed = label[b[0]], True
+        for a in label:
+            for b in label:
+                if label[b] < label[a] and near(a, b):
+                    label[a], changed = label[b], True
     rows = [r for r in rows if label[r[0]] == r[0]]
     taken = brute_mix(rows)
     out = []
