@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir), with ``docs`` what its predecessor
 returned, written as Parquet and read again; all but the last return the columns
 of ``documents``. ``run`` writes between the stages to the shared folder.
 
-Rows that share a doc_id stay rows of their own throughout; after mixing, a
-document that is taken n times is n rows, in training order.
+Each row is a document, whatever doc_id it shares (near-dedup removes repeated rows
+as it does any copies); after mixing, a document that is taken n times is n rows, in
+training order.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from offerlens.session import ship
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the repetition limits."""
     ship(spark)
-    common.small_batches(spark)
     return quality.kept_documents(docs)
 
 
@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group that near copies connect: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One row of each group that near copies connect, with the smallest doc_id: five-word shingles, Jaccard similarity 0.8 or more."""
     ship(spark)
     return simhash.keep_one(docs)
 
