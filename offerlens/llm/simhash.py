@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 42
-TILE = 8192
+TILE = 4096
 CHECK_TILE = 256
 CHECK_SHINGLES = 65_536
 EARLY = 0.65
@@ -61,8 +61,8 @@ def shingle_hashes(data: bytes, words: int) -> np.ndarray:
             if words == 3:
                 shingles = [b"%b %b %b" % t for t in zip(parts, parts[1:], parts[2:], strict=False)]
             else:
-                shingles = [b" ".join(t) for t in zip(*(parts[i:] for i in range(words)), strict=False)]
-            found.append(np.fromiter((h(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
+                shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
+            found.append(np.array([h(s, SEED) for s in shingles], dtype=np.uint64))
         tail = parts[1 - words :] if words > 1 else []
     if not found and tail:
         found.append(np.array([h(b" ".join(tail), SEED)], dtype=np.uint64))
