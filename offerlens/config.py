@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,9 @@ def load(tree: Mapping[str, Any] | None = None, environment: Mapping[str, str] |
 def with_overrides(settings: Settings, rows: DataFrame) -> Settings:
     """Rows (key, value) of the settings table set what they name; with a point a value is a float, else whole; bad ones are ignored. Read anew for each batch."""
     known = {f.name for f in fields(Settings)}
-    for row in rows.select("key", "value").limit(1000).collect():  # settings, some dozens
-        if row["key"] in known:
+    latest = rows.where(rows["key"].isin(*known)).groupBy("key").agg(F.max("value").alias("value"))  # a row for each known key at most
+    for row in latest.collect():
+        if row["value"] is not None:
             try:
                 value = float(row["value"]) if "." in row["value"] else int(float(row["value"]))
             except (TypeError, ValueError):

@@ -109,6 +109,21 @@ def tokens(name, set_name, set_code, number, rarity) -> Column:
     return F.concat(words(name), words(set_name), one(set_code), one(number), one(rarity))
 
 
+def discount_percent(price: Column, value: Column) -> Column:
+    """How far a price lies below the market value, in percent; null without a positive value."""
+    return F.when(value > 0, (1 - price / value) * 100)
+
+
+def thumbnail(images: Column | str) -> Column:
+    """The first image, or null."""
+    return F.try_element_at(_col(images), F.lit(1))
+
+
+def identity_json(*fields: Column | str) -> Column:
+    """An identity's fields as a JSON object, nulls included."""
+    return F.to_json(F.struct(*[_col(f) for f in fields]), {"ignoreNullFields": "false"})
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))

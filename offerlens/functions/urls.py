@@ -19,7 +19,11 @@ LANGUAGE_CODES = {"English": "1", "Dutch": "11", "French": "2", "German": "3", "
 DEFAULT_FILTERS = (("sellerCountry", "23"), ("language", "1"))
 PRODUCT_PATH = "/en/Pokemon/Products/Singles"
 #: Sets whose product slugs carry the set code before the number, and promo sets that write it twice.
-CODE_IN_NUMBER = tuple("RS SS DR MA HL RG FR TRR DX EM UF DS LM HP CG DF PK EX AQ SK N1 N2 N3 N4 BS JU FO B2 TR G1 G2 LC DP MT SW GE MD LA SF PL PLA PLAT RR SV AR HS UL UD TM CL BLW EPO NVI NXD DEX DRX DRV BCR PLS PLF PLB LTR".split())
+CODE_IN_NUMBER = (
+    "RS", "SS", "DR", "MA", "HL", "RG", "FR", "TRR", "DX", "EM", "UF", "DS", "LM", "HP", "CG", "DF", "PK", "EX", "AQ", "SK", "N1", "N2", "N3", "N4",
+    "BS", "JU", "FO", "B2", "TR", "G1", "G2", "LC", "DP", "MT", "SW", "GE", "MD", "LA", "SF", "PL", "PLA", "PLAT", "RR", "SV", "AR", "HS", "UL",
+    "UD", "TM", "CL", "BLW", "EPO", "NVI", "NXD", "DEX", "DRX", "DRV", "BCR", "PLS", "PLF", "PLB", "LTR",
+)
 DOUBLED = {"BW": "BWBW"}
 
 

@@ -47,8 +47,9 @@ def insert_if_absent(rows: DataFrame, key: list[str], order: list[str]) -> DataF
     return rows.where(partial).unionByName(first_wins(rows.where(~partial), key, order))
 
 
-def update_columns(current: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """``columns`` of the changed keys take the change's values where it has one."""
+def update_columns(current: DataFrame, changes: DataFrame, key: list[str], columns: list[str], order: list[str] = ()) -> DataFrame:
+    """``columns`` of the changed keys take the change's values where it has one; of several changes of a key the last counts (by ``order``)."""
+    changes = last_wins(changes.select(*key, *columns, *[c for c in order if c not in columns]), key, order or columns)
     new = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = current.join(new, key, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else c for c in current.columns])
@@ -96,7 +97,7 @@ def expired(reviews: DataFrame, now: Column, days: int, by_date: bool = False) -
 
 def resolve(reviews: DataFrame, replies: DataFrame) -> DataFrame:
     """Reviews that a reply (listing_id, resolved_by, resolved_url, resolved_at) settles."""
-    done = update_columns(reviews, replies.withColumn("status", F.lit("resolved")), ["listing_id"], ["status", "resolved_by", "resolved_url", "resolved_at"])
+    done = update_columns(reviews, replies.withColumn("status", F.lit("resolved")), ["listing_id"], ["status", "resolved_by", "resolved_url", "resolved_at"], ["resolved_at"])
     return done
 
 

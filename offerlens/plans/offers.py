@@ -16,7 +16,7 @@ from ..config import Settings
 from ..functions import money, urls
 from ..functions import text as tx
 from ..functions.identify import Lexicon, identified
-from ..operators import catalogue, prefilter, resolver
+from ..operators import catalogue, prefilter, resolver, state
 from ..session import checkpointed
 
 RESULT = "listing_id string, channel string, verdict string, reason string, source string, confidence double, product_id long, url string, from_price double, fee double, total_min double, total_max double, diff double, pct double, bid_price double"
@@ -48,8 +48,9 @@ def _result(df: DataFrame, **columns) -> DataFrame:
 
 
 def prefiltered(listings: DataFrame, tables: Tables, settings: Settings) -> DataFrame:
-    """Unseen listings with ``reason`` (null: go on) and ``cheap_lot``; the first failing filter is the reason."""
-    fresh = prefilter.unseen(listings.dropDuplicates(["listing_id"]), tables.seen)
+    """Unseen listings with ``reason`` (null: go on) and ``cheap_lot``; the first failing filter is the reason. Of rows that share an id the first counts (by ``seq`` where there is one)."""
+    first = state.first_wins(listings, ["listing_id"], ["seq"] if "seq" in listings.columns else [c for c in ("title", "price", "url") if c in listings.columns])
+    fresh = prefilter.unseen(first, tables.seen)
     native = fresh.withColumn("reason", prefilter.reason(settings)).withColumn("cheap_lot", F.coalesce((F.col("reason") == "lot_listing") & prefilter.is_cheap_lot(settings), F.lit(False)))
     named = prefilter.with_known_name(native.where(F.col("reason").isNull()), tables.names)
     named = named.withColumn("reason", F.when(~F.col("has_name"), "no_known_name")).drop("has_name")
