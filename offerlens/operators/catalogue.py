@@ -28,15 +28,21 @@ def candidates(asked: DataFrame, products: DataFrame, codes: DataFrame) -> DataF
     """(ask_id, pos, ...): products of the asked number whose expansion fits, or all of them where none does.
 
     asked: ask_id, name, number, set_name, set_code. codes: code (upper case), slug.
+    Which of a number's expansions fit is decided on the distinct pairs of terms and
+    expansions, which are few beside asks and products; asks then meet only products of
+    expansions that fit, by equality, and the whole number only where there are none.
     """
     a = asked.where(F.coalesce("number", F.lit("")) != "").withColumn("_key", tx.number_key("number")).withColumn("_code", F.upper("set_code"))
     a = a.join(codes.select(F.upper("code").alias("_code"), "slug"), "_code", "left")
     term = lambda c: F.nullif(c, F.lit(""))
     terms = F.filter(F.array(term(tx.expansion_key("set_name")), term(tx.expansion_key(F.replace("slug", F.lit("-"), F.lit(" ")))), term(F.lower("set_code"))), lambda t: t.isNotNull())
     a = a.select("ask_id", F.col("name").alias("asked_name"), "_key", terms.alias("_terms"))
-    joined = a.join(products, a["_key"] == products["number_key"]).withColumn("_fits", expansion_fits(F.col("expansion_key"), F.col("_terms")))
-    any_fits = F.max("_fits").over(Window.partitionBy("ask_id"))
-    return joined.withColumn("_any", any_fits).where(F.col("_fits") | ~F.col("_any")).drop("_key", "_terms", "_fits", "_any")
+    kinds = products.select(F.col("number_key").alias("_key"), "expansion_key").distinct()
+    fitting = a.select("_key", "_terms").distinct().join(kinds, "_key").where(expansion_fits(F.col("expansion_key"), F.col("_terms")))
+    found = a.join(fitting.select("_key", "_terms", F.col("expansion_key").alias("_expansion")), ["_key", "_terms"], "left")
+    fits = found.where(F.col("_expansion").isNotNull()).join(products, (F.col("_key") == products["number_key"]) & (F.col("_expansion") == products["expansion_key"]))
+    others = found.where(F.col("_expansion").isNull()).join(products, F.col("_key") == products["number_key"])
+    return fits.unionByName(others).drop("_key", "_expansion")
 
 
 def best_product(asked: DataFrame, products: DataFrame, codes: DataFrame) -> DataFrame:
@@ -55,6 +61,11 @@ def priced(found: DataFrame, prices: DataFrame) -> DataFrame:
     return found.join(p.where(F.col("from_price").isNotNull()), "id_product")
 
 
+def by_id(asked: DataFrame, products: DataFrame) -> DataFrame:
+    """Asks (ask_id, id_product) with the product of that id."""
+    return asked.join(products, "id_product")
+
+
 def lookup(asked: DataFrame, products: DataFrame, codes: DataFrame, prices: DataFrame) -> DataFrame:
     return priced(best_product(asked, products, codes), prices)
 

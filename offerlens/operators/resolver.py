@@ -21,27 +21,44 @@ def _clean(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumn(f"{prefix}number", F.trim(blank("collector_number"))).withColumn(f"{prefix}code", F.upper(blank("set_code")))
 
 
+def _rare_tokens(rows: DataFrame, mappings: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, _t): the rarest tokens of each row, so many that two rows which share half of the longer list share one of them.
+
+    Without number and code a score of 80 needs that half: title and name give (150 + 80) / 3.5 at
+    best. Tokens that most titles hold come last in the order, so they pair rows only where a row has no others.
+    """
+    count = mappings.select(F.explode(F.array_distinct("b_tokens")).alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_count"))
+    each = rows.select(key, F.size(column).alias("_size"), F.explode(F.array_distinct(column)).alias("_t")).join(count, "_t", "left")
+    ordered = each.groupBy(key, "_size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("c"), "_t"))).alias("_all"))  # the tokens of a title
+    most = F.greatest(F.size("_all") - F.ceil(F.col("_size") / 2).cast("int") + 1, F.lit(0))
+    return ordered.select(key, F.explode(F.slice("_all", F.lit(1), most)).alias("_x")).select(key, F.col("_x._t").alias("_t"))
+
+
 def blocked_pairs(listings: DataFrame, mappings: DataFrame) -> DataFrame:
     """(listing_id, id) that may reach the threshold; each pair once.
 
     Where number and code don't decide (blank on a side), the rest reaches 80 only
-    with a shared token; without tokens, with equal names or with sorted titles
+    with half of the longer list of tokens in common; without tokens, with equal names or with sorted titles
     whose lengths are within 2 : 3 of each other.
     """
     a = _clean(listings, "a_").select("listing_id", F.col("fingerprint").alias("a_fp"), "a_number", "a_code", F.col("tokens").alias("a_tokens"), F.lower("card_name").alias("a_name"), F.lower(F.trim("title")).alias("a_title"))
     b = _clean(mappings, "b_").select("id", F.col("fingerprint").alias("b_fp"), "b_number", "b_code", F.col("tokens").alias("b_tokens"), F.lower("card_name").alias("b_name"), F.lower(F.trim("title")).alias("b_title"))
     either = lambda k: (F.col(f"a_{k}") == "") | (F.col(f"b_{k}") == "")
-    same = lambda k: (F.col(f"a_{k}") == F.col(f"b_{k}")) & (F.col(f"a_{k}") != "")
     open_ = either("number") & either("code")
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     sorted_size = lambda c: F.length(F.array_join(F.split(c, r"\s+"), " "))
     band = lambda c: F.floor(F.log(F.greatest(sorted_size(c), F.lit(1)).cast("double")) / F.log(F.lit(1.5)))
     a_bands = a.withColumn("_band", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: band(F.col("a_title")) + k)))
+    blank, full = (lambda k: F.col(k) == ""), (lambda k: F.col(k) != "")
+    number, code = F.col("a_number") == F.col("b_number"), F.col("a_code") == F.col("b_code")
     parts = [
         a.join(b, (F.col("a_fp") == F.col("b_fp")) & (F.col("a_fp") != "")),
-        a.join(b, same("number") & (either("code") | same("code"))),
-        a.join(b, same("code") & either("number")),
-        a.withColumn("_t", F.explode(F.array_distinct("a_tokens"))).join(b.withColumn("_t", F.explode(F.array_distinct("b_tokens"))), "_t").where(open_),
+        a.where(full("a_number") & full("a_code")).join(b, number & code),
+        a.where(full("a_number") & blank("a_code")).join(b, number),
+        a.where(full("a_number") & full("a_code")).join(b.where(blank("b_code")), number),
+        a.where(full("a_code") & blank("a_number")).join(b, code),
+        a.where(full("a_code") & full("a_number")).join(b.where(blank("b_number")), code),
+        _rare_tokens(a, b, "listing_id", "a_tokens").join(_rare_tokens(b, b, "id", "b_tokens"), "_t").join(a.select("listing_id", "a_number", "a_code"), "listing_id").join(b.select("id", "b_number", "b_code"), "id").where(open_),
         a_bands.join(b.withColumn("_band", band(F.col("b_title"))), "_band").where(open_ & ~(some("a_tokens") & some("b_tokens"))),
         a.join(b, F.col("a_name") == F.col("b_name")).where(open_ & ~(some("a_tokens") & some("b_tokens"))),
     ]

@@ -116,3 +116,13 @@ def purge_least(rows: DataFrame, group: str, count: str, key: list[str]) -> tupl
     """(what stays, what was deleted)."""
     gone = least_counts(rows, group, count)
     return delete_keys(rows, gone, key), gone
+
+
+def filled(rows: DataFrame, column: str) -> DataFrame:
+    """Rows that have a value there; an empty string is none."""
+    return rows.where(F.col(column).isNotNull() & (F.col(column).cast("string") != ""))
+
+
+def first_of_key(rows: DataFrame, keys: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each asked key."""
+    return first_wins(rows.join(keys.select(*key).distinct(), key, "left_semi"), key, order)

@@ -85,3 +85,11 @@ def expansion_ids(rows: DataFrame, products: DataFrame, id_slugs_table: DataFram
     by_slug = id_slugs_table.where(F.col("id_expansion").isNotNull()).groupBy("set_slug").agg(F.min("id_expansion").alias("_b")).select(F.col("set_slug").alias("_slug"), "_b")
     df = rows.withColumn("_pid", F.col("product_id").try_cast("long")).withColumn("_slug", tx.set_slug("set_name"))
     return df.join(by_product, "_pid", "left").join(by_slug, "_slug", "left").withColumn("id_expansion", F.coalesce("_a", "_b")).drop("_a", "_b", "_pid", "_slug")
+
+
+def stub_listings(rows: DataFrame) -> DataFrame:
+    """Review or error rows as listings again: without a price 0, without a currency EUR."""
+    from ..schemas import migrated
+
+    listed = migrated(rows, "listing")
+    return listed.withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("currency", F.coalesce(F.nullif("currency", F.lit("")), F.lit("EUR")))

@@ -6,39 +6,17 @@ same rows. Operators come from the package; only the tables are stand-ins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Settings
-from ..functions import fuzzy, money, urls
+from ..functions import money, urls
 from ..functions import text as tx
-from ..functions.identify import SCHEMA as IDENTITY
-from ..functions.identify import Lexicon, identified
 from ..operators import catalogue, prefilter, reports, resolver, state
 from ..plans import feedback
+from ..session import shared_folder
 from ..sources import listings, product_pages
 from ..streaming.offers import dedup_stream
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 def dbl(c: Column) -> Column:
     return c.cast("double")
@@ -85,58 +63,42 @@ def q_bid_suggestion(spark, sf_dir):
     return df.select("l_orderkey", "l_partkey", "l_linenumber", *[dbl(F.col(f"b.{k}")).alias(k) for k in ("bid", "bid_total")], F.col("b.bid_profitable"), dbl(F.col("b.saving")).alias("saving"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, ((2 * round(l_extendedprice * 100)::BIGINT * 100 + l_quantity::BIGINT) // (2 * l_quantity::BIGINT)) / 10000.0::DOUBLE AS price_per_card FROM lineitem
-WHERE l_quantity > 0 AND l_extendedprice / l_quantity <= 1000.0""")
-def q_bulk_price_per_unit(spark, sf_dir):
-    """Lots whose price a piece is within the threshold."""
-    each = F.col("l_extendedprice") / F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").where((F.col("l_quantity") > 0) & (each <= 1000.0)).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", (half_up_share(4) / F.lit(10000.0)).alias("price_per_card"))
-
-
-_NON_CARD_SQL = "|".join(w.replace("-", "\\-") for w in prefilter.NON_CARD)
-_LOT_SQL = "|".join(prefilter.LOT)
-
-
-@query(f"""WITH l AS (SELECT p_name AS title, p_type AS description, p_retailprice AS price FROM part)
-SELECT coalesce(reason, 'none') AS reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN price IS NULL OR NOT price BETWEEN 905.0 AND 1500.0 THEN 'price_out_of_range'
-  WHEN regexp_matches(lower(title), '{_NON_CARD_SQL}') THEN 'non_card_item'
-  WHEN regexp_matches(lower(title || ' ' || description), '{_LOT_SQL}') OR regexp_matches(lower(title || ' ' || description), '\\b\\d{{1,4}}\\s*x\\b|\\bx\\s*\\d{{1,4}}\\b|\\b\\d{{1,4}}\\s*(carte|cartes|karte|karten|carta|cartas)\\b') THEN 'lot_listing'
-  WHEN regexp_matches(title || ' ' || description, '(?i)\\b(psa|bgs|cgc|sgs|ace|pgs|beckett|graad|grad[eé]e?|gradato|graded)\\b') THEN 'graded_listing' END AS reason FROM l) GROUP BY 1""")
-def q_price_range_reason(spark, sf_dir):
-    """The first filter that fails."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.col("p_retailprice").alias("price"))
-    why = prefilter.reason(Settings(min_price=905.0, max_price=1500.0))
-    return rows.select(F.coalesce(why, F.lit("none")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '{_NON_CARD_SQL}') AS non_card, regexp_matches(lower(coalesce(text, '')), '{_LOT_SQL}') AS lot_word FROM documents""")
+@query("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+w(w) AS (VALUES ('peluche'), ('plush'), ('t-shirt'), ('tshirt'), ('sleeve'), ('sleeves'), ('soft sleeve'), ('toploader'), ('top loader'), ('classeur'), ('binder'), ('coffret'), ('etb'), ('elite trainer box'), ('booster display'), ('booster box'), ('display'), ('36er display'), ('figure'), ('figurine'),
+  ('playmat'), ('deck box'), ('deckbox'), ('tin'), ('album'), ('display box'), ('blister pack'), ('promo pack'), ('poster'), ('sticker sheet'), ('pin badge'), ('statue'), ('gameboy'), ('game boy'), ('nintendo ds'), ('nintendo switch'), ('switch game'), ('cartucho')),
+l(w) AS (VALUES ('lot'), ('lotto'), ('bundle'), ('lot de'), ('boite'), ('boîte'), ('display'))
+SELECT doc_id, (SELECT bool_or(contains(t, w)) FROM w) AS non_card, (SELECT bool_or(contains(t, w)) FROM l) OR regexp_matches(t, '(^|[^\\p{L}\\p{N}_])[0-9]{1,4}\\s*x($|[^\\p{L}\\p{N}_])|(^|[^\\p{L}\\p{N}_])x\\s*[0-9]{1,4}($|[^\\p{L}\\p{N}_])|(^|[^\\p{L}\\p{N}_])[0-9]{1,4}\\s*(carte|cartes|karte|karten|carta|cartas)($|[^\\p{L}\\p{N}_])') AS lot FROM d""")
 def q_keyword_filter(spark, sf_dir):
-    """Substrings."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", prefilter.is_non_card(F.col("text")).alias("non_card"), prefilter.contains_any(low, prefilter.LOT).alias("lot_word"))
+    """Substrings and counts in long texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", prefilter.is_non_card(F.col("text")).alias("non_card"), prefilter.is_lot(F.col("text"), F.lit(None)).alias("lot"))
 
 
-@query("""SELECT conv_id, turn, regexp_matches(text, '(?i)(^|[^a-z0-9])(psa|graded|the)([^a-z0-9]|$)') AS graded FROM conversations""")
+@query("""SELECT conv_id, turn, regexp_matches(text || ' ', '(?i)(^|[^\\p{L}\\p{N}_])(psa|bgs|cgc|sgs|ace|pgs|beckett|graad|grad[eé]e?|gradato|graded)($|[^\\p{L}\\p{N}_])') AS graded FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' Graad' WHEN 1 THEN ' psaé' ELSE '' END AS text FROM conversations)""")
 def q_regex_filter(spark, sf_dir):
-    """a pattern that both dialects read alike."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").rlike("(?i)(^|[^a-z0-9])(psa|graded|the)([^a-z0-9]|$)").alias("graded"))
+    """words of grading; a letter of any script next to them makes another word."""
+    turn = F.col("turn") % 3
+    text = F.concat("text", F.when(turn == 0, " Graad").when(turn == 1, " psaé").otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prefilter.is_graded(text, F.lit(None)).alias("graded"))
 
 
-@query("""SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (WHERE regexp_matches(text, '[à-ÿ]'))::BIGINT AS accented, count(*) FILTER (WHERE regexp_matches(text, '[぀-ヿ一-龯]'))::BIGINT AS kana FROM documents GROUP BY lang""")
+@query("""SELECT doc_id, contains(t, ' jap') OR contains(t, 'jap.') OR contains(t, 'japanese') OR contains(t, 'japonais') OR contains(t, 'giapponese') OR contains(t, 'japanesé') OR regexp_matches(t, '[぀-ヿ一-龯]') AS japanese
+FROM (SELECT doc_id, ' ' || lower(coalesce(text, '')) || CASE doc_id % 4 WHEN 0 THEN 'カード' WHEN 1 THEN ' Giapponese' ELSE '' END AS s, lower(s) AS t FROM documents)""")
 def q_script_range(spark, sf_dir):
-    """code-point classes."""
-    hit = lambda p, n: F.count_if(F.col("text").rlike(p)).alias(n)
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), hit("[à-ÿ]", "accented"), hit(prefilter.KANA_OR_KANJI, "kana"))
+    """words and kana or kanji."""
+    k = F.col("doc_id") % 4
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(k == 0, "カード").when(k == 1, " Giapponese").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", prefilter.is_japanese(text, F.lit(None)).alias("japanese"))
 
 
-@query("""WITH w AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS name FROM part WHERE p_partkey % 10 = 0)
-SELECT p_partkey, p_name FROM part WHERE list_has_any(string_split(lower(p_name), ' '), (SELECT list(name) FROM w))""")
+@query("""WITH w AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS name FROM part)
+SELECT p_partkey, split_part(lower(p_name), ' ', 2) IN (SELECT name FROM w) OR split_part(lower(p_name), ' ', 3) IN (SELECT name FROM w) AS has_name FROM part""")
 def q_lexicon_semi(spark, sf_dir):
-    """Titles that hold a name, by n-grams against the names."""
+    """Titles that hold a name, by runs of their words against all names."""
     parts = table(spark, sf_dir, "part")
-    names = parts.where(F.col("p_partkey") % 10 == 0).select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct()
-    found = prefilter.with_known_name(parts.select(F.col("p_partkey").alias("listing_id"), F.col("p_name").alias("title")), names, max_words=1)
-    return found.where("has_name").select(F.col("listing_id").alias("p_partkey"), F.col("title").alias("p_name"))
+    names = parts.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct()
+    title = F.concat(F.lit("12/34 * "), F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))), F.lit("-"), F.split_part("p_name", F.lit(" "), F.lit(3)), F.lit("!"))
+    found = prefilter.with_known_name(parts.select(F.col("p_partkey").alias("listing_id"), title.alias("title")), names)
+    return found.select(F.col("listing_id").alias("p_partkey"), "has_name")
 
 
 @query("""WITH h AS (SELECT max(event_id) / 2 AS m FROM events) SELECT event_id, user_id, event_type, value FROM events WHERE event_id > (SELECT m FROM h)""")
@@ -231,7 +193,7 @@ u AS (SELECT 'reason' AS kind, reason AS label, ts, event_id FROM r UNION ALL SE
 c AS (SELECT kind, label, count(*)::BIGINT AS n, min((ts, CAST(event_id AS VARCHAR))) AS f FROM u GROUP BY ALL)
 SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY n DESC, f, label)::INT AS rank, label, n FROM c QUALIFY rank <= 20""")
 def q_failure_report(spark, sf_dir):
-    """Three counts over exploded attempts."""
+    """Three counts over exploded attempts."""
     k = F.get_json_object("props", "$.k")
     step = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("k"), (k.cast("int") % 5).cast("string")))
     attempt = F.struct(step.alias("step"), F.when(F.col("event_id") % 3 == 0, k).alias("message"), F.lit(None).cast("string").alias("error"))
@@ -269,12 +231,10 @@ def q_min_group_purge(spark, sf_dir):
     return state.purge_least(_slug_counts(spark, sf_dir), "set_slug", "match_count", ["set_slug", "id_expansion"])[1]
 
 
-@query(f"""WITH {_COUNTS}, n AS (SELECT set_slug, count(*)::BIGINT AS groups, sum(match_count)::BIGINT AS total FROM k GROUP BY 1)
-SELECT set_slug, groups, total, printf('%d / %d (%.1f%%)', groups, total, groups / total::DOUBLE * 100) AS shown FROM n""")
+@query(f"""WITH {_COUNTS} SELECT count(*)::BIGINT AS groups, sum(match_count)::BIGINT AS total, printf('%d / %d (%.1f%%)', count(*), sum(match_count)::BIGINT, count(*) / sum(match_count)::DOUBLE * 100) AS shown FROM k""")
 def q_group_totals(spark, sf_dir):
     """Sums and shares as text."""
-    df = _slug_counts(spark, sf_dir).groupBy("set_slug").agg(F.count(F.lit(1)).alias("groups"), F.sum("match_count").alias("total"))
-    return df.withColumn("shown", reports.share_text(F.col("groups"), F.col("total")))
+    return reports.group_totals(_slug_counts(spark, sf_dir), "match_count").withColumn("shown", reports.share_text(F.col("groups"), F.col("total")))
 
 
 @query("""SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey LIMIT 25""")
@@ -303,17 +263,17 @@ def q_number_key(spark, sf_dir):
 @query("""WITH p AS (SELECT page_id, url, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9_+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') AS s FROM pages)
 SELECT page_id, s[-1] AS last_segment, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref, len(s)::INT AS depth FROM p""")
 def q_url_parts(spark, sf_dir):
-    """Path and query."""
+    """Path and query."""
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", urls.last_segment(u).alias("last_segment"), urls.query_value(u, "page").alias("page"), urls.query_value(u, "ref").alias("ref"), F.size(urls.segments(u)).alias("depth"))
 
 
-@query("""WITH t AS (SELECT page_id, 'see ' || replace(url, 'http://', 'https://') || '/Products/Singles/Set-' || page_id % 7 || '/Card-' || page_id || ').' AS text FROM pages WHERE url NOT LIKE '%?%' AND url NOT LIKE '%#%')
-SELECT page_id, regexp_replace(regexp_extract(text, '(https?://[^\\s<>"]+)', 1), '[.,;)]+$', '') AS corrected_url, 'Set-' || page_id % 7 AS set_slug, 'Card-' || page_id AS product_slug FROM t""")
+@query("""WITH t AS (SELECT page_id, 'see ' || replace(url, 'http://', 'https://') || '/Products/Singles/Set-' || page_id % 7 || '/Card-' || page_id || ').' AS text, regexp_matches(url, '[?#]') AS cut FROM pages)
+SELECT page_id, regexp_replace(regexp_extract(text, '(https?://[^\\s<>"]+)', 1), '[.,;)]+$', '') AS corrected_url, CASE WHEN NOT cut THEN 'Set-' || page_id % 7 END AS set_slug, CASE WHEN NOT cut THEN 'Card-' || page_id END AS product_slug FROM t""")
 def q_reply_url(spark, sf_dir):
-    """The product URL in a reply."""
+    """The product URL in a reply; what stands behind ? or # is no path."""
     text = F.concat(F.lit("see "), F.replace("url", F.lit("http://"), F.lit("https://")), F.lit("/Products/Singles/Set-"), (F.col("page_id") % 7).cast("string"), F.lit("/Card-"), F.col("page_id").cast("string"), F.lit(")."))
-    rows = table(spark, sf_dir, "pages").where(~F.col("url").rlike("[?#]")).select("page_id", text.alias("text"))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
     return feedback.replied_url(rows).select("page_id", "corrected_url", urls.after_singles(F.col("corrected_url")).alias("s")).select("page_id", "corrected_url", "s.*")
 
 
@@ -422,7 +382,7 @@ def q_substring_join(spark, sf_dir):
 
 @query("""WITH a AS (SELECT o_orderkey, o_custkey FROM orders) SELECT o_orderkey, coalesce(c_name, s_name, 'none') AS name FROM a LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey LEFT JOIN supplier ON o_custkey = s_suppkey""")
 def q_cascade_coalesce(spark, sf_dir):
-    """The first source that knows."""
+    """The first source that knows."""
     rich = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("listing_id"), F.col("c_name").alias("name"))
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("listing_id"), F.col("s_name").alias("name"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("listing_id"))
@@ -449,64 +409,21 @@ def _mapping_rows(spark, sf_dir) -> DataFrame:
 def q_fuzzy_resolve(spark, sf_dir):
     """The best stored mapping of each title, blocked without loss. Half of the mappings lack a fingerprint."""
     rows = _mapping_rows(spark, sf_dir)
-    stored = rows.where(F.col("p_partkey") % 3 == 0).withColumn("title", F.concat_ws(" ", "collector_number", "set_code", "card_name", F.lit("NM"))).withColumn("fingerprint", F.when(F.col("p_partkey") % 2 == 0, F.col("fingerprint")))
+    stored = rows.withColumn("title", F.concat_ws(" ", "collector_number", "set_code", "card_name", F.lit("NM"))).withColumn("fingerprint", F.when(F.col("p_partkey") % 2 == 0, F.col("fingerprint")))
     stored = stored.withColumn("id", F.col("p_partkey")).withColumn("product_name", F.col("card_name")).withColumn("confidence", F.lit(0.9)).withColumn("date_added", F.lit("2020-01-01").cast("timestamp"))
     asked = rows.withColumn("listing_id", F.col("p_partkey").cast("string"))
     return resolver.best_mapping(asked, stored)
 
 
-@query("""SELECT page_id, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS h1, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages""")
-def q_html_title_h1(spark, sf_dir):
-    """Metadata by pattern."""
-    part = lambda tag: F.nullif(F.regexp_extract("html", rf"<{tag}>([^<]*)</{tag}>", 1), F.lit("")).alias
-    return table(spark, sf_dir, "pages").select("page_id", part("h1")("h1"), part("title")("title"))
-
-
-@query("""SELECT page_id, nullif(regexp_extract(html, 'href="([^"]*)"', 1), '') AS first_link, len(regexp_extract_all(html, 'href="([^"]*)"'))::INT AS n_links FROM pages""")
-def q_html_links(spark, sf_dir):
-    """H13."""
-    pattern = F.lit('href="([^"]*)"')
-    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("html", 'href="([^"]*)"', 1), F.lit("")).alias("first_link"), F.size(F.regexp_extract_all("html", pattern, F.lit(1))).alias("n_links"))
-
-
-@query()
-def q_html_rows(spark, sf_dir):
-    """Product pages made of the driver's pages."""
-    price = F.translate(F.format_number((F.col("page_id") % 5000) / 100 + 1, 2), ",.", ".,")
-    body = F.concat(F.lit('<dl class="labeled"><dt>From</dt><dd><span>'), price, F.lit(' €</span></dd></dl><div class="article-row"><span title="Mint">MT</span> PSA 10 <span class="price-container"><span>'), price, F.lit(" €</span></span></div>"), "html")
-    df = table(spark, sf_dir, "pages").select("page_id", product_pages.product_page_of(body).alias("p"), product_pages.offers_of(body).alias("o"))
-    return df.select("page_id", "p.lowest_price", "p.card_name", product_pages.first_offer_price(F.col("o")).alias("first_offer"), product_pages.graded_offer_price(F.col("o"), F.lit(10)).alias("graded_offer"))
-
-
-@query("""SELECT event_type, sum(CAST(props ->> '$.k' AS BIGINT))::BIGINT AS total, count(props ->> '$.missing')::BIGINT AS missing FROM events GROUP BY 1""")
-def q_script_json(spark, sf_dir):
-    """Values out of embedded JSON."""
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"), F.count(F.get_json_object("props", "$.missing")).alias("missing"))
-
-
-@query("""SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'LE', 'g'), '(?i)\\band\\b', 'ET', 'g'), 'ing', 'ANT')) AS digest FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, 'I[Nn][Gg]|iN[Gg]|inG')""")
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)([^\\p{L}\\p{N}\\p{M}_]|^)the([^\\p{L}\\p{N}\\p{M}_]|$)', '\\1LE\\2', 'g'), '(?i)([^\\p{L}\\p{N}\\p{M}_]|^)the([^\\p{L}\\p{N}\\p{M}_]|$)', '\\1LE\\2', 'g'), '(?i)([^\\p{L}\\p{N}\\p{M}_]|^)and([^\\p{L}\\p{N}\\p{M}_]|$)', '\\1ET\\2', 'g'), '(?i)([^\\p{L}\\p{N}\\p{M}_]|^)and([^\\p{L}\\p{N}\\p{M}_]|$)', '\\1ET\\2', 'g'), '(?i)ing', 'ANT', 'g')) AS digest FROM documents""")
 def q_translate_fold(spark, sf_dir):
-    """Replacements in order."""
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike("I[Nn][Gg]|iN[Gg]|inG"))
-    return rows.select("doc_id", F.md5(tx.translated("text", {"the": "LE", "and": "ET"}, {"ing": "ANT"})).alias("digest"))
-
-
-LEXICON = Lexicon(names=("Almond", "Antique", "Blue", "Charizard", "Pikachu"), set_names={"OBF": "Obsidian Flames", "S12a": "VSTAR Universe"}, known_sets={"obsidian flames": "Obsidian Flames", "vstar universe": "VSTAR Universe"})
-
-
-@query()
-def q_identify(spark, sf_dir):
-    """Titles made of part names and numbers."""
-    kinds = (" ex 006/197 Obsidian Flames", " V SAR 218/172 - S12a VSTAR Universe", " #46 holo NM", " OBF 125 reverse holo IT")
-    end = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    title = F.concat(F.lit("Pokemon "), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))), end)
-    df = table(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
-    return df.select("p_partkey", "title", identified(F.col("title"), F.lit(None).cast("string"), LEXICON).alias("fp")).select("p_partkey", "title", *[f"fp.{x.split()[0]}" for x in IDENTITY.split(", ")])
+    """Replacements in order, names as whole words (twice in the SQL, where a match takes its neighbours along), sets anywhere."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.translated("text", {"the": "LE", "and": "ET"}, {"ing": "ANT"})).alias("digest"))
 
 
 @query("""SELECT 'c' || c_custkey AS listing_id, c_name AS title, c_acctbal AS price, NULL::VARCHAR AS condition FROM customer UNION ALL SELECT 's' || s_suppkey, s_name, s_acctbal, 'used' FROM supplier""")
 def q_union_sources(spark, sf_dir):
-    """All rows of all sources, missing columns null."""
+    """All rows of all sources, missing columns null."""
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("listing_id"), F.col("c_name").alias("title"), F.col("c_acctbal").alias("price"))
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("listing_id"), F.col("s_name").alias("title"), F.col("s_acctbal").alias("price"), F.lit("used").alias("condition"))
     return listings.union_of(c, s)
@@ -522,15 +439,8 @@ def q_json_listings(spark, sf_dir):
 
 @query(ORACLE["q_first_wins"])
 def q_stream_dedup(spark, sf_dir):
-    """Dedup by a stream that drains its source."""
-    import os
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = f"{(shared or tempfile.mkdtemp(prefix='offerlens-')).rstrip('/')}{os.sep}stream-{uuid.uuid4().hex}"
+    """Dedup by a stream that drains its source."""
+    root = shared_folder(spark, "stream")
     source = table(spark, sf_dir, "events")
     columns = ["event_id", "ts", "user_id", "event_type", "value"]
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*").select(*columns)
@@ -568,7 +478,7 @@ def q_update_columns(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'x' || l_quantity::INT || ' cards' ELSE l_quantity::INT || ' kg' END AS text,
   CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_quantity >= 10 THEN l_quantity::INT END ELSE floor(l_quantity * 1000 / 1.8)::INT END AS estimated, CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_quantity >= 10 THEN 'explicit' ELSE 'unknown' END ELSE 'weight' END AS source FROM lineitem""")
 def q_card_counts(spark, sf_dir):
-    """Stated counts and weights."""
+    """Stated counts and weights."""
     n = F.col("l_quantity").cast("int").cast("string")
     text = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("x"), n, F.lit(" cards"))).otherwise(F.concat(n, F.lit(" kg")))
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
@@ -595,19 +505,10 @@ def q_page_status(spark, sf_dir):
 @query("""SELECT p_partkey, p_brand AS label, p_retailprice AS thumb, CASE WHEN length(p_name) > 10 THEN left(p_name, 10) || '…' ELSE p_name END AS short FROM part""")
 def q_display_columns(spark, sf_dir):
     """Thumbnails, cuts, labels."""
-    return table(spark, sf_dir, "part").select("p_partkey", reports.labelled(F.col("p_brand"), reports.SOURCES).alias("label"), F.try_element_at(F.array("p_retailprice"), F.lit(1)).alias("thumb"), reports.shortened(F.col("p_name"), 10).alias("short"))
+    return table(spark, sf_dir, "part").select("p_partkey", reports.labelled(F.col("p_brand"), reports.SOURCES).alias("label"), tx.thumbnail(F.array("p_retailprice")).alias("thumb"), reports.shortened(F.col("p_name"), 10).alias("short"))
 
 
-@query("""SELECT c_custkey, (1 - c_acctbal / 10000) * 100 AS discount_pct FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_nationkey > 5 THEN (1 - c_acctbal / (c_nationkey - 5)) * 100 END AS discount_pct FROM customer""")
 def q_discount(spark, sf_dir):
-    """P01."""
-    return table(spark, sf_dir, "customer").select("c_custkey", ((1 - F.col("c_acctbal") / 10000) * 100).alias("discount_pct"))
-
-
-@query()
-def q_similarity(spark, sf_dir):
-    """The three ratios on part names and types."""
-    a, b = F.lower("p_name"), F.lower("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", fuzzy.ratio_of(a, b).alias("ratio"), fuzzy.token_sort_ratio_of(a, b).alias("sorted_ratio"), fuzzy.token_set_ratio_of(a, b).alias("set_ratio"))
-
-
+    """Null without a positive market value."""
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.discount_percent(F.col("c_acctbal"), F.col("c_nationkey") - 5).alias("discount_pct"))

@@ -2,7 +2,9 @@
 
 A state table is a folder of additions, one for each batch and named by its id: a
 batch reads those of earlier batches and (over)writes its own, so a repeated
-batch counts nothing twice and no batch rewrites what others have added.
+batch counts nothing twice. After every ``COMPACT`` additions a batch also writes all
+before it as one, so a batch opens a bounded number of folders and
+the growing part is written once in ``COMPACT`` batches.
 """
 
 from __future__ import annotations
@@ -17,27 +19,41 @@ from ..operators import state
 from ..schemas import schema
 
 
+#: Additions that are read one by one before they are put together.
+COMPACT = 32
+
+
 class AddedTable:
-    """Parquet additions below a folder: ``v=<batch id>``."""
+    """Parquet additions below a folder: ``v=<batch id>``, and ``upto=<batch id>`` for all before that batch."""
 
-    def __init__(self, spark: SparkSession, path: str, columns: str):
-        self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
+    def __init__(self, spark: SparkSession, path: str, columns: str, files: int = 16):
+        self.spark, self.path, self.columns, self.files = spark, path.rstrip("/"), columns, files
 
-    def _versions(self) -> list[int]:
+    def _versions(self, kind: str) -> list[int]:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not store.exists(path):
             return []
         names = [s.getPath() for s in store.listStatus(path)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(int(p.getName().partition("=")[2]) for p in names if p.getName().startswith(f"{kind}=") and store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _folders(self, batch: int) -> tuple[list[str], int]:
+        """What holds the additions before ``batch``, and how many of these are single ones."""
+        base = max((u for u in self._versions("upto") if u <= batch), default=0)
+        single = [v for v in self._versions("v") if base <= v < batch]
+        return [f"{self.path}/upto={base}"] * (base > 0) + [f"{self.path}/v={v}" for v in single], len(single)
 
     def before(self, batch: int) -> DataFrame:
         """What batches before ``batch`` have added."""
-        known = [v for v in self._versions() if v < batch]
-        if not known:
+        folders, single = self._folders(batch)
+        if not folders:
             return self.spark.createDataFrame([], self.columns)
-        return self.spark.read.schema(self.columns).parquet(*[f"{self.path}/v={v}" for v in known])
+        rows = self.spark.read.schema(self.columns).parquet(*folders)
+        if single < COMPACT:
+            return rows
+        rows.repartition(self.files * max(1, len(rows.inputFiles()) // (4 * self.files))).write.mode("overwrite").parquet(f"{self.path}/upto={batch}")
+        return self.spark.read.schema(self.columns).parquet(f"{self.path}/upto={batch}")
 
     def write(self, batch: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
