@@ -167,7 +167,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, windows_each: int
     """Train on a bounded sample of rows (doc_id, text, lang); rows are chosen one by one, whatever ids they share."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("_hash"))
     counts = common.checkpointed(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
-    each = max(1, min(per_language, most_rows // max(1, counts.count())))
+    languages = counts.count()
+    each = max(1, min(per_language, most_rows // max(1, languages)))
+    counts = F.broadcast(counts) if languages <= most_rows else counts  # else both sides are shuffled
     # a share of each language by hash leaves some times ``each`` rows of it, whatever its size; the smallest hashes of these are taken
     share = F.least(F.lit(1.0), 4 * each / F.col("_n"))
     few = rows.join(counts.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).where(F.pmod("_hash", F.lit(1 << 31)) < share * (1 << 31))
