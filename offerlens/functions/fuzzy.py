@@ -6,22 +6,31 @@ subsequences on Python integers, in Arrow batches.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lcs_length(a: str, b: str) -> int:
-    if len(a) > len(b):
-        a, b = b, a
+@lru_cache(50_000)
+def _masks(a: str) -> dict[str, int]:
+    """The places of each character, as bits; a string meets many others in a batch."""
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
+    return masks
+
+
+def lcs_length(a: str, b: str) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    masks = _masks(a)
+    row = full = (1 << len(a)) - 1
     for ch in b:
-        hit = row & masks.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
+        if ch in masks:
+            hit = row & masks[ch]
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
@@ -30,8 +39,13 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not size else 200.0 * lcs_length(a, b) / size
 
 
+@lru_cache(50_000)
+def _sorted_tokens(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
 def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(_sorted_tokens(a), _sorted_tokens(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -50,7 +64,14 @@ def token_set_ratio(a: str, b: str) -> float:
 def _pairwise(f):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        known: dict[tuple[str, str], float] = {}  # names repeat within a batch
+        out = []
+        for pair in zip(a.fillna(""), b.fillna(""), strict=True):
+            found = known.get(pair)
+            if found is None:
+                found = known[pair] = f(*pair)
+            out.append(found)
+        return pd.Series(out, dtype="float64")
 
     return run
 

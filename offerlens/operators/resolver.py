@@ -8,6 +8,8 @@ only their rows.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +23,28 @@ def _clean(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumn(f"{prefix}number", F.trim(blank("collector_number"))).withColumn(f"{prefix}code", F.upper(blank("set_code")))
 
 
-def _rare_tokens(rows: DataFrame, mappings: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, _t): the rarest tokens of each row, so many that two rows which share half of the longer list share one of them.
+def _open_pairs(a: DataFrame, b: DataFrame, key: str) -> list[DataFrame]:
+    """Pairs of equal keys of which a side lacks the number and a side the code: each side is cut down before they meet."""
+    out = []
+    for no_number, no_code in product((True, False), repeat=2):
+        x = a.where((F.col("a_number") == "") == F.lit(no_number)).where((F.col("a_code") == "") == F.lit(no_code))
+        y = b if no_number else b.where(F.col("b_number") == "")
+        out.append(x.join(y if no_code else y.where(F.col("b_code") == ""), key))
+    return out
+
+
+def _rare_tokens(rows: DataFrame, mappings: DataFrame, key: str, side: str) -> DataFrame:
+    """(key, number, code, _t): the rarest tokens of each row, so many that two rows which share half of the longer list share one of them.
 
     Without number and code a score of 80 needs that half: title and name give (150 + 80) / 3.5 at
     best. Tokens that most titles hold come last in the order, so they pair rows only where a row has no others.
     """
     count = mappings.select(F.explode(F.array_distinct("b_tokens")).alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_count"))
-    each = rows.select(key, F.size(column).alias("_size"), F.explode(F.array_distinct(column)).alias("_t")).join(count, "_t", "left")
-    ordered = each.groupBy(key, "_size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("c"), "_t"))).alias("_all"))  # the tokens of a title
+    own = [key, f"{side}_number", f"{side}_code"]
+    each = rows.select(*own, F.size(f"{side}_tokens").alias("_size"), F.explode(F.array_distinct(f"{side}_tokens")).alias("_t")).join(count, "_t", "left")
+    ordered = each.groupBy(*own, "_size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("c"), "_t"))).alias("_all"))  # the tokens of a title
     most = F.greatest(F.size("_all") - F.ceil(F.col("_size") / 2).cast("int") + 1, F.lit(0))
-    return ordered.select(key, F.explode(F.slice("_all", F.lit(1), most)).alias("_x")).select(key, F.col("_x._t").alias("_t"))
+    return ordered.select(*own, F.explode(F.slice("_all", F.lit(1), most)).alias("_x")).select(*own, F.col("_x._t").alias("_t"))
 
 
 def blocked_pairs(listings: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -43,8 +56,6 @@ def blocked_pairs(listings: DataFrame, mappings: DataFrame) -> DataFrame:
     """
     a = _clean(listings, "a_").select("listing_id", F.col("fingerprint").alias("a_fp"), "a_number", "a_code", F.col("tokens").alias("a_tokens"), F.lower("card_name").alias("a_name"), F.lower(F.trim("title")).alias("a_title"))
     b = _clean(mappings, "b_").select("id", F.col("fingerprint").alias("b_fp"), "b_number", "b_code", F.col("tokens").alias("b_tokens"), F.lower("card_name").alias("b_name"), F.lower(F.trim("title")).alias("b_title"))
-    either = lambda k: (F.col(f"a_{k}") == "") | (F.col(f"b_{k}") == "")
-    open_ = either("number") & either("code")
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     sorted_size = lambda c: F.length(F.array_join(F.split(c, r"\s+"), " "))
     band = lambda c: F.floor(F.log(F.greatest(sorted_size(c), F.lit(1)).cast("double")) / F.log(F.lit(1.5)))
@@ -58,10 +69,13 @@ def blocked_pairs(listings: DataFrame, mappings: DataFrame) -> DataFrame:
         a.where(full("a_number") & full("a_code")).join(b.where(blank("b_code")), number),
         a.where(full("a_code") & blank("a_number")).join(b, code),
         a.where(full("a_code") & full("a_number")).join(b.where(blank("b_number")), code),
-        _rare_tokens(a, b, "listing_id", "a_tokens").join(_rare_tokens(b, b, "id", "b_tokens"), "_t").join(a.select("listing_id", "a_number", "a_code"), "listing_id").join(b.select("id", "b_number", "b_code"), "id").where(open_),
-        a_bands.join(b.withColumn("_band", band(F.col("b_title"))), "_band").where(open_ & ~(some("a_tokens") & some("b_tokens"))),
-        a.join(b, F.col("a_name") == F.col("b_name")).where(open_ & ~(some("a_tokens") & some("b_tokens"))),
+        *_open_pairs(_rare_tokens(a, b, "listing_id", "a"), _rare_tokens(b, b, "id", "b"), "_t"),
     ]
+    bands = b.withColumn("_band", band(F.col("b_title")))
+    names = [x.withColumn("_name", F.col(f"{p}_name")) for x, p in ((a, "a"), (b, "b"))]
+    for x, y, key in ((a_bands, bands, "_band"), (*names, "_name")):
+        without = lambda df, p: df.where(~some(f"{p}_tokens"))
+        parts += _open_pairs(without(x, "a"), y, key) + _open_pairs(x.where(some("a_tokens")), without(y, "b"), key)
     out = parts[0].select("listing_id", "id")
     for p in parts[1:]:
         out = out.unionByName(p.select("listing_id", "id"))
