@@ -36,7 +36,7 @@ from . import common
 
 TABLES, HASHES, PROBES = 4, 6, 60
 #: Slot width as a multiple of the distance that the sample gives for the k-th neighbour: success depends on this ratio.
-WIDTH = 1.85
+WIDTH = 1.95
 SAMPLE = 1000
 TILE = 2048
 #: Vectors hashed at a time: each query becomes as many rows as it has probes.
