@@ -12,8 +12,10 @@ Scale: few tables with many probes, since each table shuffles every vector once
 its own precision); equal vectors are one entry with their k+1 smallest ids (no query
 needs more), combined before any shuffle. Buckets are packed into tiles of ``TILE``
 vectors and hot buckets are dealt over many, so are probes; a task keeps the best
-k+1 ids of each query, not its candidates. The slot width comes from a sample of at
-most ``SAMPLE`` vectors; every vector is indexed.
+k+1 ids of each query, not its candidates. The slot width is fitted: the true neighbours
+of at most ``SAMPLE`` queries are found by a scan of all vectors, and the least width at
+which the probes visit the share ``RECALL`` of them is taken, whatever clusters there are (the
+sample's commonest length sets it for all lengths); every vector is indexed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, as query or candidate, and vectors of different lengths
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 
 TABLES, HASHES, PROBES = 4, 6, 60
-#: Slot width as a multiple of the distance that the sample gives for the k-th neighbour: success depends on this ratio.
-WIDTH = 1.95
-SAMPLE = 1000
+#: The share of a sample's true neighbours that its probes must visit; it sets the slot width.
+RECALL = 0.94
+SAMPLE = 256
 TILE = 2048
 #: Vectors hashed at a time: each query becomes as many rows as it has probes.
 PART = 256
@@ -123,19 +125,63 @@ def entries(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
     return of_vector.join(ids, "vk").withColumn("rid", F.monotonically_increasing_id())
 
 
-def neighbour_distance(found: DataFrame, kind: str, k: int) -> float:
-    """How far the k-th neighbour of a vector is: the part k / n of a sample's distances lies within that."""
-    n = found.count()
-    rows = found.select("v").orderBy(F.xxhash64("vk"), "vk").limit(SAMPLE).collect()
-    by_dim: dict[int, list] = {}
+def sample_neighbours(found: DataFrame, kind: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, of): at most SAMPLE queries, of the length that most of them have, the k nearest other vectors of each among all, and whose they are.
+
+    A task scans its vectors and keeps the k+1 nearest of each sampled query.
+    """
+    rows = found.where("is_query").select("v").orderBy(F.xxhash64("vk"), "vk").limit(SAMPLE).collect()
+    by_size: dict[int, list[bytes]] = {}
     for r in rows:
-        v = np.frombuffer(bytes(r["v"]), dtype=kind).astype("f8")
-        by_dim.setdefault(len(v), []).append(v)
-    x = np.stack(max(by_dim.values(), key=len)) if by_dim else np.zeros((1, 1))
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    d = np.sort(d[np.triu_indices(len(x), 1)])
-    d = d[d > 1e-6]
-    return float(d[min(len(d) - 1, len(d) * k // n)]) if len(d) else 1.0
+        by_size.setdefault(len(r["v"]), []).append(bytes(r["v"]))
+    if not by_size:
+        return np.empty((0, 1)), np.empty((0, 1)), np.empty(0, np.int64)
+    asked = max(by_size.values(), key=len)
+    x = np.stack([np.frombuffer(v, dtype=kind).astype("f8") for v in asked])
+
+    def run(batches):
+        near, who = np.empty((len(x), 0)), np.empty((len(x), 0, x.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE):
+                y = np.stack(_vectors(batch.column(0).slice(at, TILE), kind))
+                d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+                first = np.argpartition(d, min(k, len(y) - 1), axis=1)[:, : k + 1]
+                near, who = np.hstack([near, np.take_along_axis(d, first, 1)]), np.hstack([who, y[first]])
+                best = np.argsort(near, axis=1)[:, : k + 1]
+                near, who = np.take_along_axis(near, best, 1), np.take_along_axis(who, best[:, :, None], 1)
+        vectors = [v.tobytes() for v in who.reshape(-1, x.shape[1]).astype(kind)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x), dtype=np.int32), near.shape[1])), pa.array(near.ravel()), pa.array(vectors, type=pa.binary())], names=["s", "d", "v"])
+
+    near = found.where(F.octet_length("v") == len(asked[0])).select("v").mapInArrow(run, "s int, d double, v binary")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("d", "v"))).where(F.col("n") <= k + 1)
+    others = [(r["s"], bytes(r["v"])) for r in near.select("s", "v").collect()]  # SAMPLE times k+1 rows at most
+    others = [(s, v) for s, v in others if v != asked[s]]
+    y = np.stack([np.frombuffer(v, dtype=kind).astype("f8") for _, v in others]) if others else np.empty((0, x.shape[1]))
+    return x, y, np.array([s for s, _ in others], dtype=np.int64)
+
+
+def slot_width(x: np.ndarray, y: np.ndarray, of: np.ndarray, probes: int, tables: int, hashes: int, recall: float) -> float:
+    """The least width (within 2 %) at which queries x visit the share ``recall`` of their neighbours y."""
+    far = np.sqrt(((y - x[of]) ** 2).sum(1))
+    far = far[np.isfinite(far) & (far > 0)]
+    if not len(far):
+        return 1.0
+
+    def visited(width: float) -> float:
+        hit = np.zeros(len(y), dtype=bool)
+        for t in range(tables):
+            h = Hash(x.shape[1], t, hashes, width)
+            buckets = [set(keys.tolist()) for keys in h.probe_keys(x, probes)]
+            hit |= np.array([key in buckets[s] for key, s in zip(h.keys(h.slots(y)[0]).tolist(), of.tolist(), strict=True)])
+        return hit.mean()
+
+    low, high = 0.0, 4 * float(far.max())
+    while visited(high) < recall:
+        low, high = high, 2 * high
+    while high - low > 0.02 * high and high > far.min() / 100:
+        middle = (low + high) / 2
+        low, high = (low, middle) if visited(middle) >= recall else (middle, high)
+    return high
 
 
 def _hashed(found: DataFrame, kind: str, probes: int, tables: int, hashes: int, width: float, columns: list[str], types: list) -> DataFrame:
@@ -235,12 +281,12 @@ def _nearest_ids(found: DataFrame, query: str, most: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("distance", "vec_id"))).where(F.col("rank") <= most)
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each id with a query row in ``table`` (vec_id, embedding)."""
     is_query, kind = F.coalesce(is_query, F.lit(False)), stored_as(table)
     rows = common.checkpointed(clean(table))
     found = common.checkpointed(entries(rows, k, is_query))
-    slot = width * neighbour_distance(found, kind, k)
+    slot = slot_width(*sample_neighbours(found, kind, k), probes, tables, hashes, recall)
     kinds = {"rid": "long", "qid": "long", "v": "binary", "ids": "array<long>"}
     hashed = lambda df, n, names: _hashed(df, kind, n, tables, hashes, slot, names, [kinds[c] for c in names])
     asked = found.where("is_query").select(F.col("rid").alias("qid"), "v", "vk")

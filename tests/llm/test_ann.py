@@ -102,3 +102,35 @@ def test_doubles_keep_their_precision(spark):
     rows = [(0, [1.0, 1e-12], 0), (1, [1.0, 0.0], 0), (2, [1.0, 3e-12], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert lists(ann.nearest(df, F.col("vec_id") == 0).collect())[0] == [(1, 1, 1e-12), (2, 2, 3e-12 - 1e-12)]
+
+
+def test_near_copies_do_not_narrow_the_slots(spark):
+    """A tenth of the rows in tight groups: with slots fitted to the groups' distances all other queries would need the exact way."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    x[:600] = x[:3].repeat(200, axis=0) + rng.normal(size=(600, 32)) * 0.01
+    rows = [(i, [float(v) for v in np.float32(v)], 0) for i, v in enumerate(x[rng.permutation(6000)])]
+    is_query = F.col("vec_id") % 30 == 0
+    found = ann.entries(ann.clean(table(spark, rows)), 10, is_query).cache()
+    width = ann.slot_width(*ann.sample_neighbours(found, "<f4", 10), ann.PROBES, ann.TABLES, ann.HASHES, ann.RECALL)
+    want = brute({r[0]: r[1] for r in rows}, range(0, 6000, 30))
+    data, hit = np.array([r[1] for r in rows]), {(q, v): False for q in want for _, v, _ in want[q]}
+    for t in range(ann.TABLES):
+        h = ann.Hash(32, t, ann.HASHES, width)
+        keys = h.keys(h.slots(data)[0])
+        buckets = dict(zip(want, h.probe_keys(data[list(want)], ann.PROBES), strict=True))
+        for q, v in hit:
+            hit[q, v] |= bool(keys[v] in buckets[q])
+    assert len(hit) == 2000 and np.mean(list(hit.values())) >= 0.9  # by the probes alone
+    got = lists(ann.nearest(table(spark, rows), is_query).collect())
+    assert np.mean([len({v for _, v, _ in got[q]} & {v for _, v, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_slot_width_follows_the_scale_of_the_vectors():
+    rng = np.random.default_rng(6)
+    x, of = rng.normal(size=(40, 12)), np.repeat(np.arange(40), 5)
+    y = x[of] + rng.normal(size=(200, 12)) * 0.2
+    width = ann.slot_width(x, y, of, 30, 2, 6, 0.9)
+    assert ann.slot_width(x * 1e6, y * 1e6, of, 30, 2, 6, 0.9) == pytest.approx(width * 1e6, rel=0.05)
+    assert ann.slot_width(x, x[of], of, 30, 2, 6, 0.9) == 1.0  # no distances, as of no neighbours
+    assert ann.slot_width(x, y[:0], of[:0], 30, 2, 6, 0.9) == 1.0
