@@ -78,7 +78,8 @@ ITEM_PATHS = [f"$.props.{level}.{key}" for level in ("pageProps", "pageProps.dat
 def page_item(html: Column) -> Column:
     """The item's JSON out of a page's data script, or null."""
     data = F.regexp_extract(F.coalesce(html, F.lit("")), r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
-    return F.coalesce(*[_text(F.get_json_object(data, p)) for p in ITEM_PATHS])
+    first = lambda d: F.coalesce(*[_text(F.get_json_object(d, p)) for p in ITEM_PATHS])
+    return F.transform(F.array(data), first)[0]  # bound by an array of one: the page is searched once, not for every path
 
 
 def item_id(url: Column) -> Column:
