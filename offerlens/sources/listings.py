@@ -50,12 +50,12 @@ def from_api(rows: DataFrame, raw: str = "json", base: str = "base_url") -> Data
 def from_page_item(rows: DataFrame, raw: str = "json", item_id: str = "item_id", page_url: str = "page_url", base: str = "base_url") -> DataFrame:
     """The item of a page: a price may be a number or {amount, currency_code}, names and links have fallbacks."""
     j = F.col(raw)
-    price = _get(j, "$.price", "$.item_price")
-    nested = price.startswith("{")
-    amount = F.when(nested, F.get_json_object(price, "$.amount")).otherwise(price).try_cast("double")
-    currency = F.coalesce(F.when(nested, _text(F.get_json_object(price, "$.currency_code"))), _get(j, "$.currency"), F.lit("EUR"))
+    nested = lambda p: p.startswith("{")
+    read = lambda p: F.struct(F.when(nested(p), F.get_json_object(p, "$.amount")).otherwise(p).try_cast("double").alias("amount"), F.when(nested(p), _text(F.get_json_object(p, "$.currency_code"))).alias("currency"))
+    price = F.transform(F.array(_get(j, "$.price", "$.item_price")), read)[0]  # bound by an array of one, as in page_item
+    currency = F.coalesce(price["currency"], _get(j, "$.currency"), F.lit("EUR"))
     return _listing(
-        rows, listing_id=F.coalesce(_get(j, "$.id"), F.col(item_id)), title=_title(F.get_json_object(j, "$.title")), price=F.coalesce(amount, F.lit(0.0)), currency=currency,
+        rows, listing_id=F.coalesce(_get(j, "$.id"), F.col(item_id)), title=_title(F.get_json_object(j, "$.title")), price=F.coalesce(price["amount"], F.lit(0.0)), currency=currency,
         url=absolute(_get(j, "$.url", "$.path"), F.col(base), F.col(page_url)), images=_images(j, "url", "full_size_url", "src"), seller_name=_get(j, "$.user.login", "$.user.username"),
         seller_rating=F.get_json_object(j, "$.user.feedback_reputation").try_cast("double") * 5, description=F.get_json_object(j, "$.description"),
     )
