@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, html_text, langid, licenses, linededup, mixing, packing, quality, simhash, warc
+from . import ann, common, html_text, langid, licenses, linededup, mixing, packing, quality, simhash, suffixdedup, warc
 
 
 def tokenizer_path() -> str:
@@ -66,11 +66,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_multiprobe_lsh, op3_warc_round_trip, op4_html_text, op5_language_id,
         op6_simhash_near_dedup, op7_curriculum_mixing, op8_quality_rules, op9_line_dedup, op10_license_scan,
+        op13_suffix_array_dedup,
     )
 }
 
