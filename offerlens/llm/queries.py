@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, html_text, langid, licenses, linededup, mixing, packing, quality, simhash, suffixdedup, warc
+from . import ann, common, html_text, langid, lexical, licenses, linededup, mixing, packing, quality, simhash, spelling, suffixdedup, warc
 
 
 def tokenizer_path() -> str:
@@ -66,6 +66,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixdedup.remove(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -76,7 +84,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing, op2_multiprobe_lsh, op3_warc_round_trip, op4_html_text, op5_language_id,
         op6_simhash_near_dedup, op7_curriculum_mixing, op8_quality_rules, op9_line_dedup, op10_license_scan,
-        op13_suffix_array_dedup,
+        op11_spelling_variants, op12_ranked_search, op13_suffix_array_dedup,
     )
 }
 
@@ -121,4 +129,19 @@ m AS (SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AND f.keeper <> k.doc_id
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_ranked_search": """
+WITH t AS (SELECT doc_id, rn, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+           FROM (SELECT doc_id, text, row_number() OVER () AS rn FROM documents)),
+f AS (SELECT doc_id, rn, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+d AS (SELECT rn, sum(tf)::BIGINT AS n FROM f GROUP BY rn),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM d),
+m AS (SELECT rn, 100 - 90 + (90 * n * n_docs) // total AS m FROM d, c),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, rn, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (rn) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
