@@ -1,9 +1,11 @@
 """Resolving identities by stored mappings, overrides, learned rules and construction.
 
-The fuzzy join is blocked without loss: a pair of different numbers or set codes
-can't reach the threshold of 80 (at best 78.18), so it needs equal or missing
-numbers and codes, or an equal fingerprint. These are equi joins, and scoring sees
-only their rows.
+The fuzzy join is blocked without loss at any threshold it accepts. The score is a mean of
+parts, so for each way in which numbers and set codes can agree the threshold says how many
+tokens, or which likeness of titles, a pair needs at least. Each row gets signatures: its number and code
+where they must be equal, with the rarest tokens of which one must be shared (a prefix filter). Pairs that share
+a signature are bounded natively (letters in common cap the Indel ratio), and only those
+that can still reach the threshold are scored.
 """
 
 from __future__ import annotations
@@ -15,97 +17,218 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, urls
 from ..functions import text as tx
+from ..session import checkpointed
 from .catalogue import containing_pairs
 
+#: A signature that more mappings have is dealt over several tasks.
+HOT_SIGNATURE = 5_000
+_EPS = 1e-9
+#: How numbers (or codes) of a pair stand: equal, both there but different, missing in the listing, missing in the mapping only.
+_EQUAL, _DIFFERENT, _NOT_IN_A, _NOT_IN_B = "E", "D", "A", "B"
+#: Frequent characters last: what a likeness of titles rests on is looked for among the others.
+_COMMON = " eaionrtslcudpmhgbfvkyw"
 
-def _clean(df: DataFrame, prefix: str) -> DataFrame:
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return df.withColumn(f"{prefix}number", F.trim(blank("collector_number"))).withColumn(f"{prefix}code", F.upper(blank("set_code")))
-
-
-def _open_pairs(a: DataFrame, b: DataFrame, key: str) -> list[DataFrame]:
-    """Pairs of equal keys of which a side lacks the number and a side the code: each side is cut down before they meet."""
-    out = []
-    for no_number, no_code in product((True, False), repeat=2):
-        x = a.where((F.col("a_number") == "") == F.lit(no_number)).where((F.col("a_code") == "") == F.lit(no_code))
-        y = b if no_number else b.where(F.col("b_number") == "")
-        out.append(x.join(y if no_code else y.where(F.col("b_code") == ""), key))
-    return out
-
-
-def _rare_tokens(rows: DataFrame, mappings: DataFrame, key: str, side: str) -> DataFrame:
-    """(key, number, code, _t): the rarest tokens of each row, so many that two rows which share half of the longer list share one of them.
-
-    Without number and code a score of 80 needs that half: title and name give (150 + 80) / 3.5 at
-    best. Tokens that most titles hold come last in the order, so they pair rows only where a row has no others.
-    """
-    count = mappings.select(F.explode(F.array_distinct("b_tokens")).alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_count"))
-    own = [key, f"{side}_number", f"{side}_code"]
-    each = rows.select(*own, F.size(f"{side}_tokens").alias("_size"), F.explode(F.array_distinct(f"{side}_tokens")).alias("_t")).join(count, "_t", "left")
-    ordered = each.groupBy(*own, "_size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("c"), "_t"))).alias("_all"))  # the tokens of a title
-    most = F.greatest(F.size("_all") - F.ceil(F.col("_size") / 2).cast("int") + 1, F.lit(0))
-    return ordered.select(*own, F.explode(F.slice("_all", F.lit(1), most)).alias("_x")).select(*own, F.col("_x._t").alias("_t"))
-
-
-def blocked_pairs(listings: DataFrame, mappings: DataFrame) -> DataFrame:
-    """(listing_id, id) that may reach the threshold; each pair once.
-
-    Where number and code don't decide (blank on a side), the rest reaches 80 only
-    with half of the longer list of tokens in common; without tokens, with equal names or with sorted titles
-    whose lengths are within 2 : 3 of each other.
-    """
-    a = _clean(listings, "a_").select("listing_id", F.col("fingerprint").alias("a_fp"), "a_number", "a_code", F.col("tokens").alias("a_tokens"), F.lower("card_name").alias("a_name"), F.lower(F.trim("title")).alias("a_title"))
-    b = _clean(mappings, "b_").select("id", F.col("fingerprint").alias("b_fp"), "b_number", "b_code", F.col("tokens").alias("b_tokens"), F.lower("card_name").alias("b_name"), F.lower(F.trim("title")).alias("b_title"))
-    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    sorted_size = lambda c: F.length(F.array_join(F.split(c, r"\s+"), " "))
-    band = lambda c: F.floor(F.log(F.greatest(sorted_size(c), F.lit(1)).cast("double")) / F.log(F.lit(1.5)))
-    a_bands = a.withColumn("_band", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: band(F.col("a_title")) + k)))
-    blank, full = (lambda k: F.col(k) == ""), (lambda k: F.col(k) != "")
-    number, code = F.col("a_number") == F.col("b_number"), F.col("a_code") == F.col("b_code")
-    parts = [
-        a.join(b, (F.col("a_fp") == F.col("b_fp")) & (F.col("a_fp") != "")),
-        a.where(full("a_number") & full("a_code")).join(b, number & code),
-        a.where(full("a_number") & blank("a_code")).join(b, number),
-        a.where(full("a_number") & full("a_code")).join(b.where(blank("b_code")), number),
-        a.where(full("a_code") & blank("a_number")).join(b, code),
-        a.where(full("a_code") & full("a_number")).join(b.where(blank("b_number")), code),
-        *_open_pairs(_rare_tokens(a, b, "listing_id", "a"), _rare_tokens(b, b, "id", "b"), "_t"),
-    ]
-    bands = b.withColumn("_band", band(F.col("b_title")))
-    names = [x.withColumn("_name", F.col(f"{p}_name")) for x, p in ((a, "a"), (b, "b"))]
-    for x, y, key in ((a_bands, bands, "_band"), (*names, "_name")):
-        without = lambda df, p: df.where(~some(f"{p}_tokens"))
-        parts += _open_pairs(without(x, "a"), y, key) + _open_pairs(x.where(some("a_tokens")), without(y, "b"), key)
-    out = parts[0].select("listing_id", "id")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("listing_id", "id"))
-    return out.distinct()
-
-
-def scored(pairs: DataFrame, listings: DataFrame, mappings: DataFrame) -> DataFrame:
-    """pairs with ``score`` and the mapping's columns."""
-    a = listings.select("listing_id", *[F.col(c).alias(f"a_{c}") for c in ("title", "fingerprint", "card_name", "collector_number", "set_code", "tokens")])
-    b = mappings.select("id", "url", "product_name", "confidence", "date_added", *[F.col(c).alias(f"b_{c}") for c in ("title", "fingerprint", "card_name", "collector_number", "set_code", "tokens")])
-    df = pairs.join(a, "listing_id").join(b, "id")
-    full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    df = df.withColumn("_title", fuzzy.token_sort_ratio_of(low("a_title"), low("b_title"))).withColumn("_name", fuzzy.ratio_of(low("b_card_name"), low("a_card_name")) * 0.8)
-    both = lambda c: full(f"a_{c}") & full(f"b_{c}")
-    equal = lambda x, y: F.when(x == y, F.lit(100.0)).otherwise(F.lit(0.0))
-    parts = [
-        F.when(full("b_title"), F.col("_title")),
-        F.when(both("card_name"), F.col("_name")),
-        F.when(both("collector_number"), equal(F.trim("a_collector_number"), F.trim("b_collector_number"))),
-        F.when(both("set_code"), equal(F.upper("a_set_code"), F.upper("b_set_code"))),
-        F.when((F.size("a_tokens") > 0) & (F.size("b_tokens") > 0), tx.overlap(F.col("a_tokens"), F.col("b_tokens")) * 100),
-    ]
-    same = full("a_fingerprint") & (F.col("a_fingerprint") == F.col("b_fingerprint"))
-    return df.withColumn("score", fuzzy.weighted_score(F.coalesce(same, F.lit(False)), parts))
+
+def _parts(number: str, code: str) -> list[float]:
+    """What number and code add to the score."""
+    return [100.0 if x == _EQUAL else 0.0 for x in (number, code) if x in (_EQUAL, _DIFFERENT)]
+
+
+def _needed(threshold: float, others: list[float], most: float = 100.0, first: bool = False) -> float:
+    """The fraction of its best value (``most``) that a part needs beside the others; the pair's first part weighs 1.5."""
+    n = len(others) + 1
+    if n == 1:
+        return threshold / most
+    if first:
+        return (threshold * (n + 0.5) - sum(others)) / (1.5 * most)
+    return (threshold * (n + 0.5) - sum(others) - 0.5 * others[0]) / most
+
+
+def needed_overlap(threshold: float, number: str, code: str) -> float:
+    """The overlap of tokens that a pair with tokens on both sides needs, whether or not titles and names are there."""
+    return min(_needed(threshold, [*title, *name, *_parts(number, code)]) for title in ([], [100.0]) for name in ([], [80.0])) - _EPS
+
+
+def needed_title(threshold: float, number: str, code: str) -> float:
+    """The ratio of sorted titles that a pair without tokens needs."""
+    return min(_needed(threshold, [*name, *_parts(number, code)], first=True) for name in ([], [80.0])) - _EPS
+
+
+def needed_name(threshold: float, number: str, code: str) -> float:
+    """The ratio of names that a pair without tokens and titles needs."""
+    return _needed(threshold, _parts(number, code), 80.0, True) - _EPS
+
+
+#: At or below, titles and names alone could reach the threshold, so that any two rows might match.
+LOWEST_THRESHOLD = 230 / 3.5
+
+
+#: What Python's split() and strip() take for white space.
+_SPACE = r"(?U)[\s\x1c-\x1f]+"
+_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
+def _title(c: str = "title") -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), _EDGES, "")
+
+
+def _name(c: str = "card_name") -> Column:
+    return F.lower(F.coalesce(F.col(c), F.lit("")))
+
+
+def _number(c: str = "collector_number") -> Column:
+    """Null if there is none."""
+    return F.nullif(F.regexp_replace(F.col(c), _EDGES, ""), F.lit(""))
+
+
+def _code(c: str = "set_code") -> Column:
+    return F.nullif(F.upper(F.col(c)), F.lit(""))
+
+
+def _prepared(df: DataFrame, key: str) -> DataFrame:
+    """key, number and code (null if missing), title and name as they are compared, fingerprint and tokens."""
+    tokens = F.coalesce("tokens", F.array().cast("array<string>"))
+    return df.select(F.col(key).alias("row"), _number().alias("number"), _code().alias("code"), _title().alias("title"), _name().alias("name"), F.nullif(F.col("fingerprint"), F.lit("")).alias("fp"), F.size(tokens).alias("size"), F.array_distinct(tokens).alias("tokens"))
+
+
+def _with_rarest(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``tokens`` ordered from the rarest among the mappings on."""
+    each = rows.select("row", F.explode("tokens").alias("_t")).join(counts, "_t", "left")
+    ordered = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("c"), "_t"))).alias("_all"))  # the tokens of a title
+    return rows.drop("tokens").join(ordered.select("row", F.col("_all._t").alias("tokens")), "row", "left")
+
+
+def _letters(text: Column, least: float) -> Column:
+    """So many of a text's letters (numbered where they repeat, the rarest first) that a text of a ratio of ``least`` has one of them too."""
+    letters = F.split(text, "")
+    numbered = F.transform(letters, lambda x, i: F.struct(F.position(x, F.lit(_COMMON)).alias("c"), F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")).alias("x")))
+    size = F.char_length(text)
+    most = F.greatest(size - F.ceil(size * least / (2 - least) - _EPS).cast("int") + 1, F.lit(0))
+    return F.when(size > 0, F.transform(F.slice(F.array_sort(numbered), F.lit(1), most), lambda s: s["x"])).otherwise(F.array().cast("array<string>"))
+
+
+def _rarest(least: float) -> Column:
+    """So many of a row's tokens that a row of that overlap shares one of them."""
+    most = F.greatest(F.size("tokens") - F.ceil(F.col("size") * least - _EPS).cast("int") + 1, F.lit(0))
+    return F.when(F.size("tokens") > 0, F.slice("tokens", F.lit(1), most)).otherwise(F.array().cast("array<string>"))
+
+
+def _signatures(rows: DataFrame, side: str, threshold: float, bare_a: bool, bare_b: bool) -> DataFrame:
+    """row, signature: listings (side a) and mappings (b) that may reach the threshold together share one. ``bare_a``, ``bare_b``: listings or mappings without tokens exist."""
+    has = {"number": F.col("number").isNotNull(), "code": F.col("code").isNotNull()}
+    tokenless = F.coalesce(F.size("tokens"), F.lit(0)) <= 0
+
+    def applies(name: str, how: str) -> Column:
+        if how in (_EQUAL, _DIFFERENT):
+            return has[name]
+        lacking = "a" if how == _NOT_IN_A else "b"
+        if side == lacking:
+            return ~has[name]
+        return F.lit(True) if how == _NOT_IN_A else has[name]
+
+    found = []  # (condition, kind, key columns, array of further keys)
+    empty_key = F.array(F.lit(""))
+    for number, code in product((_EQUAL, _DIFFERENT, _NOT_IN_A, _NOT_IN_B), repeat=2):
+        here = applies("number", number) & applies("code", code)
+        keys = [F.col(n) for n, how in (("number", number), ("code", code)) if how == _EQUAL]
+        kind, overlap = number + code, needed_overlap(threshold, number, code)
+        if keys and (overlap <= 0 or len(keys) == 2):
+            found.append((here, kind, keys, empty_key))
+            continue
+        if overlap <= 1:
+            found.append((here, f"{kind}t", keys, _rarest(overlap)))
+        # Without tokens in the listing, or in the mapping only.
+        for lacking in (("a",) if bare_a else ()) + (("b",) if bare_b else ()):
+            mine = here & (tokenless if side == lacking else F.lit(True) if lacking == "a" else ~tokenless)
+            if keys:
+                found.append((mine, f"{kind}n{lacking}", keys, empty_key))
+                continue
+            for text, needed, titled in (("title", needed_title(threshold, number, code), True), ("name", needed_name(threshold, number, code), False)):
+                if needed <= 1:
+                    letters = _letters(F.array_join(F.array_sort(F.filter(F.split("title", _SPACE), lambda w: w != "")), " ") if titled else F.col("name"), needed)
+                    there = (F.col("title") != "") | F.lit(side == "a") if titled else (F.col("name") != "") & ((F.col("title") == "") | F.lit(side == "a"))
+                    found.append((mine & there, f"{kind}{lacking}{text}", keys, letters))
+    found.append((F.col("fp").isNotNull(), "fp", [F.col("fp")], empty_key))
+
+    def hashed(on: Column, kind: str, keys: list[Column], more: Column) -> Column:
+        return F.when(F.coalesce(on, F.lit(False)), F.transform(more, lambda m: F.xxhash64(F.lit(kind), *keys, m))).otherwise(F.array().cast("array<bigint>"))
+
+    each = [hashed(*x) for x in found]
+    return rows.select("row", F.explode(F.array_distinct(F.concat(*each))).alias("signature"))
+
+
+def blocked_pairs(listings: DataFrame, mappings: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """(listing_id, id) that may reach the threshold; each pair once. Thresholds of LOWEST_THRESHOLD or less are refused: they'd leave nothing to join by."""
+    if threshold <= LOWEST_THRESHOLD:
+        raise ValueError(f"a threshold must be above {LOWEST_THRESHOLD:.2f}, not {threshold}: any two rows might reach it")
+    a, b = _prepared(listings, "listing_id"), _prepared(mappings, "id")
+    counts = b.select(F.explode("tokens").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_count"))
+    bare = lambda df: bool(df.where(F.size("tokens") == 0).take(1))
+    bare_a, bare_b = bare(a), bare(b)
+    x = _signatures(_with_rarest(a, counts), "a", threshold, bare_a, bare_b).withColumnRenamed("row", "listing_id")
+    y = checkpointed(_signatures(_with_rarest(b, counts), "b", threshold, bare_a, bare_b).withColumnRenamed("row", "id"))
+    hot = checkpointed(y.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SIGNATURE))
+    if hot.take(1):  # deal its mappings out, repeat its listings
+        parts = hot.select("signature", F.ceil(F.col("n") / HOT_SIGNATURE).cast("int").alias("parts"))
+        x = x.join(parts, "signature", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        y = y.join(parts, "signature", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        return x.join(y, ["signature", "part"]).select("listing_id", "id").distinct()
+    return x.join(y, "signature").select("listing_id", "id").distinct()
+
+
+_CLASSES = [*"abcdefghijklmnopqrstuvwxyz", "01", "23", "45", "67", "89"]
+
+
+def _letter_counts(text: Column) -> Column:
+    """How many of each class of characters a text has, the last for all others."""
+    each = [F.char_length(text) - F.char_length(F.translate(text, c, "")) for c in _CLASSES]
+    return F.array(*each, F.char_length(F.translate(text, "".join(_CLASSES), "")))
+
+
+def _shared(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+
+def _ratio_cap(shared: Column, size: Column, blanks: Column | int = 0) -> Column:
+    """No Indel ratio is higher: a common subsequence has no more letters than both texts, and no more blanks."""
+    return F.when(size + 2 * blanks > 0, 200.0 * (shared + blanks) / (size + 2 * blanks)).otherwise(F.lit(100.0))
+
+
+def scored(pairs: DataFrame, listings: DataFrame, mappings: DataFrame, least: float | None = None) -> DataFrame:
+    """pairs with ``score`` and the mapping's columns; with ``least``, pairs that can't reach it may be left out unscored."""
+    dense = lambda c: F.regexp_replace(c, _SPACE, "")
+    keys = [_title().alias("title"), _name().alias("name"), _number().alias("number"), _code().alias("code"), F.nullif(F.col("fingerprint"), F.lit("")).alias("fp"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")]
+    caps = [_letter_counts(dense(_title())).alias("title_letters"), _letter_counts(_name()).alias("name_letters"), F.size(F.split(_title(), _SPACE)).alias("words")]
+
+    def side(df: DataFrame, prefix: str, key: str, *more: str) -> DataFrame:
+        own = df.select(key, *more, *keys, *caps)
+        return own.select(key, *more, *[F.col(c).alias(f"{prefix}_{c}") for c in own.columns if c not in (key, *more)])
+
+    df = pairs.join(side(listings, "a", "listing_id"), "listing_id").join(side(mappings, "b", "id", "url", "product_name", "confidence", "date_added"), "id")
+    equal = lambda c: F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), 100.0).when(F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull(), 0.0)
+    same = F.coalesce(F.col("a_fp") == F.col("b_fp"), F.lit(False))
+
+    def total(title: Column, name: Column) -> Column:
+        return fuzzy.weighted_score(same, [
+            F.when(F.col("b_title") != "", title),
+            F.when((F.col("a_name") != "") & (F.col("b_name") != ""), name * 0.8),
+            equal("number"),
+            equal("code"),
+            F.when((F.size("a_tokens") > 0) & (F.size("b_tokens") > 0), tx.overlap(F.col("a_tokens"), F.col("b_tokens")) * 100),
+        ])
+
+    if least is not None:
+        size = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+        title = _ratio_cap(_shared("a_title_letters", "b_title_letters"), size("a_title_letters") + size("b_title_letters"), F.least("a_words", "b_words"))
+        name = _ratio_cap(_shared("a_name_letters", "b_name_letters"), size("a_name_letters") + size("b_name_letters"))
+        df = df.where(total(title, name) >= least - 1e-6)
+    df = df.withColumn("_title", fuzzy.token_sort_ratio_of(F.col("a_title"), F.col("b_title"))).withColumn("_name", fuzzy.ratio_of(F.col("b_name"), F.col("a_name")))
+    return df.withColumn("score", total(F.col("_title"), F.col("_name"))).drop(*[f"{p}_{c}" for p in "ab" for c in ("title_letters", "name_letters", "words")])
 
 
 def best_mapping(listings: DataFrame, mappings: DataFrame, threshold: float = 80.0) -> DataFrame:
     """The best stored mapping of each listing at or above the threshold; ties by confidence, then recency, then id."""
-    found = scored(blocked_pairs(listings, mappings), listings, mappings).where(F.col("score") >= threshold)
+    found = scored(blocked_pairs(listings, mappings, threshold), listings, mappings, threshold).where(F.col("score") >= threshold)
     order = Window.partitionBy("listing_id").orderBy(F.desc("score"), F.desc("confidence"), F.desc("date_added"), "id")
     best = found.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return best.select("listing_id", F.col("id").alias("mapping_id"), "score", "url", "product_name")

@@ -112,13 +112,14 @@ def brute_score(a, b):
     if a["fingerprint"] and a["fingerprint"] == b["fingerprint"]:
         return 100.0
     parts = []
-    if b["title"]:
-        parts.append(fuzzy.token_sort_ratio(a["title"].lower().strip(), b["title"].lower().strip()))
+    if (b["title"] or "").strip():
+        parts.append(fuzzy.token_sort_ratio((a["title"] or "").lower().strip(), b["title"].lower().strip()))
     if a["card_name"] and b["card_name"]:
         parts.append(fuzzy.ratio(b["card_name"].lower(), a["card_name"].lower()) * 0.8)
     for key, f in (("collector_number", str.strip), ("set_code", str.upper)):
-        if a[key] and b[key]:
-            parts.append(100.0 if f(a[key]) == f(b[key]) else 0.0)
+        x, y = f(a[key] or ""), f(b[key] or "")
+        if x and y:
+            parts.append(100.0 if x == y else 0.0)
     if a["tokens"] and b["tokens"]:
         parts.append(100 * len(set(a["tokens"]) & set(b["tokens"])) / max(len(a["tokens"]), len(b["tokens"])))
     if len(parts) < 2:
@@ -126,29 +127,70 @@ def brute_score(a, b):
     return (1.5 * parts[0] + sum(parts[1:])) / (0.5 + len(parts))
 
 
-def test_blocked_join_equals_brute_force(spark):
-    rng = random.Random(4)
-    words = ["charizard", "ex", "base", "pikachu", "holo", "v", "promo", "125"]
+CARD = "id long, listing_id string, title string, fingerprint string, card_name string, collector_number string, set_code string, tokens array<string>, url string, product_name string, confidence double, date_added timestamp"
+
 
-    def card(i, stored):
-        name = rng.choice([None, "", "charizard ex", "pikachu", "charizard"])
-        number, code = rng.choice([None, "", "125/197", "1", "25"]), rng.choice([None, "", "OBF", "obf", "CEL"])
+def cards(rng, first, n, stored):
+    words = ["charizard", "ex", "base", "pikachu", "holo", "v", "promo", "125"]
+    out = []
+    for i in range(first, first + n):
+        name = rng.choice([None, "", "charizard ex", "pikachu", "charizard", "Pikachu "])
+        number, code = rng.choice([None, "", "125/197", "1", "25", " 1"]), rng.choice([None, "", "OBF", "obf", "CEL"])
         title = " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+        title = rng.choice([title, title, title.title(), f" {title}\xa0x", "  "])
         if stored and rng.random() < 0.2:
-            title = None
-        tokens = rng.choice([None, [], [w for w in (name or "").split()] + [x for x in (code, number) if x]])
-        return {"id": i, "listing_id": str(i), "title": title, "fingerprint": rng.choice([None, "", f"f{rng.randint(0, 6)}"]), "card_name": name, "collector_number": number, "set_code": code, "tokens": tokens, "url": f"u{i}", "product_name": "p", "confidence": rng.choice([0.5, 0.9]), "date_added": datetime(2024, 1, rng.randint(1, 3))}
-
-    schema = "id long, listing_id string, title string, fingerprint string, card_name string, collector_number string, set_code string, tokens array<string>, url string, product_name string, confidence double, date_added timestamp"
-    a, b = [card(i, False) for i in range(60)], [card(1000 + i, True) for i in range(80)]
-    frame = lambda rows: spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
-    got = {r["listing_id"]: (r["mapping_id"], r["score"]) for r in resolver.best_mapping(frame(a), frame(b)).collect()}
+            title = rng.choice([None, ""])
+        tokens = rng.choice([None, [], [w for w in (name or "").split()] + [x for x in (code, number) if x], title.split() if title else []])
+        out.append({"id": i, "listing_id": str(i), "title": title, "fingerprint": rng.choice([None, "", f"f{rng.randint(0, 9)}"]), "card_name": name, "collector_number": number, "set_code": code, "tokens": tokens, "url": f"u{i}", "product_name": "p", "confidence": rng.choice([0.5, 0.9]), "date_added": datetime(2024, 1, rng.randint(1, 3))})
+    return out
+
+
+def cards_frame(spark, rows):
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in CARD.split(", ")) for r in rows], CARD)
+
+
+@pytest.mark.parametrize("threshold", [65.72, 66.5, 70.5, 73.2, 73.4, 77, 78.2, 80, 85, 92, 100])
+def test_blocked_join_equals_brute_force(spark, threshold):
+    """All pairs at or above the threshold, at any that is accepted; the native cap drops none of them."""
+    rng = random.Random(int(threshold * 10))
+    a, b = cards(rng, 0, 70, False), cards(rng, 1000, 90, True)
+    x, y = cards_frame(spark, a), cards_frame(spark, b)
+    found = resolver.scored(resolver.blocked_pairs(x, y, threshold), x, y, threshold).where(F.col("score") >= threshold - 1e-9)
+    got = {(r["listing_id"], r["id"]): r["score"] for r in found.select("listing_id", "id", "score").collect()}
+    want = {(p["listing_id"], q["id"]): pytest.approx(brute_score(p, q)) for p in a for q in b if brute_score(p, q) >= threshold - 1e-9}
+    assert len(want) > 10 and got == want
+
+
+def test_best_mapping_and_hot_signatures(spark, monkeypatch):
+    rng = random.Random(4)
+    a, b = cards(rng, 0, 60, False), cards(rng, 1000, 80, True)
     want = {}
     for x in a:
         ranked = sorted(((-brute_score(x, y), -y["confidence"], -y["date_added"].timestamp(), y["id"]) for y in b if brute_score(x, y) >= 80))
         if ranked:
             want[x["listing_id"]] = (ranked[0][3], pytest.approx(-ranked[0][0]))
-    assert len(want) > 5 and got == want
+    for hot in (5_000, 2):
+        monkeypatch.setattr(resolver, "HOT_SIGNATURE", hot)
+        got = {r["listing_id"]: (r["mapping_id"], r["score"]) for r in resolver.best_mapping(cards_frame(spark, a), cards_frame(spark, b)).collect()}
+        assert len(want) > 5 and got == want
+
+
+def test_thresholds_that_any_pair_may_reach_are_refused(spark):
+    rows = cards_frame(spark, cards(random.Random(1), 0, 2, True))
+    for threshold in (0, 50, 65.7):
+        with pytest.raises(ValueError, match="threshold must be above"):
+            resolver.blocked_pairs(rows, rows, threshold)
+
+
+def test_scored_pairs_grow_with_the_rows(spark):
+    """Ten times the rows, of as many more numbers, sets and names: ten times the pairs."""
+    n = {}
+    for k in (300, 3000):
+        df = spark.range(k).select(F.col("id"), F.col("id").cast("string").alias("listing_id"), F.concat(F.lit("card n"), (F.col("id") % (k // 3)).cast("string"), F.lit(" near mint holo")).alias("title"), F.lit(None).cast("string").alias("fingerprint"),
+                                    F.concat(F.lit("n"), (F.col("id") % (k // 3)).cast("string")).alias("card_name"), (F.col("id") % (k // 2)).cast("string").alias("collector_number"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("S"), (F.col("id") % (k // 10)).cast("string"))).alias("set_code"))
+        df = df.withColumn("tokens", F.filter(F.array("card_name", F.lit("card"), F.lit("holo"), F.lower("set_code"), "collector_number"), lambda t: t.isNotNull()))
+        n[k] = [resolver.blocked_pairs(df, df, t).count() for t in (80.0, 70.0)]
+    assert all(b <= 15 * a for a, b in zip(n[300], n[3000]))
 
 
 def test_construction(spark):
