@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,31 @@ def with_overrides(settings: Settings, rows: DataFrame) -> Settings:
                 continue
             settings = replace(settings, **{row["key"]: value})
     return settings
+
+
+def _parsed(value: Column) -> Column:
+    """A row's value as a number: with a point a float, else whole; null if it is neither."""
+    number = F.regexp_replace(value, r"(?<=\d)_(?=\d)", "").try_cast("double")
+    number = F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+    return F.when(value.contains("."), number).otherwise(F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("double"))
+
+
+def as_row(rows: DataFrame, base: Settings = Settings()) -> DataFrame:
+    """One row: ``base`` with what the settings table (key, value) says at the time it is read; a struct ``_settings`` of doubles."""
+    names = [f.name for f in fields(Settings)]
+    latest = rows.agg(*[F.max(F.when(F.col("key") == n, F.col("value"))).alias(n) for n in names])
+    return latest.select(F.struct(*[F.coalesce(_parsed(F.col(n)), F.lit(float(getattr(base, n)))).alias(n) for n in names]).alias("_settings"))
+
+
+class Live:
+    """Settings as columns of rows that ``with_live`` has joined: nothing is fixed when a plan is built."""
+
+    def __getattr__(self, name: str) -> Column:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return F.col(f"_settings.{name}")
+
+
+def with_live(df: DataFrame, rows: DataFrame, base: Settings = Settings()) -> DataFrame:
+    """``df`` with the settings of now beside each row."""
+    return df.crossJoin(F.broadcast(as_row(rows, base)))  # one row

@@ -60,13 +60,13 @@ def q_title_flags(spark, sf_dir):
     return _filter_rows(spark, sf_dir).select("p_partkey", prefilter.is_non_card(t).alias("non_card"), prefilter.is_non_card(t, words=True).alias("non_card_word"), prefilter.is_lot(t, d).alias("lot"), prefilter.is_graded(t, d).alias("graded"), prefilter.is_japanese(t, d).alias("japanese"))
 
 
-@query("""SELECT p_partkey, p_retailprice / 1000 / (p_size * 10) <= 0.01 AS cheap, p_size * 10 AS estimated_card_count, CASE WHEN p_retailprice / 1000 / (p_size * 10) <= 0.01 THEN 'match' END AS channel FROM part""")
+@query("""SELECT p_partkey, p_retailprice / 1000 / (p_size * 10) <= 0.01 AS cheap, CASE WHEN p_retailprice / 1000 / (p_size * 10) <= 0.01 THEN p_size * 10 END AS estimated_card_count, CASE WHEN p_retailprice / 1000 / (p_size * 10) <= 0.01 THEN 'match' END AS channel FROM part""")
 def q_cheap_lots(spark, sf_dir):
     """Lots at a cent a card or less, on the search for cards and on that for bulk."""
     n = (F.col("p_size") * 10).cast("int")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("listing_id"), (F.col("p_retailprice") / 1000).alias("price"), n.alias("n"), F.format_string("lot of %d pokemon cards", n).alias("title"), F.lit("").alias("description"))
     alerts = offers.bulk_alerts(rows).select("listing_id", "estimated_card_count", "channel")
-    return rows.withColumn("cheap", prefilter.is_cheap_lot(Settings())).join(alerts, "listing_id", "left").select("p_partkey", "cheap", F.coalesce("estimated_card_count", "n").alias("estimated_card_count"), "channel")
+    return rows.withColumn("cheap", prefilter.is_cheap_lot(Settings())).join(alerts, "listing_id", "left").select("p_partkey", "cheap", "estimated_card_count", "channel")
 
 
 ANALYSED = [("Lot of 250 cards", None), ("joblot of pokemon", "weighs 360 grams"), ("BULK cards", "no number"), ("Charizard holo 4/102", None), ("an old book", None), ("pokemon thing", "x"), ("kaarten lot 1,5 kg", "")]
@@ -337,19 +337,3 @@ def q_row_selects(spark, sf_dir):
     for part, kind in parts:
         out = out.unionByName(part.select("id", F.lit(kind).alias("kind")))
     return out
-
-
-@query("""SELECT k AS key, CASE k WHEN 'min_price' THEN '0.5' WHEN 'max_price' THEN '80' WHEN 'review_days' THEN '9' WHEN 'slug_confidence_threshold' THEN '0.6' WHEN 'fuzzy_threshold' THEN '70.5' WHEN 'max_results' THEN '12' END AS value
-FROM (VALUES ('min_price'), ('max_price'), ('review_days'), ('slug_confidence_threshold'), ('fuzzy_threshold'), ('max_results')) t(k)""")
-def q_settings(spark, sf_dir):
-    """Defaults, a file's tree, the environment, then rows; defaults are seeded where no row is, bad values ignored."""
-    from .. import config
-
-    rows = spark.createDataFrame([("max_price", "80"), ("review_days", "9.0"), ("unknown", "1"), ("fuzzy_threshold", "70.5"), ("min_price", "bad")], "key string, value string")
-    loaded = config.load({"max_results": 10, "review_days": 5}, {"OFFERLENS_MAX_RESULTS": "12"})
-    held = state.seeded(rows, spark.createDataFrame([(k, str(getattr(loaded, k))) for k in config.SEEDED], "key string, value string"))
-    now = config.with_overrides(loaded, held)
-    shown = lambda v: f"{v:g}"
-    return spark.createDataFrame([(k, shown(getattr(now, k))) for k in (*config.SEEDED, "fuzzy_threshold", "max_results")], "key string, value string")
-
-

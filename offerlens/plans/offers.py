@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import Live, Settings, with_live, with_overrides
 from ..functions import money, urls
 from ..functions import text as tx
 from ..functions.identify import Lexicon, identified
@@ -39,6 +39,7 @@ class Tables:
     rules: DataFrame
     overrides: DataFrame
     page_prices: DataFrame  # PAGE_PRICE: what landed pages say
+    settings: DataFrame | None = None  # key, value: read anew with each batch, over the settings given
     site: urls.Site = field(default_factory=urls.Site)
 
 
@@ -51,7 +52,9 @@ def prefiltered(listings: DataFrame, tables: Tables, settings: Settings) -> Data
     """Unseen listings with ``reason`` (null: go on) and ``cheap_lot``; the first failing filter is the reason. Of rows that share an id the first counts (by ``seq`` where there is one)."""
     first = state.first_wins(listings, ["listing_id"], ["seq"] if "seq" in listings.columns else [c for c in ("title", "price", "url") if c in listings.columns])
     fresh = prefilter.unseen(first, tables.seen)
-    native = fresh.withColumn("reason", prefilter.reason(settings)).withColumn("cheap_lot", F.coalesce((F.col("reason") == "lot_listing") & prefilter.is_cheap_lot(settings), F.lit(False)))
+    if tables.settings is not None:
+        fresh, settings = with_live(fresh, tables.settings, settings), Live()
+    native = fresh.withColumn("reason", prefilter.reason(settings)).withColumn("cheap_lot", F.coalesce((F.col("reason") == "lot_listing") & prefilter.is_cheap_lot(settings), F.lit(False))).drop("_settings")
     named = prefilter.with_known_name(native.where(F.col("reason").isNull()), tables.names)
     named = named.withColumn("reason", F.when(~F.col("has_name"), "no_known_name")).drop("has_name")
     return native.where(F.col("reason").isNotNull()).unionByName(named)
@@ -75,6 +78,12 @@ def variant_pages(rows: DataFrame, page_prices: DataFrame) -> DataFrame:
 
 def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Settings = Settings(), construct: bool = True) -> DataFrame:
     """One row (RESULT) for each unseen listing; without ``construct`` only the catalogue and stored mappings are asked."""
+    return decided_with_identities(listings, tables, lexicon, settings, construct)[0]
+
+
+def decided_with_identities(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Settings = Settings(), construct: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The results, and the listings that passed the filters with their identity."""
+    threshold = (with_overrides(settings, tables.settings) if tables.settings is not None else settings).fuzzy_threshold
     # each step's rows are checkpointed: several branches below read them, and plans stay short
     start = checkpointed(prefiltered(listings, tables, settings))
     dropped = start.where(F.col("reason").isNotNull())
@@ -91,7 +100,7 @@ def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Set
     hit = checkpointed(hit.select(F.col("ask_id").alias("listing_id"), F.col("id_product").alias("product_id"), urls.catalogue_url(F.col("expansion_name"), F.col("name"), F.col("number"), tables.site).alias("url"), "from_price", F.lit("catalog").alias("source"), F.lit(0.90).alias("confidence")))
     # 2. stored mappings, 3. construction, on what is left
     rest = open_.join(hit.select("listing_id"), "listing_id", "left_anti")
-    stored = checkpointed(resolver.best_mapping(rest, tables.mappings, settings.fuzzy_threshold).select("listing_id", "url", F.lit("database").alias("source"), (F.col("score") / 100).alias("confidence")))
+    stored = checkpointed(resolver.best_mapping(rest, tables.mappings, threshold).select("listing_id", "url", F.lit("database").alias("source"), (F.col("score") / 100).alias("confidence")))
     left = rest.join(stored.select("listing_id"), "listing_id", "left_anti")
     full = F.lit(construct) & prefilter.may_construct(F.col("card_name"), F.col("set_name"), F.col("set_code"), F.col("collector_number"))
     built = checkpointed(resolver.constructed(left.where(full), tables.codes, tables.rules, tables.overrides, tables.set_names, tables.site).select("listing_id", "url", F.lit("constructed").alias("source"), "confidence"))
@@ -115,7 +124,7 @@ def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Set
     out = lots
     for part in (skipped, review, unidentified, failed, compared):
         out = out.unionByName(part)
-    return out
+    return out, known
 
 
 def bulk_alerts(listings: DataFrame, settings: Settings = Settings()) -> DataFrame:

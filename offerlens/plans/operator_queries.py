@@ -107,16 +107,18 @@ def q_catalogue_index(spark, sf_dir):
     return catalogue.indexed(rows).crossJoin(F.broadcast(sizes)).select("id_product", "pos", "expansion_key", "number_key", "products", "expansions")  # one row
 
 
-@query("""SELECT 'r3' AS path, true AS fresh, false AS stale""")
+@query("""WITH f AS (SELECT 'n' || n_nationkey AS path, TIMESTAMP '2024-01-01' + (n_nationkey * 7 % 25) * INTERVAL 1 HOUR AS modified, n_nationkey % 4 = 1 AS good FROM nation), n AS (SELECT max(modified) AS now FROM f)
+SELECT path, coalesce(path = (SELECT arg_max(path, modified) FROM f WHERE good), false) AS in_use, now - modified < INTERVAL 12 HOUR AS fresh FROM f, n""")
 def q_snapshots(spark, sf_dir):
-    """The newest snapshot that holds an entry, though newer ones are broken, empty or not JSON; its age against the limit."""
-    at = lambda n: F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.col("r_regionkey") + n, F.lit(0), F.lit(0))
-    good = F.lit('{"productList":[{"idProduct":1}]}')
-    body = F.when(F.col("r_regionkey") == 4, '{"productList":[]}').otherwise(good)
-    files = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("path"), at(1).alias("modified"), body.alias("value"))
-    files = files.unionByName(files.where("path = 'r0'").select(F.lit("broken").alias("path"), F.make_timestamp(F.lit(2025), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("modified"), F.lit('{"productList":[{"id').alias("value")))
-    found = snapshots.newest_valid(files, snapshots.PRODUCT_KEYS)
-    return found.select("path", F.lit(snapshots.is_fresh(1000.0, 24.0, 1000.0 + 24 * 3600 - 1)).alias("fresh"), F.lit(snapshots.is_fresh(1000.0, 24.0, 1000.0 + 24 * 3600)).alias("stale"))
+    """Of all landed snapshots the newest that holds an entry, though newer ones are broken, empty or not JSON; and which are within the limit of age."""
+    k = F.col("n_nationkey")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + (k * 7 % 25) * 3600)
+    body = F.when(k % 4 == 0, '{"productList":[]}').when(k % 4 == 1, F.concat(F.lit('{"productList":[{"idProduct":'), k.cast("string"), F.lit("}]}"))).when(k % 4 == 2, '{"productList":[{"id').otherwise("<html>down</html>")
+    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("path"), at.alias("modified"), body.alias("value"))
+    now = files.agg(F.max("modified").alias("now"))
+    used = snapshots.newest_valid(files, snapshots.PRODUCT_KEYS).select("path", F.lit(True).alias("in_use"))
+    out = files.join(used, "path", "left").crossJoin(F.broadcast(now))  # one row
+    return out.select("path", F.coalesce("in_use", F.lit(False)).alias("in_use"), snapshots.fresh(F.col("modified"), F.col("now"), 12.0).alias("fresh"))
 
 
 @query("""SELECT c_custkey AS ask_id, p_partkey AS id_product, p_name AS name, p_retailprice AS from_price FROM customer JOIN part ON p_partkey = c_custkey * 2 WHERE p_partkey % 3 > 0""")

@@ -62,3 +62,9 @@ def newest_valid(files: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def is_fresh(modified_epoch: float | None, hours: float, now: float | None = None) -> bool:
     """Younger than ``hours``."""
     return modified_epoch is not None and (time.time() if now is None else now) - modified_epoch < hours * 3600
+
+
+def fresh(modified: Column, now: Column, hours: Column | float) -> Column:
+    """Whether what was modified then is younger than ``hours``; null times aren't."""
+    age = F.unix_micros(now) - F.unix_micros(modified)
+    return F.coalesce(age < (F.lit(hours) if not isinstance(hours, Column) else hours) * 3_600_000_000, F.lit(False))

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import state
+from ..session import checkpointed
 
 
 def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
@@ -39,3 +46,86 @@ class StateTable:
         """The next version; readers of the one before are not disturbed."""
         known = self.versions()
         rows.write.parquet(f"{self.path}/v={known[-1] + 1 if known else 0}")
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer has claimed the same version of a table."""
+
+
+class BucketedState:
+    """A table of keyed rows in buckets by hash of the key: a change reads and writes only the buckets that its keys fall into.
+
+    Writers claim the next version before they change anything and look whether anyone else has; who
+    sees another claim stops, so of two writers at a time one at most goes on. A change
+    that broke off leaves a claim behind; ``release`` it once its writer is known to be gone.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, columns: str, keys: list[str], buckets: int = 64):
+        self.spark, self.path, self.columns, self.keys, self.buckets = spark, path.rstrip("/"), columns, keys, buckets
+        self.names = spark.createDataFrame([], columns).columns
+        try:
+            self.buckets = spark.read.schema("version long, buckets int").parquet(f"{self.path}/head").first()["buckets"]  # as it was made
+        except AnalysisException:
+            self._empty(range(buckets))
+            self._head(0)
+
+    def _empty(self, buckets) -> None:
+        """A file without rows would leave no folder, so each bucket begins with a row of nulls, which reading drops."""
+        kinds = self.spark.createDataFrame([], self.columns).schema
+        rows = self.spark.createDataFrame([(b,) for b in buckets], "_bucket int")
+        rows.select(*[F.lit(None).cast(kinds[n].dataType).alias(n) for n in self.names], F.lit(True).alias("_none"), "_bucket").repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows")
+
+    def _head(self, version: int) -> None:
+        self.spark.createDataFrame([(version, self.buckets)], "version long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/head")
+
+    def version(self) -> int:
+        return self.spark.read.schema("version long, buckets int").parquet(f"{self.path}/head").first()["version"]
+
+    def _claim(self) -> int:
+        mine, version = uuid.uuid4().hex, self.version() + 1
+        at = f"{self.path}/claims/{version}"
+        self.spark.createDataFrame([(mine,)], "writer string").coalesce(1).write.mode("append").parquet(at)
+        writers = {r["writer"] for r in self.spark.read.schema("writer string").parquet(at).collect()}
+        if writers - {mine, ""}:
+            raise ConcurrentWrite(f"version {version} of {self.path} has {len(writers)} writers")
+        return version
+
+    def release(self) -> None:
+        """Give up the claims on the next version, whose writer is gone."""
+        self.spark.createDataFrame([("",)], "writer string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/claims/{self.version() + 1}")
+
+    def _of(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets; only their folders are listed."""
+        at = f"{self.path}/rows"
+        folders = [at] if buckets is None else [f"{at}/_bucket={b}" for b in buckets]
+        if not folders:
+            return self.spark.createDataFrame([], self.columns)
+        return self.spark.read.schema(f"{self.columns}, _none boolean, _bucket int").option("basePath", at).parquet(*folders).where(F.col("_none").isNull()).select(*self.names)
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r["_bucket"] for r in self._of(rows).select("_bucket").distinct().collect())  # as many as there are buckets, at most
+
+    def _change(self, rows: DataFrame, merged) -> list[int]:
+        rows = checkpointed(rows)
+        buckets = self.touched(rows)
+        if not buckets:
+            return []
+        version = self._claim()
+        now = checkpointed(self._of(merged(self.read(buckets), rows)))
+        left = {r["_bucket"] for r in now.select("_bucket").distinct().collect()}
+        now.select(*self.names, F.lit(None).cast("boolean").alias("_none"), "_bucket").repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows")
+        if set(buckets) - left:
+            self._empty(sorted(set(buckets) - left))
+        self._head(version)
+        return buckets
+
+    def upsert(self, rows: DataFrame, order: list[str]) -> list[int]:
+        """Rows take the place of those with their key, the last by ``order`` of several; the buckets that were written."""
+        return self._change(rows, lambda old, new: state.upsert(old, new, self.keys, order))
+
+    def delete(self, rows: DataFrame) -> list[int]:
+        """Without the keys of ``rows``."""
+        return self._change(rows.select(*self.keys).distinct(), lambda old, gone: old.join(gone, self.keys, "left_anti"))

@@ -1,103 +1,150 @@
 """The polled pipeline as a stream: micro-batches with exact, never-expiring dedup.
 
-A state table is a folder of additions, one for each batch and named by its id: a
-batch reads those of earlier batches and (over)writes its own, so a repeated
-batch counts nothing twice. After every ``COMPACT`` additions a batch also writes all
-before it as one, so a batch opens a bounded number of folders and
-the growing part is written once in ``COMPACT`` batches.
+A batch names what it writes by its id, so one that is repeated after a failure writes the
+same again. What has been seen is kept in ``SeenIndex``, learned mappings in ``BucketedState``: both
+touch only the buckets that a batch's rows fall into. ``Service`` is the whole loop: settings and the catalogue
+are read anew with each batch, what a batch learns serves the next one, rows that can't be
+read go to a folder of their own, and counters come from the write itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..config import Settings
+from ..functions.identify import Lexicon
 from ..operators import state
+from ..plans import offers
 from ..schemas import schema
+from ..session import checkpointed
+from ..sources.sinks import BucketedState
+from .seen import SeenIndex
 
+MAPPINGS = "id long, title string, fingerprint string, card_name string, collector_number string, set_code string, tokens array<string>, url string, product_name string, confidence double, date_added timestamp"
+REVIEWS = "message_id string, item string, asked_at timestamp"
 
-#: Additions that are read one by one before they are put together.
-COMPACT = 32
 
-
-class AddedTable:
-    """Parquet additions below a folder: ``v=<batch id>``, and ``upto=<batch id>`` for all before that batch."""
-
-    def __init__(self, spark: SparkSession, path: str, columns: str, files: int = 16):
-        self.spark, self.path, self.columns, self.files = spark, path.rstrip("/"), columns, files
-
-    def _versions(self, kind: str) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(path):
-            return []
-        names = [s.getPath() for s in store.listStatus(path)]
-        return sorted(int(p.getName().partition("=")[2]) for p in names if p.getName().startswith(f"{kind}=") and store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def _folders(self, batch: int) -> tuple[list[str], int]:
-        """What holds the additions before ``batch``, and how many of these are single ones."""
-        base = max((u for u in self._versions("upto") if u <= batch), default=0)
-        single = [v for v in self._versions("v") if base <= v < batch]
-        return [f"{self.path}/upto={base}"] * (base > 0) + [f"{self.path}/v={v}" for v in single], len(single)
-
-    def before(self, batch: int) -> DataFrame:
-        """What batches before ``batch`` have added."""
-        folders, single = self._folders(batch)
-        if not folders:
-            return self.spark.createDataFrame([], self.columns)
-        rows = self.spark.read.schema(self.columns).parquet(*folders)
-        if single < COMPACT:
-            return rows
-        rows.repartition(self.files * max(1, len(rows.inputFiles()) // (4 * self.files))).write.mode("overwrite").parquet(f"{self.path}/upto={batch}")
-        return self.spark.read.schema(self.columns).parquet(f"{self.path}/upto={batch}")
-
-    def write(self, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+def _run(writer, interval: str | None) -> StreamingQuery:
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def dedup_stream(source: DataFrame, key: str, order: list[str], out: str, checkpoint: str) -> StreamingQuery:
+def dedup_stream(source: DataFrame, key: str, order: list[str], out: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
     """First row of each key over all time, as Parquet below ``out``/rows; runs until the source is drained."""
-    spark = source.sparkSession
-    names = source.schema
-    seen = AddedTable(spark, f"{out}/seen", f"{key} {names[key].dataType.simpleString()}")
+    seen = SeenIndex(source.sparkSession, f"{out}/seen", source.schema[key].dataType.simpleString(), buckets)
 
     def batch(rows: DataFrame, n: int) -> None:
-        old = seen.before(n)
-        new = state.first_wins(rows, [key], order).join(old, key, "left_anti").persist()
+        new = seen.fresh(state.first_wins(rows, [key], order), key, n).persist()
         new.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
-        seen.write(n, new.select(key))
+        seen.add(new, key, n)
         new.unpersist()
 
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _run(source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), None)
 
 
-def run_stream(source: DataFrame, decide: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Listings in, result rows out, partitioned by channel. ``decide`` gets a batch and the seen table; every outcome marks a listing as seen.
+def run_stream(source: DataFrame, decide: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str, interval: str | None = None, buckets: int = 256) -> StreamingQuery:
+    """Listings in, result rows out, partitioned by channel. ``decide`` gets a batch and those of its ids that earlier batches have seen; every outcome marks a listing as seen.
 
     With an interval the query polls; without, it drains the source and ends. Stopping and starting the query pauses and resumes it.
     """
-    spark = source.sparkSession
-    seen = AddedTable(spark, f"{out}/seen", "listing_id string")
+    seen = SeenIndex(source.sparkSession, f"{out}/seen", buckets=buckets)
 
     def batch(rows: DataFrame, n: int) -> None:
-        old = seen.before(n)
-        results = decide(rows, old).persist()
+        known = seen.known(rows, "listing_id", n).select(F.col("id").alias("listing_id"))
+        results = decide(rows, known).persist()
         results.write.mode("overwrite").partitionBy("channel").parquet(f"{out}/results/batch={n}")
-        seen.write(n, results.select("listing_id").distinct())
+        seen.add(results, "listing_id", n)
         results.unpersist()
 
-    writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    return _run(source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), interval)
+
+
+@dataclass
+class Service:
+    """The running loop over landed listings; everything it keeps is below ``folder``, which all executors share.
+
+    ``settings_rows`` and ``catalogue`` are asked anew for each batch: a table of (key, value), and products and
+    prices as of ``offers.Tables``. ``folder``/results, /bad, /reviews and /counters hold a folder a batch.
+    """
+
+    spark: SparkSession
+    folder: str
+    lexicon: Lexicon
+    tables: offers.Tables
+    settings: Settings = Settings()
+    settings_rows: Callable[[], DataFrame] | None = None
+    catalogue: Callable[[], tuple[DataFrame, DataFrame]] | None = None
+    buckets: int = 64
+    seen: SeenIndex = field(init=False)
+    learned: BucketedState = field(init=False)
+
+    def __post_init__(self):
+        self.seen = SeenIndex(self.spark, f"{self.folder}/seen", buckets=self.buckets)
+        self.learned = BucketedState(self.spark, f"{self.folder}/mappings", f"{MAPPINGS}, batch long", ["id"], self.buckets)
+
+    def now(self, batch: int) -> offers.Tables:
+        """What a batch is decided by: mappings of earlier batches, the settings and the catalogue as they are."""
+        learned = self.learned.read().where(F.col("batch") < batch).drop("batch")
+        changes = {"mappings": self.tables.mappings.unionByName(learned, allowMissingColumns=True)}
+        if self.settings_rows is not None:
+            changes["settings"] = self.settings_rows()
+        if self.catalogue is not None:
+            changes["products"], changes["prices"] = self.catalogue()
+        return replace(self.tables, **changes)
+
+    def batch(self, rows: DataFrame, n: int) -> None:
+        rows = rows.persist()  # read once, so that what the source observes counts once
+        known = self.seen.known(rows, "listing_id", n).select(F.col("id").alias("listing_id"))
+        tables = self.now(n)
+        tables = replace(tables, seen=tables.seen.select("listing_id").unionByName(known))
+        results, identities = offers.decided_with_identities(rows, tables, self.lexicon, self.settings)
+        results = checkpointed(results)
+        counted = Observation(f"cycle-{n}")
+        one = lambda condition, name: F.count(F.when(condition, 1)).alias(name)
+        watched = results.observe(counted, F.count(F.lit(1)).alias("checked"), one(F.col("verdict") == "profitable", "profitable"), one(F.col("channel").isin("review", "unidentified"), "reviewed"), one(F.col("verdict") == "error", "errors"))
+        watched.write.mode("overwrite").partitionBy("channel").parquet(f"{self.folder}/results/batch={n}")
+        identities.where(F.col("identify_error").isNotNull()).select("listing_id", "title", "identify_error").write.mode("overwrite").parquet(f"{self.folder}/bad/batch={n}")
+        additions = offers.state_rows(results, identities)
+        asked = additions["review_queue"].where("status = 'pending'").select(F.concat(F.lit("r"), "listing_id").alias("message_id"), F.col("listing_id").alias("item"), F.col("created_at").alias("asked_at"))
+        asked.write.mode("overwrite").parquet(f"{self.folder}/reviews/batch={n}")
+        mapped = additions["card_mappings"].withColumn("id", F.xxhash64("fingerprint", "url")).withColumn("product_name", F.lit(None).cast("string")).withColumn("batch", F.lit(n).cast("long"))
+        first = self.learned.read(self.learned.touched(mapped)).where(F.col("batch") < n)  # a mapping's first batch counts, also when a batch is repeated
+        self.learned.upsert(mapped.join(first.select("id"), "id", "left_anti").select(*self.learned.names), ["confidence", "title"])
+        self.spark.createDataFrame([(n, *[counted.get[k] for k in ("checked", "profitable", "reviewed", "errors")])], "batch long, checked long, profitable long, reviewed long, errors long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counters/batch={n}")
+        self.seen.add(results, "listing_id", n)
+        rows.unpersist()
+
+    def run(self, source: DataFrame, interval: str | None = None) -> StreamingQuery:
+        """With an interval the query polls; without, it drains the source and ends. Stopping and starting it pauses and resumes."""
+        watched = source.observe("landed", F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("listing_id").isNull(), 1)).alias("without_id"))
+        return _run(watched.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.folder}/checkpoint"), interval)
+
+
+class Cycles(StreamingQueryListener):
+    """What each batch of a running service has taken in, as its progress says."""
+
+    def __init__(self):
+        self.landed: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get("landed")
+        if seen is not None:
+            self.landed.append({"batch": event.progress.batchId, **seen.asDict()})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def landed_listings(spark: SparkSession, path: str) -> DataFrame:
     """Landed listing rows as JSON lines, as a stream."""
     return spark.readStream.schema(schema("listing")).json(path)
-
-
-def expire_each_batch(reviews: DataFrame, days: int) -> DataFrame:
-    return state.expired(reviews, F.current_timestamp(), days)

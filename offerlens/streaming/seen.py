@@ -63,7 +63,9 @@ class SeenIndex:
         self._ids = f"id {kind}, batch long, bucket int"
         try:
             self.buckets = self.spark.read.schema(_FILTERS).parquet(f"{self.path}/filters").count()  # as it was made
+            self.empty = False
         except AnalysisException:
+            self.empty = True
             whole = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
             nothing = whole.select(F.lit(None).cast(kind).alias("id"), F.lit(-1).cast("long").alias("batch"), "bucket")
             nothing.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ids")
@@ -88,6 +90,8 @@ class SeenIndex:
 
     def known(self, rows: DataFrame, key: str, batch: int) -> DataFrame:
         """id: those of ``rows`` that batches before ``batch`` have added."""
+        if self.empty:
+            return self.spark.createDataFrame([], f"id {self.kind}")
         keyed = checkpointed(self._keyed(rows, key))
         filters = self._read("filters", _FILTERS, self._of(keyed))
 
@@ -110,6 +114,7 @@ class SeenIndex:
         touched = self._of(keyed)
         if not touched:
             return
+        self.empty = False
         keyed.select("id", F.lit(batch).cast("long").alias("batch"), "bucket").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/ids")
         filters = self._read("filters", _FILTERS, touched)
 

@@ -24,6 +24,10 @@ LEXICON = Lexicon(names=("Bulbasaur", "Charizard", "Pikachu", "Mew"), set_names=
 
 @pytest.fixture(scope="module")
 def shop(spark):
+    return shop_tables(spark)
+
+
+def shop_tables(spark):
     products = catalogue.indexed(spark.createDataFrame(PRODUCTS, "pos long, id_product long, name string, number string, expansion_name string, id_expansion long, rarity string"))
     prices = spark.createDataFrame([(i, low, None, t, None, None, None) for i, low, t in PRICES], "id_product long, low double, sell double, trend double, avg1 double, avg7 double, avg30 double")
     codes = spark.createDataFrame([("OBF", "Obsidian-Flames"), ("CEL", "Celebrations")], "code string, slug string")

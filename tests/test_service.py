@@ -120,3 +120,88 @@ def test_answers_join_both_streams(spark, tmp_path):
     want = {(r["message_id"], r["seq"]) for r in whole.collect()}
     assert want == {("m0", 1), ("m0", 2), ("m1", None), ("m2", None), ("m3", 5), ("m4", None), ("m5", None), ("m6", None), ("m7", 7)}
     assert got == want - {("m6", None)}  # m6 may still be answered
+
+
+def test_bucketed_state_writes_what_it_touches(spark, tmp_path):
+    from offerlens.sources.sinks import BucketedState, ConcurrentWrite
+
+    path, columns = tmp_path.as_uri() + "/t", "k long, name string, money decimal(10, 2), ts long"
+    table = BucketedState(spark, path, columns, ["k"], buckets=16)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, name string, money string, ts long").withColumn("money", F.col("money").cast("decimal(10, 2)")).select("k", "name", "money", "ts")
+    shown = lambda: sorted((r["k"], r["name"]) for r in table.read().collect())
+    assert shown() == []
+    table.upsert(frame([(i, f"a{i}", "1.5", 1) for i in range(100)]), ["ts"])
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "rows").glob("_bucket=*/*.parquet")}
+    before = files()
+    written = table.upsert(frame([(3, "b3", "2", 2), (3, "c3", "2", 3), (500, "b500", None, 1)]), ["ts"])
+    changed = {p.parent.name for p in set(files()) ^ set(before)}
+    assert len(written) <= 2 and changed == {f"_bucket={b}" for b in written}
+    want = {i: f"a{i}" for i in range(100)} | {3: "c3", 500: "b500"}
+    assert dict(shown()) == want and table.version() == 2
+    again = BucketedState(spark, path, columns, ["k"])  # opened anew, with the buckets it was made with
+    again.delete(frame([(i, None, None, 0) for i in range(50)]))
+    assert dict(shown()) == {k: v for k, v in want.items() if k >= 50} and again.buckets == 16
+    table._claim()  # another writer begins, and is still at it
+    with pytest.raises(ConcurrentWrite):
+        again.upsert(frame([(1, "x", "1", 1)]), ["ts"])
+    assert dict(shown()) == {k: v for k, v in want.items() if k >= 50}
+    again.release()
+    again.upsert(frame([(1, "x", "1", 1)]), ["ts"])
+    assert dict(shown()) == {k: v for k, v in want.items() if k >= 50} | {1: "x"}
+
+
+def test_settings_as_columns_follow_their_table(spark):
+    from offerlens import config
+
+    rows = [("max_price", "80"), ("review_days", "9.5"), ("fuzzy_threshold", "70.5"), ("min_price", "bad"), ("unknown", "1"), ("max_results", "12.0"), ("cheap_price_per_card", None), ("catalogue_hours", "1e2")]
+    table = spark.createDataFrame(rows, "key string, value string")
+    row = config.as_row(table).select("_settings.*").first().asDict()
+    plain = config.with_overrides(config.Settings(), table)
+    assert row == {k: float(v) for k, v in vars(plain).items()} and row["max_price"] == 80 and row["min_price"] == 0.5
+    assert config.as_row(table.limit(0)).select("_settings.*").first().asDict() == {k: float(v) for k, v in vars(config.Settings()).items()}
+    values = ["7", "7.9", "-7", "-7.5", " 8 ", "1_0", "1e1", "nan", "inf", "", "x.y", None]
+
+    def parsed(v):
+        try:
+            return float(v) if "." in v else float(int(float(v)))
+        except (TypeError, ValueError, OverflowError):
+            return None
+
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(config._parsed(F.col("v")).alias("x")).collect()
+    assert [r["x"] for r in got] == [parsed(v) for v in values]
+
+
+def test_service_over_batches_and_a_restart(spark, tmp_path):
+    """Settings change between batches, learned mappings serve the next, counters and bad rows come with the write, reviews feed their stream."""
+    from test_offers import LEXICON, LISTINGS, WANT, shop_tables, tables
+
+    from offerlens.streaming.offers import Cycles, Service
+
+    columns, folder = "listing_id string, title string, price double, description string", tmp_path.as_uri()
+    limit = ["1000"]
+    listener = Cycles()
+    spark.streams.addListener(listener)
+
+    def drain(rows):
+        spark.createDataFrame([(i, t, p, None) for i, t, p in rows], columns).coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+        service = Service(spark, f"{folder}/service", LEXICON, tables(spark, shop_tables(spark)), buckets=4, settings_rows=lambda: spark.createDataFrame([("max_price", limit[0])], "key string, value string"))
+        service.run(spark.readStream.schema(columns).parquet(f"{folder}/landed")).awaitTermination()
+        return service
+
+    drain(LISTINGS[1:6])
+    limit[0] = "0.6"
+    dear = [("dear2", "Pikachu 025/193 Base", 40.0)]
+    service = drain(LISTINGS[1:6] + dear)
+    results = spark.read.parquet(f"{folder}/service/results").collect()
+    got = {r["listing_id"]: (r["channel"], r["verdict"], r["reason"]) for r in results}
+    first = {i for i, _, _ in LISTINGS[1:6]}
+    assert len(results) == len(got) and {k: v for k, v in got.items() if k in first} == {k: v for k, v in WANT.items() if k in first}
+    assert got["dear2"] == ("skipped", "skipped", "price_out_of_range")  # under the limit of the second batch, and of that alone
+    counters = {r["batch"]: r["checked"] for r in spark.read.parquet(f"{folder}/service/counters").collect()}
+    assert counters == {0: len(first), 1: 1}
+    spark.streams.removeListener(listener)
+    assert sum(x["rows"] for x in listener.landed) == len(first) * 2 + 1
+    asked = {r["item"] for r in spark.read.schema("message_id string, item string, asked_at timestamp").option("recursiveFileLookup", True).parquet(f"{folder}/service/reviews").collect()}
+    assert asked == {k for k in first if WANT[k][0] in ("review", "unidentified")}
+    mapped = {r["listing_id"] for r in results if r["source"] in ("catalog", "constructed") and r["from_price"]}
+    assert service.learned.read().count() <= len(mapped) and (not mapped or service.now(1).mappings.count() > 0)
