@@ -47,7 +47,7 @@ from . import common
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1
 #: Bytes of text in a block (or one document), keys in a shard of the index, contexts in a shard of the comparison.
-BLOCK_BYTES, SHARD_KEYS, SHARD_CONTEXTS = 4 << 20, 1 << 20, 50_000
+BLOCK_BYTES, SHARD_KEYS, SHARD_CONTEXTS = 4 << 20, 1 << 17, 50_000
 #: A key with more contexts is hot.
 HOT = 200_000
 _CHUNK = 1 << 16
