@@ -426,7 +426,7 @@ class Family:
     def insert(self, docs: DataFrame) -> Family:
         """With a new batch of documents (doc_id, text); earlier documents may lose strings too, to smaller ids of the batch."""
         at, turn = f"{self.root}/{len(self.blocks)}", len(self.blocks)
-        _blocks(docs, turn).write.option("compression", "none").parquet(f"{at}/blocks")
+        _blocks(docs, turn).write.option("compression", "zstd").parquet(f"{at}/blocks")
         new = self._read([f"{at}/blocks"], BLOCKS)
         old_keys = self._read([self.levels], _LEVEL_ROWS).where("kind = 0").agg(F.sum("n")).first()[0] if self.levels else 0
         n_keys, n_multi = new.agg(F.sum("n_keys"), F.sum("n_multi")).first()
@@ -434,11 +434,11 @@ class Family:
         held = self._read([self.levels] if self.levels else [], _LEVEL_ROWS).where("kind = 0").select("shard", "level", "keys", "blocks", "counts")
         if bits != self.bits and self.levels:
             held = self._split(held, bits)
-        _indexed(_shard_rows(new, bits), held, HOT).write.option("compression", "none").parquet(f"{at}/index")
+        _indexed(_shard_rows(new, bits), held, HOT).write.option("compression", "zstd").parquet(f"{at}/index")
         hits = self._read([f"{at}/index"], _LEVEL_ROWS).where("kind = 1")
         n_hits = hits.agg(F.sum("n")).first()[0] or 0
         shards = max(1, -(-(n_hits + (n_multi or 0)) // SHARD_CONTEXTS))
-        _found(self._read([*self.blocks, f"{at}/blocks"], BLOCKS), hits, turn, shards).write.option("compression", "none").partitionBy("kind").parquet(f"{at}/found")
+        _found(self._read([*self.blocks, f"{at}/blocks"], BLOCKS), hits, turn, shards).write.option("compression", "zstd").partitionBy("kind").parquet(f"{at}/found")
         found = self._read([f"{at}/found"], _FOUND_ROWS)
         spans = found.where("kind = 0").select("block", "doc", "start", "end").unionByName(_compared(found.where("kind = 1")))
         windows = found.where("kind = 2")
