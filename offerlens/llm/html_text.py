@@ -9,14 +9,19 @@ out, inline text collapses its white space, blocks start new lines and paragraph
 an empty line, list items get their marks and indents, preformatted text stays, and the
 cells of a table line up in columns.
 
-Scale: one map over the pages, no shuffle; memory is that of one page. Tree and walk use
-stacks of their own, so markup may be nested to any depth.
+Scale: one map over the pages, no shuffle. Time and text are in proportion to the page: rules wait by
+key under the elements that begin them, so no element climbs to its ancestors or tries rules whose
+beginning isn't above it; columns of a table line up as far as padding stays below PADDING times the table's
+text (beyond, wide columns stop lining up, at last all do, and two blanks part the cells); lists
+indent up to MAX_INDENT. Tree and walk use stacks of their own, so markup may be nested to any depth.
 
 Defined results: null and empty html give an empty text; broken markup never fails
 (unknown ends are ignored, open elements end with the page, a tag that the page breaks
 off is dropped); selectors other than tags, classes, ids and attributes, alone, compound,
 below or directly below each other, are ignored, and so are rules for other media than
-all and screen, or under conditions; other columns are ignored; repeated rows are rendered
+all and screen, or under conditions; strings, comments and addresses in styles are read over; of
+closed details the first summary is shown, and a closed dialog isn't; the first line break of pre and
+textarea is dropped; other columns are ignored; repeated rows are rendered
 one by one; an empty table gives an empty result.
 """
 
@@ -61,6 +66,8 @@ _ENDS = {
     "caption": (frozenset(["caption"]), frozenset(["table"])),
 }
 _ENDS["tbody"] = _ENDS["tfoot"] = _ENDS["thead"]
+#: Blanks that lining up may cost, as a multiple of a table's text, and columns that lists indent at most.
+PADDING, MAX_INDENT = 4, 64
 _P_SCOPE = frozenset("table td th caption button li dd".split())
 _TABLE = frozenset(["table"])
 
@@ -72,6 +79,7 @@ _BOGUS = re.compile(r"<[^>]*(?:>|\Z)")
 #: What comes before an attribute, the tag's end, or a name with its value: quoted, left open to the page's end, or bare.
 _ATTR = re.compile(r"[\s/]*(?:(>)|(\Z)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([\"'])|([^\s>]*)))?)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_FIRST_BREAK = re.compile(r"(?:\r\n?|\n)?")
 
 
 _NO_ATTRIBUTES: dict[str, str] = {}  # of many nodes, never changed
@@ -212,7 +220,10 @@ def parse(html: str) -> tuple[Node, list[tuple[str, str]]]:
             if tag == "style":
                 b.sheets.append((attrs.get("media", ""), data))
             elif data:
+                data = data[_FIRST_BREAK.match(data).end() :] if tag == "textarea" else data
                 node.children.append(data if tag in ("xmp", "plaintext") else unescape(data))
+        elif tag in ("pre", "listing"):
+            at = _FIRST_BREAK.match(html, at).end()
     return b.root, b.sheets
 
 
@@ -235,12 +246,42 @@ def _markup(b: _Builder, html: str, at: int) -> int:
 
 _SIMPLE = re.compile(r"([a-z][a-z0-9-]*|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]", re.I)
 _AT_MEDIA = re.compile(r"@media\b(.*)", re.I | re.S)
-_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+_DECLARATION = re.compile(r"\s*(display|visibility)\s*:\s*([\w-]+(?:\s+[\w-]+)*)\s*(!\s*important)?\s*", re.I)
+#: What structure doesn't look into: comments, strings, bare addresses; then the marks that make up structure.
+_CSS = re.compile(r"(/\*.*?(?:\*/|\Z))|\"(?:\\.|[^\"\\\n])*(?:\"|(?=\n)|\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)|\burl\(\s*(?![\"'\s])(?:\\.|[^)\\])*(?:\)|\Z)|\\.|([{};(),\[\]])", re.S | re.I)
+
+
+def _without_comments(css: str) -> str:
+    return _CSS.sub(lambda m: " " if m[1] else m[0], css) if "/*" in css else css
+
+
+def _split(css: str, mark: str) -> list[str]:
+    """Parts between marks that stand outside strings, addresses and brackets."""
+    parts, at, depth = [], 0, 0
+    for found in _CSS.finditer(css):
+        if found[2] == mark and not depth:
+            parts.append(css[at : found.start()])
+            at = found.end()
+        elif found[2] and found[2] in "([":
+            depth += 1
+        elif found[2] and found[2] in ")]":
+            depth = max(0, depth - 1)
+    return [*parts, css[at:]]
 
 
 def _declared(text: str) -> dict[str, tuple[str, bool]]:
-    """property -> (value, important) of display and visibility; the last counts."""
-    return {m[1].lower(): (m[2].lower(), bool(m[3])) for m in _DECLARATION.finditer(text)}
+    """property -> (value, important) of display and visibility; the last counts, but for important ones."""
+    out: dict[str, tuple[str, bool]] = {}
+    low = text.lower()
+    if "display" not in low and "visibility" not in low:
+        return out
+    for part in _split(_without_comments(text), ";"):
+        m = _DECLARATION.fullmatch(part)
+        if m and not (" " in m[2].strip() and "none" in m[2].lower().split()):
+            name, value, important = m[1].lower(), m[2].lower(), bool(m[3])
+            if important or not out.get(name, ("", False))[1]:
+                out[name] = (value, important)
+    return out
 
 
 def _applies(media: str) -> bool:
@@ -250,31 +291,40 @@ def _applies(media: str) -> bool:
 
 def _rules(css: str):
     """(selectors, body) of the rules that apply; blocks under other conditions are skipped whole."""
-    css = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", css, flags=re.S)
+    css = _without_comments(css).replace("<!--", " ").replace("-->", " ")
     at, open_ = 0, []  # open_: whether the rules of each block that is entered apply
-    for found in re.finditer(r"[{};]", css):
-        head = css[at : found.start()].strip()
-        at = found.end()
-        if found[0] == "{":
+    off = 0  # open blocks whose rules don't
+    for found in _CSS.finditer(css):
+        if not found[2] or found[2] not in "{};":
+            continue
+        if found[2] == "{":
+            head = css[at : found.start()].strip()
             media = _AT_MEDIA.match(head)
             nests = bool(media) or re.match(r"@(?:layer|supports|container|scope|starting-style)\b", head, re.I)
-            open_.append((head, _applies(media[1]) if media else bool(re.match(r"@layer\b", head, re.I)), bool(nests), at))
-        elif found[0] == "}" and open_:
-            head, _, nests, start = open_.pop()
-            if not nests and not head.startswith("@") and all(applies and nested for _, applies, nested, _ in open_):
+            applies = nests and (_applies(media[1]) if media else bool(re.match(r"@layer\b", head, re.I)))
+            open_.append((head, bool(applies), bool(nests), found.end()))
+            off += not applies
+        elif found[2] == "}" and open_:
+            head, applies, nests, start = open_.pop()
+            off -= not applies
+            if not nests and not head.startswith("@") and not off:
                 yield head, css[start : found.start()]
+        at = found.end()
 
 
 class _Selector:
-    """Compound selectors from the element outward: [(test, directly)]; None if it isn't of the known kinds."""
+    """Compound selectors from the outermost element inward, each with whether it stands directly below the one before."""
+
+    __slots__ = ("parts", "weight", "declared", "order")
 
     def __init__(self, parts: list, weight: tuple[int, int, int]):
         self.parts, self.weight = parts, weight
+        self.declared, self.order = {}, 0
 
     @classmethod
     def of(cls, text: str) -> _Selector | None:
         parts, weight, directly = [], [0, 0, 0], False
-        for piece in re.findall(r"\s*>\s*|\s+|(?:\[[^\]]*\]|[^\s>\[])+", text.strip()):
+        for piece in re.findall(r"\s*>\s*|\s+|(?:\[(?:\"[^\"]*\"|'[^']*'|[^\]])*\]|[^\s>\[])+", text.strip()):
             if not piece.strip() or piece.strip() == ">":
                 directly = bool(piece.strip())
                 continue
@@ -298,27 +348,13 @@ class _Selector:
                     weight[1] += 1
             parts.append((test, directly))
             directly = False
-        return cls(parts[::-1], tuple(weight)) if parts else None
+        return cls(parts, tuple(weight)) if parts else None
 
-    def key(self) -> tuple[str, str]:
-        """What an element must have for the selector to be tried."""
-        by = {kind: value for kind, value, _ in self.parts[0][0] if kind in ("tag", "class", "id")}
+    def key(self, i: int) -> tuple[str, str]:
+        """What an element must have for part i to be tried."""
+        by = {kind: value for kind, value, _ in self.parts[i][0] if kind in ("tag", "class", "id")}
         return next(((k, by[k]) for k in ("id", "class", "tag") if k in by), ("any", ""))
 
-    def matches(self, node: Node) -> bool:
-        if not _passes(node, self.parts[0][0]):
-            return False
-        at, directly = node.parent, self.parts[0][1]
-        for test, next_directly in self.parts[1:]:
-            while at is not None and not _passes(at, test):
-                if directly:
-                    return False
-                at = at.parent
-            if at is None:
-                return False
-            at, directly = at.parent, next_directly
-        return True
-
 
 def _passes(node: Node, test: list) -> bool:
     for kind, name, value in test:
@@ -337,63 +373,117 @@ def _passes(node: Node, test: list) -> bool:
 
 
 def _style_rules(sheets: list[tuple[str, str]]) -> dict[tuple[str, str], list]:
-    """key of a selector -> [(selector, declarations, order)] of the rules on display and visibility."""
+    """key -> [(selector, 0)]: the rules on display and visibility, by what their outermost part asks for."""
     found: dict[tuple, tuple] = {}  # the last rule of a selector with these declarations counts
     order = 0
     for media, css in sheets:
         for selectors, body in _rules(css) if _applies(media) else ():
             declared = _declared(body)
-            for text in selectors.split(",") if declared else ():
+            for text in _split(selectors, ",") if declared else ():
                 order += 1
                 found[text.strip(), tuple(declared.items())] = (text, declared, order)
     out: dict[tuple[str, str], list] = {}
     for text, declared, order in found.values():
         selector = _Selector.of(text)
         if selector:
-            out.setdefault(selector.key(), []).append((selector, declared, order))
+            selector.declared, selector.order = declared, order
+            out.setdefault(selector.key(0), []).append((selector, 0))
     return out
 
 
+class _Waiting:
+    """Parts of selectors whose beginning stands above the present element, by what they ask for."""
+
+    def __init__(self, rules: dict[tuple[str, str], list]):
+        self.rules = rules
+        self.below: dict[tuple[str, str], dict[tuple[int, int], tuple[_Selector, int]]] = {}
+
+    def matched(self, node: Node, direct: dict) -> tuple[list[_Selector], list, dict]:
+        """Selectors that end in the node, what waits below it from now on (to be taken back by ``leave``), and what waits for its children alone."""
+        ends, entered, children = [], [], {}
+        attrs = node.attrs
+        keys = [("any", ""), ("tag", node.tag)]
+        if "id" in attrs:
+            keys.append(("id", attrs["id"]))
+        if "class" in attrs:
+            keys += [("class", c) for c in dict.fromkeys(attrs["class"].split())]
+        done = set()
+        for key in keys:
+            for selector, i in (*self.rules.get(key, ()), *self.below.get(key, {}).values(), *direct.get(key, ())):
+                if (id(selector), i) in done or not _passes(node, selector.parts[i][0]):
+                    continue
+                done.add((id(selector), i))
+                if i + 1 == len(selector.parts):
+                    ends.append(selector)
+                    continue
+                following = selector.key(i + 1)
+                if selector.parts[i + 1][1]:
+                    children.setdefault(following, []).append((selector, i + 1))
+                else:
+                    entered.append((following, (id(selector), i + 1), (selector, i + 1)))
+        fresh = []
+        for key, name, part in entered:
+            waiting = self.below.setdefault(key, {})
+            if name not in waiting:
+                waiting[name] = part
+                fresh.append((key, name))
+        return ends, fresh, children
+
+    def leave(self, entered: list) -> None:
+        for key, name in entered:
+            del self.below[key][name]
+
+
+_NOWHERE: dict = {}
+
+
 def _set_visibility(root: Node, sheets: list[tuple[str, str]]) -> list[Node]:
     """Decide ``shown`` (display) and ``visible`` (visibility, inherited) of each node; the tables that are shown, outer ones first."""
     rules = _style_rules(sheets)
-    tables, stack = [], [(root, True, False)]
+    waiting = _Waiting(rules)
+    tables: list[Node] = []
+    stack: list = [(root, True, "", _NOWHERE)]
     while stack:
-        node, visible, outside = stack.pop()  # outside: in a drawing, where bare text isn't shown
+        node, visible, drawing, direct = stack.pop()  # drawing: svg or math around it, where bare text of svg isn't shown
+        if drawing is None:  # the element's end
+            waiting.leave(node)
+            continue
         attrs, tag = node.attrs, node.tag
-        node.shown = not (tag in NEVER or outside and tag in FOREIGN_HIDDEN)
+        node.shown = not (tag in NEVER or drawing and tag in FOREIGN_HIDDEN)
         if not node.shown:
             continue
         hidden = "hidden" in attrs or tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs
         best = {"display": ((False, (-1, 0, 0), 0), "none" if hidden else ""), "visibility": ((False, (-1, 0, 0), 0), "")}
+        entered, children = [], _NOWHERE
         if rules:
-            keys = [("any", ""), ("tag", tag), ("id", attrs.get("id", "")), *(("class", c) for c in dict.fromkeys(attrs.get("class", "").split()))]
-            for key in keys:
-                for selector, declared, order in rules.get(key, ()):
-                    if selector.matches(node):
-                        for name, (value, important) in declared.items():
-                            best[name] = max(best[name], ((important, selector.weight, order), value))
+            ends, entered, children = waiting.matched(node, direct)
+            for selector in ends:
+                for name, (value, important) in selector.declared.items():
+                    best[name] = max(best[name], ((important, selector.weight, selector.order), value))
         for name, (value, important) in _declared(attrs["style"]).items() if "style" in attrs else ():
             best[name] = max(best[name], ((important, (1 << 30, 0, 0), 0), value))
         node.shown = best["display"][1] != "none"
         if best["visibility"][1] in ("visible", "hidden", "collapse"):
             visible = best["visibility"][1] == "visible"
-        inside = tag == "svg" or tag == "math" or outside and tag not in ("text", "foreignobject")
-        drawn = tag == "svg" or outside and tag not in ("text", "foreignobject") and not _in_math(node)
-        node.visible = visible and not drawn
-        if node.shown:
-            if tag == "table":
-                tables.append(node)
-            stack += [(c, visible, inside) for c in reversed(node.children) if not isinstance(c, str)]
+        text_of_svg = tag in ("text", "foreignobject")
+        within = tag if tag in FOREIGN else "" if text_of_svg else drawing
+        node.visible = visible and within != "svg"
+        if not node.shown:
+            waiting.leave(entered)
+            continue
+        if tag == "table":
+            tables.append(node)
+        if entered:
+            stack.append((entered, True, None, _NOWHERE))
+        below = [c for c in node.children if not isinstance(c, str)]
+        if tag == "details" and "open" not in attrs:
+            first = next((c for c in below if c.tag == "summary"), None)
+            node.children = [first] if first is not None else []
+            below = node.children
+        stack += [(c, visible, within, children) for c in reversed(below)]
     return tables
 
 
-def _in_math(node: Node) -> bool:
-    while node is not None and node.tag not in FOREIGN:
-        node = node.parent
-    return node is not None and node.tag == "math"
-
-
 # --- layout ---------------------------------------------------------------------
 
 
@@ -406,8 +496,9 @@ class _Lines:
         self.space = False
         self.gap = False  # an empty line is due before the next text
         self.breaks = 0  # empty lines that breaks ask for
-        self.indent: list[str] = []
-        self.first: list[str] = []  # the same with the marks of list items that no text has followed yet
+        self.widths = [0]  # blanks that each level indents, with those around it
+        self.marks: list[str | None] = []  # of each level, of list items
+        self.settled = 0  # levels that text has followed already
 
     def text(self, data: str, pre: bool) -> None:
         if pre:
@@ -431,8 +522,8 @@ class _Lines:
                 self.done.append("")
             self.done += [""] * self.breaks
             self.gap, self.breaks = False, 0
-            self.line.append("".join(self.first))
-            self.first = list(self.indent)
+            self.line.append(" " * self.widths[self.settled] + "".join(m if m is not None else " " * (self.widths[i + 1] - self.widths[i]) for i, m in enumerate(self.marks[self.settled :], self.settled)))
+            self.settled = len(self.marks)
         elif self.space:
             self.line.append(" ")
         self.line.append(part)
@@ -457,12 +548,13 @@ class _Lines:
         self.gap = self.gap or spaced
 
     def enter(self, indent: str, mark: str | None = None) -> None:
-        self.indent.append(indent)
-        self.first.append(indent if mark is None else mark)
+        self.widths.append(min(self.widths[-1] + len(indent), MAX_INDENT))
+        self.marks.append(mark)
 
     def leave(self) -> None:
-        self.indent.pop()
-        self.first.pop()
+        self.widths.pop()
+        self.marks.pop()
+        self.settled = min(self.settled, len(self.marks))
 
     def block(self, lines: list[str]) -> None:
         """Lines that are laid out already."""
@@ -597,31 +689,55 @@ def _table(table: Node) -> list[str]:
             rows.append(row)
     grid = _grid(rows)
     width: dict[int, int] = {}  # of the columns where cells begin
+    text = 0
     for cells in grid:
         for at, span, lines in cells:
             width[at] = max(width.get(at, 0), max(map(len, lines), default=0) if span == 1 else 0)
-    left, place = {}, 0
-    for at in sorted(width):
-        left[at] = place
-        place += width[at] + 2
+            text += sum(len(line) - line.count(" ") for line in lines) + 2
+    most, widest = PADDING * text, max(width.values(), default=0)
+    while True:  # widths are capped lower and lower until padding stays in proportion
+        left, place = {}, 0
+        for at in sorted(width):
+            left[at] = place
+            place += min(width[at], widest) + 2
+        if sum(_padding(cells, left) for cells in grid) <= most:
+            break
+        if not widest:
+            left = dict.fromkeys(width, 0)
+            break
+        widest //= 2
     for cells in grid:
-        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+        tallest = max((len(lines) for _, _, lines in cells), default=0)
+        placed: list[list[tuple[int, str]]] = [[] for _ in range(tallest)]
+        for at, _, lines in cells:
+            for i, line in enumerate(lines):
+                if line:
+                    placed[i].append((left[at], line))
+        for line in placed:
             parts, place = [], 0
-            for at, _, lines in cells:
-                if i >= len(lines) or not lines[i]:
-                    continue
-                if left[at] > place:
-                    parts.append(" " * (left[at] - place))
-                    place = left[at]
+            for start, part in line:
+                if start > place:
+                    parts.append(" " * (start - place))
+                    place = start
                 elif parts:  # a wide cell reached into this column
                     parts.append("  ")
                     place += 2
-                parts.append(lines[i])
-                place += len(lines[i])
+                parts.append(part)
+                place += len(part)
             out.append("".join(parts).rstrip())
     return out
 
 
+def _padding(cells: list[tuple[int, int, list[str]]], left: dict[int, int]) -> int:
+    """Blanks that a row's lines need at most if cells begin where ``left`` says."""
+    ends: dict[int, int] = {}  # line -> where its last cell begins
+    for at, _, lines in cells:
+        for i, line in enumerate(lines):
+            if line:
+                ends[i] = left[at]
+    return sum(ends.values())
+
+
 def render(html: str | None) -> str:
     if not html:
         return ""

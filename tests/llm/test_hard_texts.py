@@ -90,6 +90,37 @@ def test_pages(page):
     assert "deep" in html_text.render(page)
 
 
+def _styled(n):
+    return "<style>" + "".join(f".a{i} .b{{display:none}}" for i in range(n)) + "</style>" + "<p class=b>x" * n
+
+
+GROWING = {  # pages of n parts, and how many characters of text a part may give
+    "rules": (_styled, 10), "nav": (lambda n: "<style>nav div{display:block}</style><nav>" + "<div>" * n + "x" * n, 10), "child": (lambda n: "<style>div>div>div{display:block}</style>" + "<div>" * n + "x", 10),
+    "svg": (lambda n: "<svg>" + "<g>" * n + "<text>" + "x" * n, 10), "lists": (lambda n: "<ul><li>x" * n, 80), "marks": (lambda n: "<ol><li>" * n + "x", 10),
+    "long cell": (lambda n: "<table><tr><td>" + "y" * 20 * n + "<td>b" + "<tr><td>a<td>b" * n, 200), "stairs": (lambda n: "<table>" + "".join(f"<tr><td rowspan={n - i}>x<td colspan=1000>y" for i in range(n)), 40), "nested tables": (lambda n: "<table><tr><td>xxxxxx<td>" * min(n, 400), 200),
+}
+
+
+@pytest.mark.parametrize("name", sorted(GROWING))
+def test_pages_grow_in_proportion(name):
+    """Eight times the page takes less than 25 times the time (64 where it is quadratic), and gives text in proportion."""
+    import time
+
+    page, most = GROWING[name]
+    html_text.render(page(500))
+    took = []
+    for n in (2_000, 16_000):
+        start = time.process_time()
+        assert len(html_text.render(page(n))) <= most * n
+        took.append(time.process_time() - start)
+    assert took[1] < 25 * took[0] + 0.5
+
+
+def test_a_styled_page_of_megabytes():
+    page = _styled(120_000)
+    assert len(page) > 4_000_000 and html_text.render(page).count("x") == 120_000
+
+
 def test_batches_are_cut_by_bytes(spark):
     import pyarrow as pa
 

@@ -35,7 +35,18 @@ CASES = {
     "<nav><ul><li>n</ul></nav><div>d</div>": "- n\n\nd",
     "<a href='>'>q</a>": "q",
     "<textarea> a <b> </textarea>": " a <b>",
-    "<details><summary>s</summary>t</details><dialog>no</dialog><dialog open>yes</dialog>": "s\nt\nyes",
+    "<details><summary>s</summary>no</details><dialog>no</dialog><dialog open>yes</dialog>": "s\nyes",
+    "<details open>t<summary>s</summary>u</details><details>no</details>": "t\ns\nu",
+    "<div style='/*c*/display:none'>no</div><div style='x:\"a;display:none\";y:url(b;display:none)'>yes</div>": "yes",
+    "<style>.a{content:\"{\"} .b{display:none}</style><p class=b>no<p class=a>yes": "yes",
+    "<style>.a{background:url(x;display:none)} .c{content:'}'; display:none}</style><p class=a>yes<p class=c>no": "yes",
+    "<style>.a{display:none!important;display:block} .b{display:none;display:block}</style><p class=a>no<p class=b>yes": "yes",
+    "<style>.a{display:none block} .b[title='x]y']{display:none}</style><p class=a>yes<p class=b title='x]y'>no": "yes",
+    "<style>ul>li>b{display:none} .o i .p{display:none}</style><ul><li><b>no</b><i><b>yes</b></i></ul><div class=o><i><u><s class=p>no</s></u></i><s class=p>yes</s></div>": "- yes\n\nyes",
+    "<style>.o .p{display:none}</style><div class=o><div class=o><p class=p>no</div><p class=p>no</div><p class=p>yes": "yes",
+    "<style>@media print{.a{display:none}} @media screen{.b{display:none}}</style><p class=a>yes<p class=b>no": "yes",
+    "<svg><title>no</title>no<g><text>yes</text></g></svg><math><mi>x</mi></math><svg><math>m</math>no</svg>": "yesxm",
+    "<pre>\n\n a\n</pre><textarea>\n b</textarea>": "\n a\n\n b",
 }
 
 
