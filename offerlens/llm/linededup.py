@@ -53,7 +53,8 @@ def key_hashes(data: bytes) -> tuple[int, int]:
 
 def postings(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """doc_id, k1, k2: one row for each document and distinct key of at least ``min_chars`` code points."""
-    keys = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), key_of))
+    long_lines = F.regexp_extract_all("text", F.lit(f"[^\n]{{{max(1, min_chars)},}}"), F.lit(0))  # others can't have the characters; millions of line breaks make no array
+    keys = F.array_distinct(F.transform(long_lines, key_of))
     rows = docs.select("doc_id", F.explode(keys).alias("key")).where(F.char_length("key") >= min_chars)
     return rows.select("doc_id", F.xxhash64("key").alias("k1"), F.xxhash64(F.concat(F.lit("\x01"), "key")).alias("k2"))
 
@@ -200,7 +201,7 @@ def update_filters(current: DataFrame, added: DataFrame, removed: DataFrame, sha
 
 def probe(state: DataFrame, made: DataFrame, shards: int, salts: int) -> DataFrame:
     """Postings whose shard's filter holds their key."""
-    lines = state.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "k2"), F.lit(salts)).cast("int"))
+    lines = state.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))  # rows that share id and line are dealt as well
     dealt = made.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def ask(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -262,7 +263,7 @@ class Index:
         """doc_id, k1, k2 of the lines to drop."""
         salts = -(-max(1, self.postings.count()) // (PROBE_ROWS * self.shards))
         candidates = probe(self.postings, self.filters, self.shards, salts)
-        found = common.salted_lookup(candidates, self.dropped.select("k1", "k2", "keeper"), ["k1", "k2"], F.col("doc_id"), how="inner")
+        found = common.salted_lookup(candidates, self.dropped.select("k1", "k2", "keeper"), ["k1", "k2"], F.monotonically_increasing_id(), how="inner")
         return found.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "k1", "k2")
 
 
