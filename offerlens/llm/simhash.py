@@ -44,11 +44,11 @@ from . import common
 
 SEED = 42
 TILE = 4096
-CHECK_TILE = 256
-CHECK_SHINGLES = 65_536
-EARLY = 0.65
+CHECK_TILE = 16_384
+CHECK_SHINGLES = 2_000_000
 _CHUNK = 65_536
 _BLOCK = 1_000_000
+_PAIRS = 20_000
 
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -159,12 +159,11 @@ def _near(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray,
             continue
         lanes = a.shape[1]
         far = np.bitwise_count(a[mine, 0][:, None] ^ b[None, low:high, 0])
-        for k in range(1, min(lanes, 2)):
+        for k in range(1, min(lanes, 3)):
             far = far + np.bitwise_count(a[mine, k][:, None] ^ b[None, low:high, k])
-        # of more lanes, two drop nearly all pairs; those within the radius hold over 0.65 of it there with a chance below 1e-8
-        i, j = np.nonzero(far <= (radius if lanes < 3 else EARLY * radius))
+        i, j = np.nonzero(far <= radius)  # three lanes leave one in a hundred pairs of unlike texts, and any within the radius
         i, j = mine[i], j + low
-        if lanes > 2 and len(i):
+        if lanes > 3 and len(i):
             ok = np.bitwise_count(a[i] ^ b[j]).sum(1) <= radius
             i, j = i[ok], j[ok]
         if ratio and len(i):
@@ -201,10 +200,14 @@ class _Union:
 
     def add_checked(self, i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], ratio: float) -> None:
         """Adds those pairs whose sets are similar; pairs that are connected already need no check."""
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = self.find(a), self.find(b)
-            if x != y and similar(sets[a], sets[b], ratio):
-                self.label[max(x, y)] = min(x, y)
+        for at in range(0, len(i), _PAIRS):
+            root = self.roots()
+            a, b = i[at : at + _PAIRS], j[at : at + _PAIRS]
+            apart = root[a] != root[b]
+            for a, b in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+                x, y = self.find(a), self.find(b)
+                if x != y and similar(sets[a], sets[b], ratio):
+                    self.label[max(x, y)] = min(x, y)
 
     def roots(self) -> np.ndarray:
         while not np.array_equal(up := self.label[self.label], self.label):
@@ -278,7 +281,8 @@ def checked_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, shingle:
     """(u, v) with u > v: forests that connect all candidates whose sets of shingles have similarity ``ratio``.
 
     ``found`` (node, component), as from ``components``, says which candidates meet. A tile holds ``tile`` sets
-    or ``most`` shingles on average, so memory doesn't grow with a component.
+    or ``most`` shingles on average, so memory doesn't grow with a component; a component's sets are shipped once
+    for each of its tiles, so tiles are as large as a task can well hold.
     """
     names = [f"f{k}" for k in range(lanes)]
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())  # the smallest of each, too
@@ -319,10 +323,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for each row (_row), written to the shared folder so that all who read it see the same."""
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` with a number of its own for each row, written to the shared folder so that all who read it see the same."""
     path = common.shared_path(docs.sparkSession, "rows")
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -363,7 +367,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 80, lanes:
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 80, lanes: int = 4, parts: int = 0, size_ratio: float = 0.8) -> DataFrame:
     """One row of each group, that with the smallest doc_id (null is the largest), the first of the input among these; all columns stay."""
-    rows = numbered(docs)
-    found = _groups(rows, shingle, radius, lanes, parts, size_ratio)
-    gone = found.where(F.col("_least.row") != F.col("_row")).select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    name = next(x for k in range(len(taken) + 1) if (x := f"_row{k}") not in taken)
+    rows = numbered(docs, name)
+    found = _groups(rows.select("doc_id", "text", F.col(name).alias("_row")), shingle, radius, lanes, parts, size_ratio)
+    gone = found.where(F.col("_least.row") != F.col("_row")).select(F.col("_row").alias(name))
+    return rows.join(gone, name, "left_anti").select(*docs.columns)

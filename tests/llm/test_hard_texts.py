@@ -129,3 +129,29 @@ def test_batches_are_cut_by_bytes(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
     html_text.extract(spark.createDataFrame([(1, "<p>a")], "page_id long, html string")).collect()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == before
+
+
+def test_lines_of_megabytes_and_identical_rows(spark, docs_of):
+    """Op 9: millions of line breaks, one line of megabytes, and very many rows that share id and lines."""
+    from offerlens.llm import linededup
+
+    from test_linededup import brute, run
+
+    foot = "a footer of more than forty characters, the same in each"
+    rows = [(1, "\n" * SIZE), (2, "x" * SIZE), (3, "x" * SIZE + "\n" + foot), (4, ("x" * 60 + "\n") * (SIZE // 61))]
+    assert run(docs_of(rows)) == brute(rows)
+    same = [(None, f"{foot}\nmore")] * 20_000 + [(i, foot) for i in range(6)]
+    assert run(docs_of(same)) == brute(same)
+    assert linededup.postings(docs_of([(1, "é" * 40 + "\n" + "é" * 39 + "\n  " + "y" * 39)])).count() == 1
+
+
+def test_pages_and_sizes_of_megabytes(spark, docs_of):
+    """Ops 3 and 7."""
+    from offerlens.llm import mixing, warc
+
+    pages = spark.createDataFrame([(1, "u", "<p>" + "x" * SIZE), (2, "u", "<p>" + "x" * SIZE), (3, None, "\n" * SIZE)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {1: (SIZE + 3, "revisit", 2), 2: (SIZE + 3, "response", None), 3: (SIZE, "response", None)}
+    docs = docs_of([(1, "word " * (SIZE // 5)), (2, " " * SIZE), (3, "one", "en", "t")])
+    sizes = {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()}
+    assert sizes == {1: SIZE // 5, 2: 0, 3: 1}

@@ -91,3 +91,18 @@ def test_run_and_empty_documents(spark, sf, docs_of):
     empty = docs_of([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "unused").count() == 0
+
+
+def test_columns_with_any_names_come_through(spark, docs_of):
+    """Names that operators use themselves keep their values through all filtering stages."""
+    from pyspark.sql import functions as F
+
+    docs = docs_of([r for r in texts() if r[0] < 20 or r[0] >= 100])
+    own = ("_row", "_row0", "_drop", "_doc", "n_lines", "n_dropped", "_least", "kept", "node", "component", "digest", "_salt", "base_failed", "taken", "a b")
+    for c in own:
+        docs = docs.drop(c).withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, "unused")
+        assert docs.columns == names
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in docs.collect() for c in own)

@@ -154,3 +154,27 @@ def test_stage_keeps_one_row_of_repeated_ids(docs_of):
     text = "a text of quite some words that five rows of several kinds hold alike"
     kept = simhash.keep_one(docs_of([(2, text), (1, text), (None, text), (1, text), (None, text), (None, "another text entirely that nobody shares at all"), (None, "another text entirely that nobody shares at all")])).collect()
     assert sorted((r["doc_id"] or 0, r["text"][:2]) for r in kept) == [(0, "an"), (1, "a ")]
+
+
+def test_sets_are_shipped_about_once(spark, docs_of, monkeypatch):
+    """One component of thousands: twice the documents ship about twice the rows to the exact check."""
+    shipped, real = [], simhash._forests
+    monkeypatch.setattr(simhash, "_forests", lambda pairs, names, radius, ratio: shipped.append(pairs.selectExpr("sum(size(rows_a) + coalesce(size(rows_b), 0)) AS n").first()["n"] or 0) or real(pairs, names, radius, ratio))
+    base = [f"w{i}" for i in range(60)]
+    for n in (1500, 3000):
+        rows = [(i, " ".join([*base[: i % 60], f"x{i}", *base[i % 60 + 1 :]])) for i in range(n)]
+        assert simhash.near_duplicates(docs_of(rows)).select("component_id").distinct().count() >= 1
+    small, large = shipped[1::2]
+    assert small and large <= 2.3 * small
+
+
+def test_no_pair_within_the_radius_is_skipped():
+    """Four lanes: what the first three let through are all pairs within the radius."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 2**63, (300, 4), dtype=np.int64).astype(np.uint64)
+    b = a[rng.integers(0, 300, 400)] ^ (np.uint64(1) << rng.integers(0, 63, (400, 4)).astype(np.uint64))
+    for _ in range(30):  # up to 124 further bits, some all in one lane
+        b[:, rng.integers(0, 4)] ^= np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)
+    want = {(i, j) for i in range(300) for j in range(400) if int(np.bitwise_count(a[i] ^ b[j]).sum()) <= 80}
+    got = {(int(x), int(y)) for i, j in simhash._near(a, b, np.ones(300), np.ones(400), 80, None) for x, y in zip(i, j)}
+    assert want and got == want
