@@ -19,31 +19,41 @@ from offerlens.llm.queries import tokenizer_path
 from offerlens.session import ship
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Other columns under names that no stage uses, and the names to give back."""
+    own = ("doc_id", "text", "n_chars", "source")
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in own else f"_other{i}") for i, c in enumerate(docs.columns)]), docs.columns
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the repetition limits."""
     ship(spark)
-    return quality.kept_documents(docs)
+    plain, names = _apart(docs)
+    return quality.kept_documents(plain).select(*plain.columns).toDF(*names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that five documents or more share, but in their keeper; n_chars follows."""
     ship(spark)
-    done = linededup.dedup(docs)
+    plain, names = _apart(docs)
+    done = linededup.dedup(plain)
     chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", chars).select(*docs.columns)
+    return done.withColumn("n_chars", chars).select(*plain.columns).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that near copies connect, with the smallest doc_id: five-word shingles, Jaccard similarity 0.8 or more."""
     ship(spark)
-    return simhash.keep_one(docs)
+    plain, names = _apart(docs)
+    return simhash.keep_one(plain).toDF(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, range-sorted by training position."""
     ship(spark)
-    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
-    return mixing.ordered(mixing.mix(whole, keep=["_row"])).select("_row.*")
+    plain, names = _apart(docs)
+    whole = plain.select("doc_id", "source", "text", F.struct(*plain.columns).alias("_row"))
+    return mixing.ordered(mixing.mix(whole, keep=["_row"])).select("_row.*").toDF(*names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
