@@ -119,3 +119,16 @@ def test_fingerprint_and_tokens(spark):
     none = F.lit(None).cast("string")
     assert df.select(tx.tokens("n", "n", "c", "k", none)).first()[0] == ["pikachu", "pikachu", "svp", "214"]
     assert [r[0] for r in df.select(tx.display_key("n", none, "c", "k", none, F.lit("t" * 90))).collect()] == [" Pikachu  | svp | 214", "t" * 80]
+
+
+def test_folded_words_are_found_as_any_of_them(spark):
+    import random
+
+    from offerlens.operators import prefilter
+
+    rng = random.Random(1)
+    words = ("tin", "t-shirt", "tshirt", "top loader", "toploader", "etb", "display", "display box", "a.b", "é+", "lot de", "lot")
+    texts = ["".join(rng.choice([*words, "t", "di", " ", "ab", "e", "lo", "-", "é"]) for _ in range(rng.randint(0, 6))) for _ in range(3000)]
+    texts = [x[: rng.randint(0, len(x))] for x in texts]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select(prefilter.contains_any(F.col("x"), words).alias("hit")).collect()
+    assert [r["hit"] for r in got] == [any(w in x for w in words) for x in texts]
