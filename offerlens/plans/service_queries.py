@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators import prefilter
+from ..operators import prefilter, rolling
 from ..session import shared_folder
 from ..sources import sinks
 from ..streaming import reviews
@@ -141,3 +141,20 @@ def q_service(spark, sf_dir):
         service = Service(spark, f"{folder}/state", decisions.LEXICON, decisions._tables(spark, sf_dir), buckets=16)
         service.run(spark.readStream.schema(rows.schema).parquet(f"{folder}/landed")).awaitTermination()
     return spark.read.option("basePath", f"{folder}/state/results").parquet(f"{folder}/state/results/*").select("listing_id", "channel", "verdict", "source")
+
+
+@query("""WITH g AS (SELECT event_type AS failure_step, json_extract(props, '$.k')::INT % 7 AS code, count(*)::BIGINT AS n, count(*) FILTER (WHERE value > 50)::BIGINT AS good, count(*) FILTER (WHERE value <= 50)::BIGINT AS bad, arg_max(user_id, event_id) AS last_user FROM events GROUP BY ALL)
+SELECT failure_step, code, n, good::DOUBLE / (good + bad) AS ratio, last_user, n::DOUBLE / sum(n) OVER (PARTITION BY failure_step) AS share FROM g""")
+def q_rolling_counters(spark, sf_dir):
+    """Counts, success ratios, latest values and shares kept up over four batches, the third of them repeated."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.col("event_type").alias("failure_step"), (F.get_json_object("props", "$.k").cast("int") % 7).alias("code"))
+    kept = rolling.Rolling(
+        ["failure_step", "code"], {"n": F.lit(1).cast("long"), "good": F.when(F.col("value") > 50, 1).otherwise(0).cast("long"), "bad": F.when(F.col("value") <= 50, 1).otherwise(0).cast("long")},
+        {"last_user": (F.col("user_id"), [F.col("event_id")])},
+    )
+    held = kept.state(events, shared_folder(spark, "rolling"), buckets=8)
+    for batch in (0, 1, 2, 2, 3):
+        kept.add(held, events.where(F.col("event_id") % 4 == batch), batch)
+    now = kept.values(held)
+    of_step = now.groupBy("failure_step").agg(F.sum("n").alias("_all"))
+    return now.join(of_step, "failure_step").select("failure_step", "code", "n", rolling.success_ratio().alias("ratio"), "last_user", (F.col("n") / F.col("_all")).alias("share"))

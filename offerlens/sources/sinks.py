@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,7 +109,8 @@ class BucketedState:
     def touched(self, rows: DataFrame) -> list[int]:
         return sorted(r["_bucket"] for r in self._of(rows).select("_bucket").distinct().collect())  # as many as there are buckets, at most
 
-    def _change(self, rows: DataFrame, merged) -> list[int]:
+    def change(self, rows: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """What ``merged`` makes of the touched buckets' rows and ``rows``, which share their keys; the buckets that were written."""
         rows = checkpointed(rows)
         buckets = self.touched(rows)
         if not buckets:
@@ -124,8 +126,8 @@ class BucketedState:
 
     def upsert(self, rows: DataFrame, order: list[str]) -> list[int]:
         """Rows take the place of those with their key, the last by ``order`` of several; the buckets that were written."""
-        return self._change(rows, lambda old, new: state.upsert(old, new, self.keys, order))
+        return self.change(rows, lambda old, new: state.upsert(old, new, self.keys, order))
 
     def delete(self, rows: DataFrame) -> list[int]:
         """Without the keys of ``rows``."""
-        return self._change(rows.select(*self.keys).distinct(), lambda old, gone: old.join(gone, self.keys, "left_anti"))
+        return self.change(rows.select(*self.keys).distinct(), lambda old, gone: old.join(gone, self.keys, "left_anti"))

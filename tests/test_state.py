@@ -138,3 +138,30 @@ def test_feedback(spark):
     asked = spark.createDataFrame([("10", None), ("slug", "Old")], "product_id string, set_name string")
     known = feedback.expansion_ids(asked, spark.createDataFrame([(10, 3)], "id_product long, id_expansion long"), current)
     assert pairs(known, "id_expansion") == [(3,), (7,)]
+
+
+def test_rolling_sums_equal_a_recount_however_batches_are_cut(spark, tmp_path):
+    import random
+
+    from offerlens.operators.rolling import Rolling, success_ratio
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 3), rng.choice([True, False]), rng.choice([None, "x", "y", "z"]), i, round(rng.random(), 3)) for i in range(120)]
+    schema = "step string, code int, ok boolean, name string, at long, amount double"
+    df = spark.createDataFrame(rows, schema)
+    kept = Rolling(["step", "code"], {"good": F.when(F.col("ok"), 1).otherwise(0).cast("long"), "bad": F.when(F.col("ok"), 0).otherwise(1).cast("long"), "amount": F.col("amount")}, {"name": (F.col("name"), [F.col("at")])})
+    want = {}
+    for step, code, ok, name, _, amount in rows:
+        w = want.setdefault((step, code), [0, 0, 0.0, None])
+        w[0 if ok else 1] += 1
+        w[2] = round(w[2] + amount, 3)
+        w[3] = name if name is not None else w[3]
+    for cut in range(2):
+        cuts = sorted(rng.sample(range(1, 120), 3))
+        held = kept.state(df, f"{tmp_path.as_uri()}/{cut}", buckets=3)
+        for batch, (a, b) in enumerate(zip([0, *cuts], [*cuts, 120])):
+            for _ in range(1 + (batch == 1)):  # one batch is repeated
+                kept.add(held, df.where((F.col("at") >= a) & (F.col("at") < b)), batch)
+        got = {(r["step"], r["code"]): [r["good"], r["bad"], round(r["amount"], 3), r["name"]] for r in kept.values(held).collect()}
+        assert got == want
+    assert spark.createDataFrame([(3, 1), (0, 0)], "good long, bad long").select(success_ratio().alias("r")).collect() == [(0.75,), (None,)]
