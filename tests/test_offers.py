@@ -286,3 +286,19 @@ def test_stream_equals_batch_and_resumes(spark, shop, tmp_path):
 def test_tokens_are_kept_twice(spark):
     none = F.lit(None).cast("string")
     assert spark.range(1).select(tx.tokens(F.lit("A a"), none, none, none, none)).first()[0] == ["a", "a"]
+
+
+def test_fuzzy_query_against_all_pairs(spark):
+    """The whole query on the smallest tables: every title against every mapping, scored one by one."""
+    from offerlens.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [r.asDict() for r in queries._mapping_rows(spark, sf).collect()]
+    stored = [{**r, "title": f"{r['collector_number']} {r['set_code']} {r['card_name']} NM", "fingerprint": r["fingerprint"] if r["p_partkey"] % 2 == 0 else None} for r in rows]
+    want = {}
+    for a in rows:
+        best = min((-brute_score(a, b), b["p_partkey"]) for b in stored)
+        if -best[0] >= 80:
+            want[str(a["p_partkey"])] = (best[1], pytest.approx(-best[0]))
+    got = {r["listing_id"]: (r["mapping_id"], r["score"]) for r in queries.q_fuzzy_resolve(spark, sf).collect()}
+    assert len(got) > 50 and got == want
