@@ -98,63 +98,56 @@ def _with_rarest(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.drop("tokens").join(ordered.select("row", F.col("_all._t").alias("tokens")), "row", "left")
 
 
-def _letters(text: Column, least: float) -> Column:
-    """So many of a text's letters (numbered where they repeat, the rarest first) that a text of a ratio of ``least`` has one of them too."""
-    letters = F.split(text, "")
-    numbered = F.transform(letters, lambda x, i: F.struct(F.position(x, F.lit(_COMMON)).alias("c"), F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")).alias("x")))
-    size = F.char_length(text)
-    most = F.greatest(size - F.ceil(size * least / (2 - least) - _EPS).cast("int") + 1, F.lit(0))
-    return F.when(size > 0, F.transform(F.slice(F.array_sort(numbered), F.lit(1), most), lambda s: s["x"])).otherwise(F.array().cast("array<string>"))
+def _letters(text: str) -> Column:
+    """A text's letters, numbered where they repeat, the rarest first."""
+    return F.expr(f"""transform(array_sort(transform(split({text}, ''), (x, i) -> struct(position(x, '{_COMMON}') AS c, x, size(filter(slice(split({text}, ''), 1, i + 1), y -> y = x)) AS n))), s -> concat(s.x, s.n))""")
 
 
-def _rarest(least: float) -> Column:
-    """So many of a row's tokens that a row of that overlap shares one of them."""
-    most = F.greatest(F.size("tokens") - F.ceil(F.col("size") * least - _EPS).cast("int") + 1, F.lit(0))
-    return F.when(F.size("tokens") > 0, F.slice("tokens", F.lit(1), most)).otherwise(F.array().cast("array<string>"))
-
-
-def _signatures(rows: DataFrame, side: str, threshold: float, bare_a: bool, bare_b: bool) -> DataFrame:
-    """row, signature: listings (side a) and mappings (b) that may reach the threshold together share one. ``bare_a``, ``bare_b``: listings or mappings without tokens exist."""
-    has = {"number": F.col("number").isNotNull(), "code": F.col("code").isNotNull()}
-    tokenless = F.coalesce(F.size("tokens"), F.lit(0)) <= 0
-
-    def applies(name: str, how: str) -> Column:
-        if how in (_EQUAL, _DIFFERENT):
-            return has[name]
-        lacking = "a" if how == _NOT_IN_A else "b"
-        if side == lacking:
-            return ~has[name]
-        return F.lit(True) if how == _NOT_IN_A else has[name]
-
-    found = []  # (condition, kind, key columns, array of further keys)
-    empty_key = F.array(F.lit(""))
+def _variants(threshold: float, side: str, bare_a: bool, bare_b: bool) -> list[tuple]:
+    """The ways in which a row of this side can match: kind, whether number and code are part of the key, whether each must be there (null: either), which text gives further keys, what that needs, and whether tokens and a title must be there."""
+    there = {"a": {_EQUAL: True, _DIFFERENT: True, _NOT_IN_A: False, _NOT_IN_B: True}, "b": {_EQUAL: True, _DIFFERENT: True, _NOT_IN_A: None, _NOT_IN_B: False}}[side]
+    out = [("fp", False, False, None, None, "fp", 0.0, None, None)]
     for number, code in product((_EQUAL, _DIFFERENT, _NOT_IN_A, _NOT_IN_B), repeat=2):
-        here = applies("number", number) & applies("code", code)
-        keys = [F.col(n) for n, how in (("number", number), ("code", code)) if how == _EQUAL]
         kind, overlap = number + code, needed_overlap(threshold, number, code)
-        if keys and (overlap <= 0 or len(keys) == 2):
-            found.append((here, kind, keys, empty_key))
+        begin = (number == _EQUAL, code == _EQUAL, there[number], there[code])
+        equal = begin[0] + begin[1]
+        if equal == 2 or equal and overlap <= 0:
+            out.append((kind, *begin, "none", 0.0, None, None))
             continue
         if overlap <= 1:
-            found.append((here, f"{kind}t", keys, _rarest(overlap)))
-        # Without tokens in the listing, or in the mapping only.
-        for lacking in (("a",) if bare_a else ()) + (("b",) if bare_b else ()):
-            mine = here & (tokenless if side == lacking else F.lit(True) if lacking == "a" else ~tokenless)
-            if keys:
-                found.append((mine, f"{kind}n{lacking}", keys, empty_key))
+            out.append((f"{kind}t", *begin, "tokens", overlap, True, None))
+        for lacking in "a" * bare_a + "b" * bare_b:  # without tokens in the listing, or in the mapping only
+            tokens = False if side == lacking else None if lacking == "a" else True
+            if equal:
+                out.append((f"{kind}n{lacking}", *begin, "none", 0.0, tokens, None))
                 continue
-            for text, needed, titled in (("title", needed_title(threshold, number, code), True), ("name", needed_name(threshold, number, code), False)):
+            for text, needed in (("title", needed_title(threshold, number, code)), ("name", needed_name(threshold, number, code))):
                 if needed <= 1:
-                    letters = _letters(F.array_join(F.array_sort(F.filter(F.split("title", _SPACE), lambda w: w != "")), " ") if titled else F.col("name"), needed)
-                    there = (F.col("title") != "") | F.lit(side == "a") if titled else (F.col("name") != "") & ((F.col("title") == "") | F.lit(side == "a"))
-                    found.append((mine & there, f"{kind}{lacking}{text}", keys, letters))
-    found.append((F.col("fp").isNotNull(), "fp", [F.col("fp")], empty_key))
+                    out.append((f"{kind}{lacking}{text}", *begin, text, needed, tokens, None if side == "a" else text == "title"))
+    return out
 
-    def hashed(on: Column, kind: str, keys: list[Column], more: Column) -> Column:
-        return F.when(F.coalesce(on, F.lit(False)), F.transform(more, lambda m: F.xxhash64(F.lit(kind), *keys, m))).otherwise(F.array().cast("array<bigint>"))
 
-    each = [hashed(*x) for x in found]
-    return rows.select("row", F.explode(F.array_distinct(F.concat(*each))).alias("signature"))
+_VARIANT = "kind string, by_number boolean, by_code boolean, with_number boolean, with_code boolean, further string, needed double, with_tokens boolean, with_title boolean"
+
+
+def _signatures(rows: DataFrame, side: str, threshold: float, bare_a: bool, bare_b: bool) -> DataFrame:
+    """row, signature: listings (side a) and mappings (b) that may reach the threshold together share one. ``bare_a``, ``bare_b``: listings or mappings without tokens exist."""
+    variants = rows.sparkSession.createDataFrame(_variants(threshold, side, bare_a, bare_b), _VARIANT)
+    if bare_a or bare_b:
+        rows = rows.withColumn("sorted_title", F.array_join(F.array_sort(F.filter(F.split("title", _SPACE), lambda w: w != "")), " "))
+        rows = rows.withColumn("of_title", _letters("sorted_title")).withColumn("of_name", _letters("name")).drop("sorted_title")
+    else:
+        rows = rows.withColumn("of_title", F.array().cast("array<string>")).withColumn("of_name", F.array().cast("array<string>"))
+    # So many of the rarest that a row (or a text) of the likeness needed has one of them too.
+    of_tokens = "slice(tokens, 1, greatest(size(tokens) - int(ceil(size * needed - 1e-9)) + 1, 0))"
+    of_text = "slice({0}, 1, greatest(size({0}) - int(ceil(size({0}) * needed / (2 - needed) - 1e-9)) + 1, 0))"
+    keys = F.expr(f"""CASE further WHEN 'tokens' THEN {of_tokens} WHEN 'title' THEN IF(title = '', array(), {of_text.format("of_title")}) WHEN 'name' THEN IF(name = '', array(), {of_text.format("of_name")})
+                      WHEN 'fp' THEN IF(fp IS NULL, array(), array(fp)) ELSE array('') END""")
+    fits = F.expr("""(with_number IS NULL OR with_number = (number IS NOT NULL)) AND (with_code IS NULL OR with_code = (code IS NOT NULL))
+                     AND (with_tokens IS NULL OR with_tokens = (coalesce(size(tokens), 0) > 0)) AND (with_title IS NULL OR with_title = (title <> ''))""")
+    each = rows.crossJoin(F.broadcast(variants)).where(fits)  # some thirty rows, by how they are made
+    each = each.select("row", "kind", F.expr("IF(by_number, number, NULL)").alias("n"), F.expr("IF(by_code, code, NULL)").alias("c"), F.explode(keys).alias("key"))
+    return each.select("row", F.xxhash64("kind", "n", "c", "key").alias("signature")).distinct()
 
 
 def blocked_pairs(listings: DataFrame, mappings: DataFrame, threshold: float = 80.0) -> DataFrame:
@@ -163,8 +156,9 @@ def blocked_pairs(listings: DataFrame, mappings: DataFrame, threshold: float = 8
         raise ValueError(f"a threshold must be above {LOWEST_THRESHOLD:.2f}, not {threshold}: any two rows might reach it")
     a, b = _prepared(listings, "listing_id"), _prepared(mappings, "id")
     counts = b.select(F.explode("tokens").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_count"))
-    bare = lambda df: bool(df.where(F.size("tokens") == 0).take(1))
-    bare_a, bare_b = bare(a), bare(b)
+    bare = lambda df, side: df.where(F.size("tokens") == 0).select(F.lit(side).alias("side")).limit(1)
+    sides = {r["side"] for r in bare(a, "a").unionByName(bare(b, "b")).collect()}
+    bare_a, bare_b = "a" in sides, "b" in sides
     x = _signatures(_with_rarest(a, counts), "a", threshold, bare_a, bare_b).withColumnRenamed("row", "listing_id")
     y = checkpointed(_signatures(_with_rarest(b, counts), "b", threshold, bare_a, bare_b).withColumnRenamed("row", "id"))
     hot = checkpointed(y.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SIGNATURE))
@@ -176,17 +170,17 @@ def blocked_pairs(listings: DataFrame, mappings: DataFrame, threshold: float = 8
     return x.join(y, "signature").select("listing_id", "id").distinct()
 
 
-_CLASSES = [*"abcdefghijklmnopqrstuvwxyz", "01", "23", "45", "67", "89"]
+_CLASSES = ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx", "yz", "01234", "56789")
 
 
-def _letter_counts(text: Column) -> Column:
-    """How many of each class of characters a text has, the last for all others."""
-    each = [F.char_length(text) - F.char_length(F.translate(text, c, "")) for c in _CLASSES]
-    return F.array(*each, F.char_length(F.translate(text, "".join(_CLASSES), "")))
+def _letter_counts(text: str) -> Column:
+    """How many of each class of characters a text (a column's name) has, the last for all others."""
+    each = ", ".join(f"char_length({text}) - char_length(translate({text}, '{c}', ''))" for c in _CLASSES)
+    return F.expr(f"array({each}, char_length(translate({text}, '{''.join(_CLASSES)}', '')))")
 
 
 def _shared(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
 
 
 def _ratio_cap(shared: Column, size: Column, blanks: Column | int = 0) -> Column:
@@ -198,10 +192,11 @@ def scored(pairs: DataFrame, listings: DataFrame, mappings: DataFrame, least: fl
     """pairs with ``score`` and the mapping's columns; with ``least``, pairs that can't reach it may be left out unscored."""
     dense = lambda c: F.regexp_replace(c, _SPACE, "")
     keys = [_title().alias("title"), _name().alias("name"), _number().alias("number"), _code().alias("code"), F.nullif(F.col("fingerprint"), F.lit("")).alias("fp"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")]
-    caps = [_letter_counts(dense(_title())).alias("title_letters"), _letter_counts(_name()).alias("name_letters"), F.size(F.split(_title(), _SPACE)).alias("words")]
+    caps = [_letter_counts("dense").alias("title_letters"), _letter_counts("name").alias("name_letters"), F.size(F.split("title", _SPACE)).alias("words")]
 
     def side(df: DataFrame, prefix: str, key: str, *more: str) -> DataFrame:
-        own = df.select(key, *more, *keys, *caps)
+        own = df.select(key, *more, *keys).withColumn("dense", dense("title"))
+        own = own.select(*own.columns, *caps).drop("dense")
         return own.select(key, *more, *[F.col(c).alias(f"{prefix}_{c}") for c in own.columns if c not in (key, *more)])
 
     df = pairs.join(side(listings, "a", "listing_id"), "listing_id").join(side(mappings, "b", "id", "url", "product_name", "confidence", "date_added"), "id")
@@ -218,7 +213,7 @@ def scored(pairs: DataFrame, listings: DataFrame, mappings: DataFrame, least: fl
         ])
 
     if least is not None:
-        size = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+        size = lambda c: F.expr(f"aggregate({c}, 0, (s, x) -> s + x)")
         title = _ratio_cap(_shared("a_title_letters", "b_title_letters"), size("a_title_letters") + size("b_title_letters"), F.least("a_words", "b_words"))
         name = _ratio_cap(_shared("a_name_letters", "b_name_letters"), size("a_name_letters") + size("b_name_letters"))
         df = df.where(total(title, name) >= least - 1e-6)
