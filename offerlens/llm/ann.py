@@ -9,7 +9,7 @@ are merged and ranked by their exact distance in double precision. Queries with
 too few candidates search all blocks of the index instead.
 
 Scale: few tables with many probes, since each table shuffles every vector once (in
-its own precision); equal vectors are one entry with their k+1 smallest ids (no query
+its own precision), unless there are more than ``MOST_HOT`` hot buckets; equal vectors are one entry with their k+1 smallest ids (no query
 needs more), combined before any shuffle. Buckets are packed into tiles of ``TILE``
 vectors and hot buckets are dealt over many, so are probes; a task keeps the best
 k+1 ids of each query, not its candidates. The slot width is fitted: the true neighbours
@@ -41,6 +41,8 @@ TABLES, HASHES, PROBES = 4, 6, 60
 RECALL = 0.94
 SAMPLE = 256
 TILE = 2048
+#: Hot buckets that are broadcast; with more, rows are shuffled to meet them.
+MOST_HOT = 100_000
 #: Vectors hashed at a time: each query becomes as many rows as it has probes.
 PART = 256
 
@@ -212,11 +214,18 @@ def _tiled(rows: DataFrame, spread: str, columns: list[str], name: str) -> tuple
     """Buckets packed into arrays of about TILE rows, and how many tiles each hot bucket has."""
     hot = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
     hot = common.checkpointed(hot.select("t", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    dealt = common.salted_lookup(rows, hot, ["t", "key"], F.col(spread))
+    dealt = _with_tiles(rows, hot, F.col(spread))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64(F.col(spread), F.lit(7)), F.coalesce("tiles", F.lit(1))).cast("int"))
     return dealt.groupBy("t", "key", "tile").agg(F.collect_list(F.struct(*columns)).alias(name)), hot
 
 
+def _with_tiles(rows: DataFrame, hot: DataFrame, spread: Column) -> DataFrame:
+    """``rows`` with the number of tiles of their bucket, null but for hot ones; up to MOST_HOT of them, rows stay where they are."""
+    if hot.count() <= MOST_HOT:
+        return rows.join(F.broadcast(hot), ["t", "key"], "left")
+    return common.salted_lookup(rows, hot, ["t", "key"], spread)
+
+
 def _best(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k+1 nearest ids of each query, ties to the smaller; an id is as near as its nearest row."""
     for most in (1, k + 1):  # of each id, then of each query
@@ -236,7 +245,7 @@ def _search(index: DataFrame, asked: DataFrame, kind: str, k: int) -> DataFrame:
     """(qid, vec_id, distance): for each query the k+1 nearest ids in the buckets that it shares."""
     tiles, hot = _tiled(index, "rid", ["v", "ids"], "entries")
     probes, _ = _tiled(asked, "qid", ["qid", "v"], "queries")
-    probes = probes.select("t", "key", "queries").join(hot, ["t", "key"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).drop("tiles")
+    probes = _with_tiles(probes.select("t", "key", "queries"), hot, F.col("key")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).drop("tiles")
     pairs = probes.join(tiles, ["t", "key", "tile"]).select("queries", "entries")
 
     def batch_of(held):

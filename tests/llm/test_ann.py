@@ -134,3 +134,14 @@ def test_slot_width_follows_the_scale_of_the_vectors():
     assert ann.slot_width(x * 1e6, y * 1e6, of, 30, 2, 6, 0.9) == pytest.approx(width * 1e6, rel=0.05)
     assert ann.slot_width(x, x[of], of, 30, 2, 6, 0.9) == 1.0  # no distances, as of no neighbours
     assert ann.slot_width(x, y[:0], of[:0], 30, 2, 6, 0.9) == 1.0
+
+
+def test_more_hot_buckets_than_are_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(size=4) * (0.01 if i % 2 else 1)).tolist(), 0) for i in range(300)]
+    monkeypatch.setattr(ann, "TILE", 16)
+    got = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(ann, "MOST_HOT", most)
+        got.append(sorted(map(tuple, ann.nearest(table(spark, rows), F.col("vec_id") % 10 == 0, 5).collect())))
+    assert got[0] == got[1] and len(got[0]) == 30 * 5
