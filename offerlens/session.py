@@ -30,20 +30,32 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share (``spark.checkpoint.dir``); made up only where all runs in this process."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    It is only made up where it is unset and Spark runs in this one process, as
+    in tests; on a cluster a machine-local folder would lose data.
+    """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="offerlens-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    known = sc.getCheckpointDir()
+    if known:
+        return known.rsplit("/", 1)[0]
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="offerlens-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

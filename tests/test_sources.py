@@ -67,12 +67,12 @@ TRICKY = ['{"id":1,"s":"a}b]c,\\"d{"}', '{"id":2,"n":{"x":[1,2,{"y":"},{"}]}}',
 
 
 @pytest.mark.parametrize("wrap", ["{}", '{{"productList":{}}}', '{{"version":6,"meta":{{"a":[9,"]"],"b":"x,y"}},"other":[7],"productList" : {} , "z":1}}', '{{"first":{},"second":[8]}}'])
-@pytest.mark.parametrize("size", ["40b", "300b", "1m"])
+@pytest.mark.parametrize("size", ["97b", "1m"])
 def test_lists_split_anywhere_give_their_elements(spark, tmp_path, wrap, size):
     """Every element once and in order, wherever blocks are cut: in strings, escapes, nested lists, elements longer than a block."""
     from offerlens.sources import json_split
 
-    items = [TRICKY[i % len(TRICKY)] if i % 10 else json.dumps({"id": i, "long": "x{,]" * 60}) for i in range(200)]
+    items = [TRICKY[i % len(TRICKY)] if i % 10 else json.dumps({"id": i, "long": "x{,]" * 90}) for i in range(60)]
     folder = tmp_path / "files"
     folder.mkdir()
     (folder / "a.json").write_text(wrap.format("[" + ",\n ".join(items) + "]"))
@@ -84,7 +84,7 @@ def test_lists_split_anywhere_give_their_elements(spark, tmp_path, wrap, size):
     try:
         got = json_split.elements(spark, str(folder), ("productList", "products"))
         rows = sorted((r["path"].rsplit("/", 1)[1], r["pos"], json.loads(r["item"])) for r in got.collect() if r["path"].endswith("a.json"))
-        assert [r[1] for r in rows] == list(range(200)) and [r[2] for r in rows] == [json.loads(x) for x in items]
+        assert [r[1] for r in rows] == list(range(60)) and [r[2] for r in rows] == [json.loads(x) for x in items]
         rest = [r for r in got.collect() if not r["path"].endswith("a.json")]
         assert rest == []
     finally:
