@@ -3,50 +3,22 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, shared_root  # noqa: F401  (operators of this folder take them from here)
+from ..session import shared_folder as shared_path  # noqa: F401
+
 #: Bytes of text that a Python function takes at a time; an Arrow batch itself holds 64 MB at most by Spark's default.
 SLICE_BYTES = 8 << 20
 _BLANK = re.compile(rb"[ \t\n\v\f\r]")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    It is only made up where it is unset and Spark runs in this one process, as
-    in tests; on a cluster a machine-local folder would lose data.
-    """
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rsplit("/", 1)[0]
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="offerlens-")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
-
-
 def of_unknown_size(df: DataFrame) -> DataFrame:
     """The same rows without size estimates.
 
