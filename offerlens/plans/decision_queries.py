@@ -203,7 +203,7 @@ def q_stream_decisions(spark, sf_dir):
     for part in (rows.where("p_partkey % 3 = 0"), rows):
         part.write.mode("append").parquet(f"{folder}/landed")
         source = spark.readStream.schema(rows.schema).parquet(f"{folder}/landed")
-        run_stream(source, decide, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        run_stream(source, decide, f"{folder}/out", f"{folder}/checkpoint", buckets=16).awaitTermination()
     return spark.read.option("recursiveFileLookup", False).option("basePath", f"{folder}/out/results").parquet(f"{folder}/out/results/*").select("listing_id", "channel", "verdict", "source")
 
 

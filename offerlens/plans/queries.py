@@ -444,7 +444,7 @@ def q_stream_dedup(spark, sf_dir):
     source = table(spark, sf_dir, "events")
     columns = ["event_id", "ts", "user_id", "event_type", "value"]
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*").select(*columns)
-    dedup_stream(stream, "user_id", ["ts", "event_id"], f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    dedup_stream(stream, "user_id", ["ts", "event_id"], f"{root}/out", f"{root}/checkpoint", buckets=16).awaitTermination()
     return spark.read.schema(source.select(*columns).schema).option("recursiveFileLookup", True).parquet(f"{root}/out/rows").select("user_id", "event_id", "event_type", "value")
 
 
