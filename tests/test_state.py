@@ -165,3 +165,22 @@ def test_rolling_sums_equal_a_recount_however_batches_are_cut(spark, tmp_path):
         got = {(r["step"], r["code"]): [r["good"], r["bad"], round(r["amount"], 3), r["name"]] for r in kept.values(held).collect()}
         assert got == want
     assert spark.createDataFrame([(3, 1), (0, 0)], "good long, bad long").select(success_ratio().alias("r")).collect() == [(0.75,), (None,)]
+
+
+def test_pages_of_lines_over_ranges(spark):
+    """Greedy pages, however the lines are dealt: long, empty, null and equal lines among them."""
+    import random
+
+    from offerlens.operators import reports
+
+    rng = random.Random(5)
+    for n, size in ((0, 10), (1, 10), (150, 12), (150, 40)):
+        rows = [(rng.randint(0, 60), rng.choice([None, "", "x" * rng.randint(1, 9), "y" * rng.randint(0, 50)])) for _ in range(n)]
+        want: list[str] = []
+        for _, x in sorted((k, x or "") for k, x in rows):
+            if want and len(want[-1]) + 1 + len(x) <= size:
+                want[-1] += "\n" + x
+            else:
+                want.append(x)
+        got = reports.pages_of_lines(spark.createDataFrame(rows, "k int, x string").repartition(4), ["k"], "x", size).orderBy("page").collect()
+        assert [r["page"] for r in got] == list(range(len(want))) and [r["text"] for r in got] == want
