@@ -24,66 +24,47 @@ def write_bad_records(rows: DataFrame, is_bad: Column, path: str) -> DataFrame:
     return rows.where(~is_bad)
 
 
-class StateTable:
-    """A table that is replaced as a whole: versions ``v=<n>`` below a folder; a version counts once it is complete."""
-
-    def __init__(self, spark: SparkSession, path: str, columns: str):
-        self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
-
-    def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        store = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(folder):
-            return []
-        done = [s.getPath() for s in store.listStatus(folder) if store.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName()[2:]) for p in done if p.getName().startswith("v="))
-
-    def read(self) -> DataFrame:
-        known = self.versions()
-        return self.spark.read.schema(self.columns).parquet(f"{self.path}/v={known[-1]}") if known else self.spark.createDataFrame([], self.columns)
-
-    def write(self, rows: DataFrame) -> None:
-        """The next version; readers of the one before are not disturbed."""
-        known = self.versions()
-        rows.write.parquet(f"{self.path}/v={known[-1] + 1 if known else 0}")
-
-
 class ConcurrentWrite(RuntimeError):
     """Another writer has claimed the same version of a table."""
 
 
-class BucketedState:
-    """A table of keyed rows in buckets by hash of the key: a change reads and writes only the buckets that its keys fall into.
+class _Versioned:
+    """A folder whose present version is kept in one of two places by turns, so that one of them is always whole.
 
     Writers claim the next version before they change anything and look whether anyone else has; who
     sees another claim stops, so of two writers at a time one at most goes on. A change
     that broke off leaves a claim behind; ``release`` it once its writer is known to be gone.
     """
 
-    def __init__(self, spark: SparkSession, path: str, columns: str, keys: list[str], buckets: int = 64):
-        self.spark, self.path, self.columns, self.keys, self.buckets = spark, path.rstrip("/"), columns, keys, buckets
+    _HEAD = "version long, buckets int"
+
+    def __init__(self, spark: SparkSession, path: str, columns: str):
+        self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
         self.names = spark.createDataFrame([], columns).columns
-        try:
-            self.buckets = spark.read.schema("version long, buckets int").parquet(f"{self.path}/head").first()["buckets"]  # as it was made
-        except AnalysisException:
-            self._empty(range(buckets))
-            self._head(0)
 
-    def _empty(self, buckets) -> None:
-        """A file without rows would leave no folder, so each bucket begins with a row of nulls, which reading drops."""
-        kinds = self.spark.createDataFrame([], self.columns).schema
-        rows = self.spark.createDataFrame([(b,) for b in buckets], "_bucket int")
-        rows.select(*[F.lit(None).cast(kinds[n].dataType).alias(n) for n in self.names], F.lit(True).alias("_none"), "_bucket").repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows")
+    def _head(self) -> tuple[int, int] | None:
+        """(version, buckets), or null for a folder that isn't made yet."""
+        found = []
+        for turn in (0, 1):
+            try:
+                found += [tuple(r) for r in self.spark.read.schema(self._HEAD).parquet(f"{self.path}/head{turn}").collect()]
+            except AnalysisException:
+                continue
+        return max(found, default=None)
+
+    def _set(self, version: int, buckets: int = 0) -> None:
+        self.spark.createDataFrame([(version, buckets)], self._HEAD).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/head{version % 2}")
 
-    def _head(self, version: int) -> None:
-        self.spark.createDataFrame([(version, self.buckets)], "version long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/head")
+    def version(self) -> int | None:
+        head = self._head()
+        return head[0] if head else None
 
-    def version(self) -> int:
-        return self.spark.read.schema("version long, buckets int").parquet(f"{self.path}/head").first()["version"]
+    def _next(self) -> int:
+        known = self.version()
+        return 0 if known is None else known + 1
 
     def _claim(self) -> int:
-        mine, version = uuid.uuid4().hex, self.version() + 1
+        mine, version = uuid.uuid4().hex, self._next()
         at = f"{self.path}/claims/{version}"
         self.spark.createDataFrame([(mine,)], "writer string").coalesce(1).write.mode("append").parquet(at)
         writers = {r["writer"] for r in self.spark.read.schema("writer string").parquet(at).collect()}
@@ -93,7 +74,41 @@ class BucketedState:
 
     def release(self) -> None:
         """Give up the claims on the next version, whose writer is gone."""
-        self.spark.createDataFrame([("",)], "writer string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/claims/{self.version() + 1}")
+        self.spark.createDataFrame([("",)], "writer string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/claims/{self._next()}")
+
+
+class StateTable(_Versioned):
+    """A table that is replaced as a whole: versions ``v=<n>`` below a folder; a version counts once it is complete."""
+
+    def read(self) -> DataFrame:
+        known = self.version()
+        return self.spark.createDataFrame([], self.columns) if known is None else self.spark.read.schema(self.columns).parquet(f"{self.path}/v={known}")
+
+    def write(self, rows: DataFrame) -> None:
+        """The next version; readers of the one before are not disturbed."""
+        version = self._claim()
+        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        self._set(version)
+
+
+class BucketedState(_Versioned):
+    """A table of keyed rows in buckets by hash of the key: a change reads and writes only the buckets that its keys fall into."""
+
+    def __init__(self, spark: SparkSession, path: str, columns: str, keys: list[str], buckets: int = 64):
+        super().__init__(spark, path, columns)
+        self.keys, self.buckets = keys, buckets
+        head = self._head()
+        if head:
+            self.buckets = head[1]  # as it was made
+        else:
+            self._empty(range(buckets))
+            self._set(0, buckets)
+
+    def _empty(self, buckets) -> None:
+        """A file without rows would leave no folder, so each bucket begins with a row of nulls, which reading drops."""
+        kinds = self.spark.createDataFrame([], self.columns).schema
+        rows = self.spark.createDataFrame([(b,) for b in buckets], "_bucket int")
+        rows.select(*[F.lit(None).cast(kinds[n].dataType).alias(n) for n in self.names], F.lit(True).alias("_none"), "_bucket").repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows")
 
     def _of(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
@@ -121,7 +136,7 @@ class BucketedState:
         now.select(*self.names, F.lit(None).cast("boolean").alias("_none"), "_bucket").repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows")
         if set(buckets) - left:
             self._empty(sorted(set(buckets) - left))
-        self._head(version)
+        self._set(version, self.buckets)
         return buckets
 
     def upsert(self, rows: DataFrame, order: list[str]) -> list[int]:

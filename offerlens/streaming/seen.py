@@ -62,7 +62,7 @@ class SeenIndex:
         self.spark, self.path, self.kind, self.buckets = spark, path.rstrip("/"), kind, buckets
         self._ids = f"id {kind}, batch long, bucket int"
         try:
-            self.buckets = self.spark.read.schema(_FILTERS).parquet(f"{self.path}/filters").count()  # as it was made
+            self.buckets = self.spark.read.schema("buckets int").parquet(f"{self.path}/made").first()["buckets"]  # as it was made
             self.empty = False
         except AnalysisException:
             self.empty = True
@@ -71,6 +71,7 @@ class SeenIndex:
             nothing.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ids")
             empty = whole.select("bucket", F.lit(bytes(FILTER_BYTES)).alias("bits"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("files"))
             empty.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/filters")
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/made")  # last, and never again
 
     def _read(self, what: str, schema: str, buckets: list[int]) -> DataFrame:
         """The given buckets; only their folders are listed."""
@@ -144,6 +145,16 @@ class SeenIndex:
             now = checkpointed(now)
         self._replace("filters", now.repartition("bucket"))
 
+    def rebuild_filters(self) -> None:
+        """All filters from the ids, as after a driver that died while it wrote one."""
+        hashed = self.spark.read.schema(self._ids).parquet(f"{self.path}/ids").select("id", "bucket").distinct().select("bucket", F.xxhash64(F.xxhash64("id"), F.lit(1)).alias("hash"), F.col("id").isNull().alias("none"))
+
+        def build(ids: pd.DataFrame) -> pd.DataFrame:
+            own = ids.loc[~ids["none"], "hash"].to_numpy()
+            return pd.DataFrame({"bucket": [int(ids["bucket"].iloc[0])], "bits": [bloom_add(bytes(_size_for(len(own))), own)], "n": [len(own)], "files": [1]})
+
+        self._replace("filters", checkpointed(hashed.groupBy("bucket").applyInPandas(build, _FILTERS)).repartition("bucket"))
+
     def _replace(self, what: str, rows: DataFrame) -> None:
         """Only the buckets of ``rows`` are written anew."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{what}")

@@ -38,6 +38,9 @@ def test_seen_over_batches_replays_and_restarts(spark, tmp_path, monkeypatch):
             assert sorted(r["k"] for r in index.fresh(rows, "listing_id", n).collect()) == want
             index.add(rows, "listing_id", n)
         known |= {x for x in ids if x is not None}
+    index.rebuild_filters()
+    rows = spark.createDataFrame([(x,) for x in sorted(known)] + [("never",)], "listing_id string")
+    assert {r["listing_id"] for r in index.fresh(rows, "listing_id", 9).collect()} == {"never"}
     assert index.buckets == 4 and len(list((tmp_path / "seen" / "ids").glob("bucket=*"))) == 4
     assert max(len(list(b.glob("*.parquet"))) for b in (tmp_path / "seen" / "ids").glob("bucket=*")) <= 4
 
