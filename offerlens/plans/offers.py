@@ -55,9 +55,8 @@ def prefiltered(listings: DataFrame, tables: Tables, settings: Settings) -> Data
     if tables.settings is not None:
         fresh, settings = with_live(fresh, tables.settings, settings), Live()
     native = fresh.withColumn("reason", prefilter.reason(settings)).withColumn("cheap_lot", F.coalesce((F.col("reason") == "lot_listing") & prefilter.is_cheap_lot(settings), F.lit(False))).drop("_settings")
-    named = prefilter.with_known_name(native.where(F.col("reason").isNull()), tables.names)
-    named = named.withColumn("reason", F.when(~F.col("has_name"), "no_known_name")).drop("has_name")
-    return native.where(F.col("reason").isNotNull()).unionByName(named)
+    named = prefilter.with_known_name(native, tables.names, F.col("reason").isNull())
+    return named.withColumn("reason", F.coalesce("reason", F.when(~F.col("has_name"), "no_known_name"))).drop("has_name")
 
 
 def with_identity(listings: DataFrame, lexicon: Lexicon) -> DataFrame:
