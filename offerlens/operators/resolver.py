@@ -180,7 +180,17 @@ def _letter_counts(text: str) -> Column:
 
 
 def _shared(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+    return F.expr(" + ".join(f"least({a}[{i}], {b}[{i}])" for i in range(len(_CLASSES) + 1)))
+
+
+def _cap(same: Column, parts: list[tuple[Column, Column]]) -> Column:
+    """``fuzzy.weighted_score`` of parts (whether it is there, value) in plain arithmetic, so that each value is computed once a pair."""
+    n, before, total = F.lit(0), F.lit(False), F.lit(0.0)
+    for there, value in parts:
+        n = n + F.when(there, 1).otherwise(0)
+        total = total + F.when(there, value * F.when(before, 1.0).otherwise(1.5)).otherwise(0.0)
+        before = before | there
+    return F.when(same, F.lit(100.0)).otherwise(total / F.when(n <= 1, 1.5).otherwise(n + 0.5))
 
 
 def _ratio_cap(shared: Column, size: Column, blanks: Column | int = 0) -> Column:
@@ -192,7 +202,7 @@ def scored(pairs: DataFrame, listings: DataFrame, mappings: DataFrame, least: fl
     """pairs with ``score`` and the mapping's columns; with ``least``, pairs that can't reach it may be left out unscored."""
     dense = lambda c: F.regexp_replace(c, _SPACE, "")
     keys = [_title().alias("title"), _name().alias("name"), _number().alias("number"), _code().alias("code"), F.nullif(F.col("fingerprint"), F.lit("")).alias("fp"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")]
-    caps = [_letter_counts("dense").alias("title_letters"), _letter_counts("name").alias("name_letters"), F.size(F.split("title", _SPACE)).alias("words")]
+    caps = [_letter_counts("dense").alias("title_letters"), _letter_counts("name").alias("name_letters"), F.size(F.split("title", _SPACE)).alias("words"), F.char_length("dense").alias("title_size"), F.char_length("name").alias("name_size")]
 
     def side(df: DataFrame, prefix: str, key: str, *more: str) -> DataFrame:
         own = df.select(key, *more, *keys).withColumn("dense", dense("title"))
@@ -213,12 +223,19 @@ def scored(pairs: DataFrame, listings: DataFrame, mappings: DataFrame, least: fl
         ])
 
     if least is not None:
-        size = lambda c: F.expr(f"aggregate({c}, 0, (s, x) -> s + x)")
-        title = _ratio_cap(_shared("a_title_letters", "b_title_letters"), size("a_title_letters") + size("b_title_letters"), F.least("a_words", "b_words"))
-        name = _ratio_cap(_shared("a_name_letters", "b_name_letters"), size("a_name_letters") + size("b_name_letters"))
-        df = df.where(total(title, name) >= least - 1e-6)
+        title = _ratio_cap(_shared("a_title_letters", "b_title_letters"), F.col("a_title_size") + F.col("b_title_size"), F.least("a_words", "b_words"))
+        name = _ratio_cap(_shared("a_name_letters", "b_name_letters"), F.col("a_name_size") + F.col("b_name_size"))
+        both = lambda c: F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull()
+        cap = _cap(same, [
+            (F.col("b_title") != "", title),
+            ((F.col("a_name") != "") & (F.col("b_name") != ""), name * 0.8),
+            (both("number"), equal("number")),
+            (both("code"), equal("code")),
+            ((F.size("a_tokens") > 0) & (F.size("b_tokens") > 0), tx.overlap(F.col("a_tokens"), F.col("b_tokens")) * 100),
+        ])
+        df = df.where(cap >= least - 1e-6)
     df = df.withColumn("_title", fuzzy.token_sort_ratio_of(F.col("a_title"), F.col("b_title"))).withColumn("_name", fuzzy.ratio_of(F.col("b_name"), F.col("a_name")))
-    return df.withColumn("score", total(F.col("_title"), F.col("_name"))).drop(*[f"{p}_{c}" for p in "ab" for c in ("title_letters", "name_letters", "words")])
+    return df.withColumn("score", total(F.col("_title"), F.col("_name"))).drop(*[f"{p}_{c}" for p in "ab" for c in ("title_letters", "name_letters", "words", "title_size", "name_size")])
 
 
 def best_mapping(listings: DataFrame, mappings: DataFrame, threshold: float = 80.0) -> DataFrame:
