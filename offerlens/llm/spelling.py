@@ -126,9 +126,10 @@ def dealt(words: DataFrame, shards: int) -> DataFrame:
     hot = sides.groupBy("side", "border").count().where(F.col("count") > most).select("side", "border", F.ceil(F.col("count") / most).alias("parts"))
     placed = sides.join(F.broadcast(hot), ["side", "border"], "left")  # borders are triples of some 90 letters, however many words there are
     placed = placed.withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("part", F.explode(F.array_distinct(F.transform("halves", lambda h: F.pmod(h, F.col("parts"))))))
-    held = F.col("part") == F.pmod("own", F.col("parts"))
-    return placed.select(F.pmod(F.xxhash64("side", "border", "part"), F.lit(shards)).cast("int").alias("shard"), "side", held.alias("held"), "word", "n")
+    shard = lambda half: F.pmod(F.xxhash64("side", "border", F.pmod(half, F.col("parts"))), F.lit(shards)).cast("int")
+    # parts of a border may fall into one shard: a word stands there once all the same, or its pairs would count twice
+    placed = placed.withColumn("shard", F.explode(F.array_distinct(F.transform("halves", shard))))
+    return placed.select("shard", "side", (F.col("shard") == shard(F.col("own"))).alias("held"), "word", "n")
 
 
 def _near(u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -128,3 +128,12 @@ def test_long_text(docs_of):
 def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, op11_spelling_variants(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_parts_of_a_border_in_one_shard(docs_of, monkeypatch):
+    """Many words with one beginning: its parts share the few shards there are, and no pair counts twice."""
+    rng = random.Random(11)
+    words = {"pre" + "".join(rng.choices("abc", k=k)) for k in (4, 5, 6) for _ in range(60)}
+    rows = [(i, " ".join(sorted(words))) for i in range(4)]
+    monkeypatch.setattr(spelling, "SHARD_WORDS", 200)
+    assert run(docs_of(rows)) == brute(rows)
