@@ -302,3 +302,14 @@ def test_fuzzy_query_against_all_pairs(spark):
             want[str(a["p_partkey"])] = (best[1], pytest.approx(-best[0]))
     got = {r["listing_id"]: (r["mapping_id"], r["score"]) for r in queries.q_fuzzy_resolve(spark, sf).collect()}
     assert len(got) > 50 and got == want
+
+
+def test_asks_and_products_alike_are_looked_up_once(spark, monkeypatch):
+    products = [(i, i, f"Card {i % 2}", "7", f"Set {i % 3}", 1, "Rare") for i in range(60)]
+    products = catalogue.indexed(spark.createDataFrame(products, "pos long, id_product long, name string, number string, expansion_name string, id_expansion long, rarity string"))
+    rows = [("Card 1", "7", "Set 2", None), ("Card 0", "007/9", None, None), ("Card 0", "7", "Nowhere", None)] * 20
+    met, plain = [], catalogue.candidates
+    monkeypatch.setattr(catalogue, "candidates", lambda *a: met.append(plain(*a)) or met[-1])
+    found = {r["ask_id"]: r["id_product"] for r in catalogue.best_product(asked(spark, rows), products, spark.createDataFrame([], "code string, slug string")).collect()}
+    assert found == {i: (5, 0, 0)[i % 3] for i in range(60)}
+    assert met[0].count() == 2 + 6 + 6  # not 20 asks of each kind by 10 products of each name and set
