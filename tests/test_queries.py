@@ -43,3 +43,16 @@ def test_without_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_names_alike_meet_known_names_once(spark, tmp_path):
+    from offerlens.plans import queries
+
+    rows = [(i, f"red {('ring', 'bolt')[i % 2]}", f"Brand#{i % 3}") for i in range(600)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    for query in (queries.q_token_jaccard, queries.q_token_overlap):
+        found = query(spark, str(tmp_path))
+        lines = [x.strip(" :+-") for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+        at = next(i for i, x in enumerate(lines) if x.startswith("Generate") and "p_name" in x)
+        assert lines[at + 1].startswith("Aggregate [p_name")  # words are taken of names, not of 600 parts
+        assert {(r["p_partkey"], r["known"], r["score"]) for r in found.collect()} == {(i, n, 1.0) for i, n, _ in rows}
