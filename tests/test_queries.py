@@ -45,6 +45,14 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_every_lot_has_its_estimate(spark):
+    from offerlens.plans.decision_queries import q_cheap_lots
+
+    sizes = {r["p_partkey"]: r["p_size"] * 10 for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    rows = q_cheap_lots(spark, "/root/testdata/sf0.001").collect()
+    assert {r["p_partkey"]: r["estimated_card_count"] for r in rows} == sizes and any(not r["cheap"] for r in rows)
+
+
 def test_names_alike_meet_known_names_once(spark, tmp_path):
     from offerlens.plans import queries
 
