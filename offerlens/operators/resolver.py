@@ -239,13 +239,32 @@ def scored(pairs: DataFrame, listings: DataFrame, mappings: DataFrame, least: fl
 
 
 def best_mapping(listings: DataFrame, mappings: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """The best stored mapping of each listing at or above the threshold; ties by confidence, then recency, then id."""
-    found = scored(blocked_pairs(listings, mappings, threshold), listings, mappings, threshold).where(F.col("score") >= threshold)
-    order = Window.partitionBy("listing_id").orderBy(F.desc("score"), F.desc("confidence"), F.desc("date_added"), "id")
-    best = found.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    """The best stored mapping of each listing at or above the threshold; ties by confidence, then recency, then id.
+
+    Rows that a score can't tell apart are compared once: of mappings alike only the one that wins ties can be the
+    best, and listings alike have the same best, so copies of either cost no pairs.
+    """
+    rank = F.struct("confidence", "date_added", F.bitwise_not("id"))
+    held = mappings.groupBy(*_COMPARED).agg(F.max_by(F.struct("id", "url", "product_name", "confidence", "date_added"), rank).alias("_r")).select("_r.*", *_COMPARED)
+    kinds = checkpointed(listings.select(*_COMPARED).distinct().withColumn("_kind", F.monotonically_increasing_id()))
+    asked = kinds.withColumnRenamed("_kind", "listing_id")
+    found = scored(blocked_pairs(asked, held, threshold), asked, held, threshold).where(F.col("score") >= threshold)
+    best = _first_by_score(found.select(F.col("listing_id").alias("_kind"), "id", "score", "url", "product_name", "confidence", "date_added"), "_kind")
+    same = F.struct(*_COMPARED).alias("_same")
+    members = listings.select("listing_id", same).join(kinds.select("_kind", same), "_same").select("listing_id", "_kind")
+    best = _first_by_score(members.join(best, "_kind"), "listing_id")
     return best.select("listing_id", F.col("id").alias("mapping_id"), "score", "url", "product_name")
 
 
+#: All that a score is made of.
+_COMPARED = ["title", "card_name", "collector_number", "set_code", "fingerprint", "tokens"]
+
+
+def _first_by_score(found: DataFrame, key: str) -> DataFrame:
+    order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("confidence"), F.desc("date_added"), "id")
+    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def best_rule(rules: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """(set_code, prefix): the most confident, then most used rule of each code, if it is confident enough."""
     order = Window.partitionBy(F.upper("set_code")).orderBy(F.desc("confidence"), F.desc("uses_successful"), "id")

@@ -313,3 +313,14 @@ def test_asks_and_products_alike_are_looked_up_once(spark, monkeypatch):
     found = {r["ask_id"]: r["id_product"] for r in catalogue.best_product(asked(spark, rows), products, spark.createDataFrame([], "code string, slug string")).collect()}
     assert found == {i: (5, 0, 0)[i % 3] for i in range(60)}
     assert met[0].count() == 2 + 6 + 6  # not 20 asks of each kind by 10 products of each name and set
+
+
+def test_mappings_and_listings_alike_are_compared_once(spark, monkeypatch):
+    """Copies cost no pairs; ties among mappings alike go to the most confident, then the newest, then the least id."""
+    card = {"title": "pikachu base 25", "fingerprint": None, "card_name": "pikachu", "collector_number": "25", "set_code": "BS", "tokens": ["pikachu", "25"], "product_name": "p"}
+    a = [{**card, "id": i, "listing_id": str(i), "url": "", "confidence": 0.5, "date_added": datetime(2024, 1, 1)} for i in range(30)]
+    b = [{**card, "id": 100 + i, "listing_id": "", "url": f"u{i}", "confidence": (0.5, 0.9)[i % 2], "date_added": datetime(2024, 1, 1 + i % 4 // 3)} for i in range(30)]
+    met, plain = [], resolver.blocked_pairs
+    monkeypatch.setattr(resolver, "blocked_pairs", lambda *x: met.append(plain(*x)) or met[-1])
+    got = {r["listing_id"]: (r["mapping_id"], r["url"]) for r in resolver.best_mapping(cards_frame(spark, a), cards_frame(spark, b)).collect()}
+    assert got == {str(i): (103, "u3") for i in range(30)} and met[0].count() == 1
