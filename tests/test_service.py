@@ -208,3 +208,16 @@ def test_service_over_batches_and_a_restart(spark, tmp_path):
     assert asked == {k for k in first if WANT[k][0] in ("review", "unidentified")}
     mapped = {r["listing_id"] for r in results if r["source"] in ("catalog", "constructed") and r["from_price"]}
     assert service.learned.read().count() <= len(mapped) and (not mapped or service.now(1).mappings.count() > 0)
+
+
+def test_open_reviews_lie_in_buckets(spark, tmp_path):
+    """State is a row and a timer a bucket, however many messages are open."""
+    folder, schema = tmp_path.as_uri(), "message_id string, item string, asked_at timestamp, text string, replied_at timestamp, seq long"
+    rows = [(f"m{i}", "x", START + timedelta(seconds=i), None, None, 0) for i in range(300)] + [(f"m{i}", None, None, URL, START + timedelta(seconds=i + 1), i) for i in range(0, 600, 3)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/landed")
+    landed = spark.readStream.schema(schema).parquet(f"{folder}/landed")
+    happened = reviews.happenings(landed.where("asked_at IS NOT NULL"), landed.where("replied_at IS NOT NULL").select("message_id", "text", "replied_at", "seq"))
+    query = reviews.started(reviews.lifecycle(happened, 1.0, buckets=4), f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    assert spark.read.parquet(f"{folder}/out").where("outcome = 'answered'").count() == 100
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 4 * 3
