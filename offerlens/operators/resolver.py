@@ -280,8 +280,12 @@ def set_name_codes(names: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def constructed(listings: DataFrame, codes: DataFrame, rules: DataFrame, overrides: DataFrame, set_names: DataFrame, site: urls.Site = urls.Site(), hints: DataFrame | None = None) -> DataFrame:
-    """listing_id, url, confidence, needs_validation for listings with a name: override, else by code, else by the set name's code."""
-    df = listings.where(F.coalesce("card_name", F.lit("")) != "")
+    """listing_id, url, confidence, needs_validation for listings with a name: override, else by code, else by the set name's code.
+
+    Listings of the same identity get the same URL, so each identity is built once.
+    """
+    named = listings.where(F.coalesce("card_name", F.lit("")) != "").select("listing_id", F.struct(*_BUILT_OF).alias("_same"))
+    df = named.select("_same").distinct().select("_same", "_same.*")
     df = df.join(overrides.select("fingerprint", F.col("url").alias("_override")), "fingerprint", "left").join(set_name_codes(df, set_names), "set_name", "left")
     slugs, best = codes.select(F.upper("code").alias("_c"), "slug"), best_rule(rules)
     language = F.lit(None).cast("string")
@@ -302,11 +306,16 @@ def constructed(listings: DataFrame, codes: DataFrame, rules: DataFrame, overrid
     built = urls.normalised_url(raw, site, language, F.col("is_reverse_holo"), tx.effective_condition("condition_code"))
     sure = lambda k, a, b: F.when(F.col(f"_prefix{k}").isNotNull(), F.lit(a)).otherwise(F.lit(b))
     df = df.withColumn("_built", built)
-    return df.select(
-        "listing_id", F.coalesce("_override", "_built").alias("url"),
+    found = df.select(
+        "_same", F.coalesce("_override", "_built").alias("url"),
         F.when(F.col("_override").isNotNull(), F.lit(0.95)).when(F.col("_path1").isNotNull(), sure("1", 0.75, 0.60)).otherwise(sure("2", 0.65, 0.50)).alias("confidence"),
         F.col("_override").isNull().alias("needs_validation"),
     ).where(F.col("url").isNotNull())
+    return named.join(found, "_same").drop("_same")
+
+
+#: All that a URL is built of.
+_BUILT_OF = ["fingerprint", "card_name", "collector_number", "set_code", "set_name", "language", "condition_code", "is_reverse_holo", "is_promo"]
 
 
 def is_valid_page(status: Column) -> Column:

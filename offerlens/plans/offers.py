@@ -49,14 +49,20 @@ def _result(df: DataFrame, **columns) -> DataFrame:
 
 
 def prefiltered(listings: DataFrame, tables: Tables, settings: Settings) -> DataFrame:
-    """Unseen listings with ``reason`` (null: go on) and ``cheap_lot``; the first failing filter is the reason. Of rows that share an id the first counts (by ``seq`` where there is one)."""
+    """Unseen listings with ``reason`` (null: go on to the names) and ``cheap_lot``; the first failing filter is the reason. Of rows that share an id the first counts (by ``seq`` where there is one)."""
     first = state.first_wins(listings, ["listing_id"], ["seq"] if "seq" in listings.columns else [c for c in ("title", "price", "url") if c in listings.columns])
     fresh = prefilter.unseen(first, tables.seen)
     if tables.settings is not None:
         fresh, settings = with_live(fresh, tables.settings, settings), Live()
-    native = fresh.withColumn("reason", prefilter.reason(settings)).withColumn("cheap_lot", F.coalesce((F.col("reason") == "lot_listing") & prefilter.is_cheap_lot(settings), F.lit(False))).drop("_settings")
-    named = prefilter.with_known_name(native, tables.names, F.col("reason").isNull())
-    return named.withColumn("reason", F.coalesce("reason", F.when(~F.col("has_name"), "no_known_name"))).drop("has_name")
+    return fresh.withColumn("reason", prefilter.reason(settings)).withColumn("cheap_lot", F.coalesce((F.col("reason") == "lot_listing") & prefilter.is_cheap_lot(settings), F.lit(False))).drop("_settings")
+
+
+def named_texts(listings: DataFrame, names: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(_title, _description) and their identity: the texts whose title holds a known name, each read once however many listings say the same."""
+    texts = listings.where(F.col("listing_id").isNotNull()).select("title", F.col("description").cast("string").alias("description")).distinct()  # a column of nulls may have no type
+    named = prefilter.with_known_name(texts, names).where("has_name").drop("has_name")
+    named = named.repartition(2 * listings.sparkSession.sparkContext.defaultParallelism)  # reading takes long beside the size of the texts, by which Spark would deal them
+    return with_identity(named, lexicon).withColumnsRenamed({"title": "_title", "description": "_description"})
 
 
 def with_identity(listings: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -65,14 +71,14 @@ def with_identity(listings: DataFrame, lexicon: Lexicon) -> DataFrame:
     return df.withColumn("fingerprint", hashed).withColumn("tokens", tx.tokens("card_name", "set_name", "set_code", "collector_number", "rarity"))
 
 
-def variant_pages(rows: DataFrame, page_prices: DataFrame) -> DataFrame:
-    """(listing_id, url, from_price, product_id): the first variant of each row's URL whose page has a price."""
+def variant_pages(asked: DataFrame, page_prices: DataFrame) -> DataFrame:
+    """(asked_url, url, from_price, product_id): the first variant of each asked URL whose page has a price; a URL that many rows ask for is tried once."""
     slug = urls.last_segment(F.col("url"))
-    tried = rows.select("listing_id", F.col("url").alias("_url"), slug.alias("_slug"), F.explode(urls.variants(slug)).alias("_v"))
-    tried = tried.select("listing_id", F.replace("_url", F.concat(F.lit("/"), "_slug"), F.concat(F.lit("/"), F.col("_v.slug"))).alias("url"), F.col("_v.position").alias("_position"))
+    tried = asked.select("url").distinct().select(F.col("url").alias("asked_url"), slug.alias("_slug"), F.explode(urls.variants(slug)).alias("_v"))
+    tried = tried.select("asked_url", F.replace("asked_url", F.concat(F.lit("/"), "_slug"), F.concat(F.lit("/"), F.col("_v.slug"))).alias("url"), F.col("_v.position").alias("_position"))
     found = tried.join(page_prices.where("from_price > 0"), "url")
-    best = found.groupBy("listing_id").agg(F.min_by(F.struct("url", "from_price", F.col("id_product").alias("product_id")), "_position").alias("_b"))
-    return best.select("listing_id", "_b.*")
+    best = found.groupBy("asked_url").agg(F.min_by(F.struct("url", "from_price", F.col("id_product").alias("product_id")), "_position").alias("_b"))
+    return best.select("asked_url", "_b.*")
 
 
 def decided(listings: DataFrame, tables: Tables, lexicon: Lexicon, settings: Settings = Settings(), construct: bool = True) -> DataFrame:
@@ -87,9 +93,13 @@ def decided_with_identities(listings: DataFrame, tables: Tables, lexicon: Lexico
     start = checkpointed(prefiltered(listings, tables, settings))
     dropped = start.where(F.col("reason").isNotNull())
     lots = _result(dropped.where("cheap_lot"), listing_id=F.col("listing_id"), channel=F.lit("deals"), verdict=F.lit("cheap_lot"), reason=F.col("reason"))
-    silent = F.col("reason") == "no_known_name"
-    skipped = _result(dropped.where("not cheap_lot"), listing_id=F.col("listing_id"), channel=F.when(silent, "none").otherwise("skipped"), verdict=F.when(silent, "dropped").otherwise("skipped"), reason=F.col("reason"))
-    known = checkpointed(with_identity(start.where(F.col("reason").isNull()), lexicon))
+    skipped = _result(dropped.where("not cheap_lot"), listing_id=F.col("listing_id"), channel=F.lit("skipped"), verdict=F.lit("skipped"), reason=F.col("reason"))
+    passed = start.where(F.col("reason").isNull())
+    texts = checkpointed(named_texts(passed, tables.names, lexicon))
+    same = (F.col("title") == F.col("_title")) & F.col("description").cast("string").eqNullSafe(F.col("_description")) & F.col("listing_id").isNotNull()
+    known = checkpointed(passed.join(texts, same).drop("_title", "_description"))
+    nameless = passed.join(texts, same, "left_anti")
+    silent = _result(nameless, listing_id=F.col("listing_id"), channel=F.lit("none"), verdict=F.lit("dropped"), reason=F.lit("no_known_name"))
     bare = F.col("collector_number").isNull() & F.col("set_name").isNull() & F.col("set_code").isNull()
     review = _result(known.where(bare), listing_id=F.col("listing_id"), channel=F.lit("review"), verdict=F.lit("review"), reason=F.lit("unresolvable_no_identifiers"))
     open_ = known.where(~bare)
@@ -108,7 +118,8 @@ def decided_with_identities(listings: DataFrame, tables: Tables, lexicon: Lexico
     unidentified = _result(missing, listing_id=F.col("listing_id"), channel=F.lit("unidentified"), verdict=F.lit("unidentified"), reason=F.lit("not_in_catalog_or_db"))
     paged = found.join(tables.page_prices.select("url", "from_price", F.col("id_product").alias("product_id")), "url", "left")
     no_page = paged.where(~(F.coalesce("from_price", F.lit(0.0)) > 0))
-    other = checkpointed(no_page.where("source = 'constructed'").select("listing_id", "source", "confidence").join(variant_pages(no_page.where("source = 'constructed'"), tables.page_prices), "listing_id"))
+    unpaged = no_page.where("source = 'constructed'")
+    other = checkpointed(unpaged.select("listing_id", "source", "confidence", F.col("url").alias("asked_url")).join(variant_pages(unpaged, tables.page_prices), "asked_url").drop("asked_url"))
     no_price = no_page.join(other.select("listing_id"), "listing_id", "left_anti")
     failed = _result(no_price, listing_id=F.col("listing_id"), channel=F.when(F.col("source") == "constructed", "review").otherwise("log"), verdict=F.lit("error"), reason=F.lit("from_price_missing"), source=F.col("source"), confidence=F.col("confidence"), url=F.col("url"))
     names = ["listing_id", "product_id", "url", "from_price", "source", "confidence"]
@@ -121,7 +132,7 @@ def decided_with_identities(listings: DataFrame, tables: Tables, lexicon: Lexico
         url=F.col("url"), from_price=F.col("from_price"), fee=F.col("cmp.fee"), total_min=F.col("cmp.total_min"), total_max=F.col("cmp.total_max"), diff=F.col("cmp.difference"), pct=F.col("cmp.percent"), bid_price=F.when(~good, F.col("bid.bid")),
     )
     out = lots
-    for part in (skipped, review, unidentified, failed, compared):
+    for part in (skipped, silent, review, unidentified, failed, compared):
         out = out.unionByName(part)
     return out, known
 

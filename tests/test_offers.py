@@ -324,3 +324,18 @@ def test_mappings_and_listings_alike_are_compared_once(spark, monkeypatch):
     monkeypatch.setattr(resolver, "blocked_pairs", lambda *x: met.append(plain(*x)) or met[-1])
     got = {r["listing_id"]: (r["mapping_id"], r["url"]) for r in resolver.best_mapping(cards_frame(spark, a), cards_frame(spark, b)).collect()}
     assert got == {str(i): (103, "u3") for i in range(30)} and met[0].count() == 1
+
+
+def test_listings_alike_are_read_built_and_paged_once(spark, shop, monkeypatch):
+    """Copies cost no readings of titles, no URLs and no variants; a listing without an id is dropped, a title with another description is another text."""
+    kinds = [("Mew 80/197 OBF Obsidian Flames", None), ("Mew 80/197 OBF Obsidian Flames", "mint"), ("nothing known 1/2", None)]
+    rows = [(str(i), kinds[i % 3][0], 5.0, kinds[i % 3][1]) for i in range(60)] + [(None, kinds[0][0], 5.0, None)]
+    seen, read, named, paged = {}, offers.with_identity, resolver.set_name_codes, offers.variant_pages
+    keep = lambda name, df: seen.setdefault(name, df)
+    monkeypatch.setattr(offers, "with_identity", lambda df, lexicon: read(keep("read", df), lexicon))
+    monkeypatch.setattr(resolver, "set_name_codes", lambda df, table: named(keep("built", df), table))
+    monkeypatch.setattr(offers, "variant_pages", lambda df, pages: keep("paged", paged(df, pages)))
+    out = offers.decided(spark.createDataFrame(rows, "listing_id string, title string, price double, description string"), tables(spark, shop), LEXICON).collect()
+    want = {str(i): (("deals", "profitable"), ("review", "error"), ("none", "dropped"))[i % 3] for i in range(60)} | {None: ("none", "dropped")}  # no page of mint cards
+    assert {r["listing_id"]: (r["channel"], r["verdict"]) for r in out} == want and len(out) == 61
+    assert {name: df.count() for name, df in seen.items()} == {"read": 2, "built": 2, "paged": 1}
