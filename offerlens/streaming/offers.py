@@ -55,10 +55,9 @@ def run_stream(source: DataFrame, decide: Callable[[DataFrame, DataFrame], DataF
 
     def batch(rows: DataFrame, n: int) -> None:
         known = seen.known(rows, "listing_id", n).select(F.col("id").alias("listing_id"))
-        results = decide(rows, known).persist()
-        results.write.mode("overwrite").partitionBy("channel").parquet(f"{out}/results/batch={n}")
-        seen.add(results, "listing_id", n)
-        results.unpersist()
+        written = f"{out}/results/batch={n}"
+        decide(rows, known).hint("rebalance", F.col("channel")).write.mode("overwrite").partitionBy("channel").parquet(written)  # else each task of a plan of many branches has a file a channel
+        seen.add(source.sparkSession.read.schema("listing_id string").parquet(written), "listing_id", n)
 
     return _run(source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), interval)
 

@@ -339,3 +339,19 @@ def test_listings_alike_are_read_built_and_paged_once(spark, shop, monkeypatch):
     want = {str(i): (("deals", "profitable"), ("review", "error"), ("none", "dropped"))[i % 3] for i in range(60)} | {None: ("none", "dropped")}  # no page of mint cards
     assert {r["listing_id"]: (r["channel"], r["verdict"]) for r in out} == want and len(out) == 61
     assert {name: df.count() for name, df in seen.items()} == {"read": 2, "built": 2, "paged": 1}
+
+
+def test_a_stream_writes_a_file_a_channel_and_reads_back_what_was_seen(spark, tmp_path):
+    """However many tasks decide; a batch without results is one too."""
+    (tmp_path / "in").mkdir()
+    made = []
+
+    def decide(rows, seen):
+        made.append(rows.count())
+        return rows.join(seen, "listing_id", "left_anti").repartition(20).withColumn("channel", F.when(F.col("price") < 30, "low").otherwise("high"))
+
+    for n, ids in enumerate((range(40), range(40), range(20, 60))):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"listing_id": str(i), "price": i}) for i in ids))
+        run_stream(spark.readStream.schema("listing_id string, price double").json(str(tmp_path / "in")), decide, str(tmp_path / "out"), str(tmp_path / "checkpoint"), buckets=4).awaitTermination()
+        assert len(list((tmp_path / "out" / "results" / f"batch={n}").rglob("*.parquet"))) == (2, 0, 1)[n]
+    assert made == [40, 40, 40] and sorted(int(r["listing_id"]) for r in spark.read.parquet(str(tmp_path / "out" / "results")).collect()) == list(range(60))
